@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bytebpe, lines, packing, sharding, tokenfiles, warc
+from marrow.llm import bytebpe, lines, packing, permutation, sharding, simhash, tokenfiles, topk, warc
 from marrow.llm.shared import table, work_dir
 
 
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=50, k=5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
@@ -25,6 +29,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def word_tokenizer() -> str:
     return Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
 
@@ -50,13 +59,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=20, k=20)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_topk": op3_topk,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
+    "op10_permutation": op10_permutation,
 }
 
 ORACLES = {
@@ -69,6 +85,17 @@ ORACLES = {
                CASE WHEN payload_bytes < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM q JOIN f ON q.payload_digest = f.payload_digest
     """,
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS w FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 5
+    """,
     "op8_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
