@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bytebpe, lines, packing, permutation, sharding, simhash, tokenfiles, topk, warc
-from marrow.llm.shared import table, work_dir
+from marrow.llm import bytebpe, lines, packing, permutation, sharding, simhash, tokenfiles, topk, toxicity, warc
+from marrow.llm.shared import crc_of_id, table, work_dir
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def fitted_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """The toxicity model, learned only from rows whose crc32(doc_id as text) mod 5 is not 0."""
+    return toxicity.fit(docs, labels, crc_of_id() % 5 != 0)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fitted_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=50, k=5)
 
@@ -65,6 +77,7 @@ def op10_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
     "op3_topk": op3_topk,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,

@@ -63,15 +63,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, columns: list[str], shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
-    """columns of docs, and fp (long)."""
+def fingerprints(docs: DataFrame, columns: list[str], shingle: int = SHINGLE, text_col: str = "text", name: str = "fp") -> DataFrame:
+    """columns of docs, and the fingerprint (long) as name."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts], dtype="int64")
 
-    return docs.select(*columns, fp(F.col(text_col)).alias("fp"))
+    return docs.select(*columns, fp(F.col(text_col)).alias(name))
 
 
 def embedding(fp: Column, segments: int = SEGMENTS) -> list[Column]:
@@ -123,7 +123,7 @@ def links(distinct: DataFrame, folder: str, max_bits: int = MAX_BITS, segments:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, hot_cell: int = HOT_CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, fp (long), component_id (the component's smallest doc_id)."""
+    """A row for each row of docs: doc_id, fp (long), component_id (the component's smallest doc_id), root (a fp that names it)."""
     spark = docs.sparkSession
     folder = work_dir(spark, "simhash")
     prints = written(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], shingle), f"{folder}/prints")
@@ -132,5 +132,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     remove(spark, f"{folder}/cells")
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(names, "root").select("fp", "component_id"), f"{folder}/named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(names, "root").select("fp", "component_id", "root"), f"{folder}/named")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays."""
+    folder = work_dir(docs.sparkSession, "keep")
+    found = written(near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col), f"{folder}/found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("fp"))).alias("first")
+    keepers = written(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp")), f"{folder}/keepers")
+    ids = F.col(id_col).cast("long")
+    if found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.join(keepers, ids == F.col("_id"), "left_semi")
+    # Ids that don't name one row: rows are told apart by their fingerprints, and of rows alike in both one stays.
+    whole = fingerprints(docs, docs.columns, shingle, text_col, "_own")
+    kept = whole.join(keepers, ids.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
+    return kept.dropDuplicates([id_col, "_own"]).drop("_own")
