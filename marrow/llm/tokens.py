@@ -1,25 +1,36 @@
 """Word-end BPE ids of whole texts, for the operators that pack or store them.
 
-The tokenizer drops white space and never merges across it, so a text's ids are the ids of its
-blank-separated words one after another. Arrow splits a batch of texts into words and numbers the
-distinct ones; only words that a worker has not seen before reach the tokenizers library. The cache is
-bounded and holds results only, so its size never changes what comes out.
+The tokenizer composes, lower-cases, drops white space and merges inside pre-tokens only, so a text's
+ids are those of its blank-separated words one after another, and a word's those of its pre-tokens. Arrow
+splits a slice of texts into words and numbers the distinct ones; a word that a worker has not seen
+before is cut into pre-tokens, and only new pre-tokens reach the tokenizers library. Words with characters
+whose composition or case might differ from the library's, and the strings of added tokens, go to the
+library whole. The caches are bounded and hold results only, so their sizes never change what comes out.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from tokenizers import Tokenizer
 
 END_ID = 2
-#: Distinct words that a Python worker keeps; the cache starts again when it is full.
-CACHE_WORDS = 400_000
-#: Longer words are encoded but not kept.
-CACHE_WORD_BYTES = 64
+#: Words, pre-tokens and ids that a Python worker keeps; the caches start again when one is full.
+CACHE_WORDS, CACHE_PIECES, CACHE_IDS = 150_000, 700_000, 6_000_000
+#: Longer words are encoded but not found again.
+CACHE_WORD_CHARS = 64
+#: Fixed value: the tokenizer's pattern of pre-tokens.
+PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Printable ASCII, and characters that composing leaves alone and that have one lower-case form: Latin-1
+#: letters, the French ligature, dashes, quotation marks and the euro sign.
+PLAIN = regex.compile(r"[\x21-\x7E\u00C0-\u00FF\u0152\u0153\u2010-\u2027\u20AC]*")
+LENGTH_BITS = 27
+LENGTH_MASK = (1 << LENGTH_BITS) - 1
 #: Bytes of text that are split into words at a time.
 SLICE_BYTES = 4_000_000
 
@@ -30,44 +41,113 @@ def _coder(spec: str) -> "WordCoder":
 
 
 class WordCoder:
-    """spec: the tokenizer's JSON, whose pre-tokens must not cross ASCII white space."""
+    """spec: the tokenizer's JSON, whose pre-tokens are those of PRE_TOKENS."""
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        fresh: dict[str, np.ndarray] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, dtype=np.uint32)
-        out = [cache[w] if w in cache else fresh[w] for w in words]
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache.clear()
-        if len(fresh) <= CACHE_WORDS:
-            cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_WORD_BYTES)
+        # For pre-tokens in lower case: the same model without the steps that would leave them as they are.
+        plain = json.loads(spec)
+        plain["normalizer"], plain["pre_tokenizer"] = None, plain["pre_tokenizer"]["pretokenizers"][-1]
+        self.model = Tokenizer.from_str(json.dumps(plain))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        # Both: text -> start and length in ids.
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Appends ids to the store; where they start."""
+        start = self.used
+        if start + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[start : start + len(ids)] = ids
+        self.used += len(ids)
+        return start
+
+    def _encoded_pieces(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            lengths = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)).tolist()
+            start = self._keep(np.array(e.ids, np.uint32))
+            for piece, n in zip(part, lengths):
+                self.pieces[piece] = start << LENGTH_BITS | n
+                start += n
+
+    def _gathered(self, places: np.ndarray) -> np.ndarray:
+        starts, lengths = places >> LENGTH_BITS, places & LENGTH_MASK
+        at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return self.ids[at]
+
+    def _joined(self, cut: list[list[str]]) -> list[int]:
+        """Places of words of several pre-tokens, whose ids are stored in a row."""
+        places = np.array([self.pieces[p] for ps in cut for p in ps], np.int64)
+        lengths = np.concatenate([[0], np.cumsum(places & LENGTH_MASK)])
+        ends = np.cumsum([len(ps) for ps in cut])
+        start = self._keep(self._gathered(places))
+        upto = lengths[ends]
+        begin = np.concatenate([[0], upto[:-1]]).astype(np.int64)
+        return ((start + begin) << LENGTH_BITS | (upto - begin)).tolist()
+
+    def _cut(self, word: str) -> list[str] | None:
+        """The word's pre-tokens; None if the library has to cut it."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[:-1].isalpha() and word[-1] in ".,!?;:":
+                return [word[:-1].lower(), word[-1]]
+        if PLAIN.fullmatch(word) and not ("<|" in word and any(a in word for a in self.added)):
+            return PRE_TOKENS.findall(word.lower())
+        return None
+
+    def _learn(self, words: list[str]) -> list[int]:
+        cut = list(map(self._cut, words))
+        self._encoded_pieces(list(dict.fromkeys(p for ps in cut if ps for p in ps if p not in self.pieces)))
+        rest = [w for w, ps in zip(words, cut) if ps is None]
+        whole = iter(self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [])
+        several = [ps for ps in cut if ps is not None and len(ps) != 1]
+        joined = iter(self._joined(several) if several else [])
+        out = []
+        for w, ps in zip(words, cut):
+            if ps is None:
+                ids = next(whole).ids
+                place = self._keep(np.array(ids, np.uint32)) << LENGTH_BITS | len(ids)
+            else:
+                place = self.pieces[ps[0]] if len(ps) == 1 else next(joined)
+            if w not in self.pieces and len(w) <= CACHE_WORD_CHARS:
+                self.words[w] = place
+            out.append(place)
         return out
 
+    def _places(self, words: list[str]) -> np.ndarray:
+        if len(self.pieces) > CACHE_PIECES or self.used > CACHE_IDS:
+            self.clear()
+        elif len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        places = list(map(self.pieces.get, words))
+        for i in [i for i, p in enumerate(places) if p is None]:
+            places[i] = self.words.get(words[i])
+        new = [i for i, p in enumerate(places) if p is None]
+        for i, place in zip(new, self._learn([words[i] for i in new])):
+            places[i] = place
+        return np.array(places, np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end. A null text has none."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        word_ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        known = self._of_words(coded.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in known], dtype=np.int64)
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        word_lengths = lengths[codes]
-        word_ends = np.cumsum(word_lengths)
-        total = int(word_ends[-1]) if len(word_ends) else 0
-        shift = np.repeat(starts[codes] - (word_ends - word_lengths), word_lengths)
-        ids = flat[np.arange(total) + shift] if total else np.zeros(0, np.uint32)
-        text_ends = np.concatenate([[0], word_ends])[ends] if len(ends) else np.zeros(0, np.int64)
-        return ids, text_ends
+        # The distinct words' ids as one list array, of which Arrow then takes every word's.
+        places = self._places(coded.dictionary.to_pylist())
+        offsets = pa.array(np.concatenate([[0], np.cumsum(places & LENGTH_MASK)]), pa.int64())
+        taken = pa.LargeListArray.from_arrays(offsets, pa.array(self._gathered(places))).take(coded.indices)
+        first = taken.offsets[0].as_py()
+        ids = taken.values.to_numpy()[first : taken.offsets[-1].as_py()]
+        return ids, (taken.offsets.to_numpy() - first)[np.concatenate([[0], word_ends])][1:]
 
 
 def encoded(spec: str, texts: pa.Array, end_id: int = END_ID):
