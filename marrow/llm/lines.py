@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm.shared import lower_ascii, remove, text_or_empty, work_dir
+from marrow.llm.shared import lower_ascii, remove, text_or_empty, work_dir, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -116,7 +116,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             part = part.where((F.col(id_col) < end) | F.col(id_col).isNull() if start is None else F.col(id_col) < end)
         runs.add(hashed(part))
 
-    repeated = runs.repeated(min_docs)
+    # Written, so that the join below shuffles both sides plainly and a line of many documents can be split.
+    repeated = written(runs.repeated(min_docs), f"{folder}/repeated")
     losers = hashed(docs).join(repeated, "hash").where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     dropped = losers.groupBy("doc_id").agg(F.collect_set("hash").alias("_drop"))  # at most a document's own lines
     dropped = dropped.withColumnRenamed("doc_id", "_drop_id")

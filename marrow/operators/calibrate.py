@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marrow.functions import scalar
 from marrow.operators import metrics
+from marrow.operators.resample import stratified_split
 
 TOLERANCE, MOST_STEPS = 1e-10, 100
 RANGES = 64
@@ -150,19 +151,49 @@ def shift(p: Column, c: float) -> Column:
     return scalar.sigmoid(scalar.logit(p) + F.lit(float(c)))
 
 
+def fit_intercepts(scored: DataFrame, key: str) -> dict:
+    """fit_intercept for every value of key at once: one grouped aggregate a Newton step."""
+    d = scored.where(F.col("y").isNotNull() & F.col("p").isNotNull()).groupBy(F.col(key).alias("k"), scalar.logit(F.col("p")).alias("z")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).cache()
+    fitted, open_keys = {r["k"]: 0.0 for r in d.select("k").distinct().collect()}, True
+    try:
+        for _ in range(MOST_STEPS):
+            at = _lookup(F.col("k"), fitted)
+            q = scalar.sigmoid(F.col("z") + at)
+            open_keys = False
+            for r in d.groupBy("k").agg(F.sum(F.col("pos") - F.col("n") * q).alias("g"), F.sum(F.col("n") * q * (1 - q)).alias("h")).collect():  # a row a key
+                if r["h"] >= 1e-12 and abs(r["g"] / r["h"]) >= TOLERANCE:
+                    fitted[r["k"]] += r["g"] / r["h"]
+                    open_keys = True
+            if not open_keys:
+                break
+    finally:
+        d.unpersist()
+    return fitted
+
+
+def _lookup(key: Column, values: dict) -> Column:
+    out = F.lit(0.0)
+    for k, v in values.items():
+        out = F.when(key.eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(out)
+    return out
+
+
 def transfer_study(scored: DataFrame, site: str, home: str, share: float = 0.3, seed: int = 42) -> DataFrame:
     """site, block, n, auc, brier, ece, intercept: for each other site all rows as they are, its evaluation rows as
-    they are, and the same rows after an intercept fitted on its calibration rows. scored: row_id, y, p, site."""
-    from marrow.operators.resample import stratified_split
-
-    blocks = []
-    for name in [r[0] for r in scored.select(site).where((F.col(site) != home) & F.col(site).isNotNull()).distinct().orderBy(site).collect()]:
-        own = stratified_split(scored.where(F.col(site) == name), share, seed=seed)
-        held = own.where("part = 'evaluation'")
-        c = fit_intercept(own.where("part = 'calibration'"))
-        for block, rows in (("naive_all_rows", own), ("naive", held), ("recalibrated", held.withColumn("p", shift(F.col("p"), c)))):
-            blocks.append(metrics.evaluation(rows).select(F.lit(name).alias("site"), F.lit(block).alias("block"), "n", "auc", "brier", "ece", F.lit(c).alias("intercept")))
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    return out
+    they are, and the same rows after an intercept fitted on its calibration rows. scored: row_id, y, p, site.
+
+    All sites go through every step together.
+    """
+    other = scored.where((F.col(site) != home) & F.col(site).isNotNull()).select("row_id", "y", "p", F.col(site).alias("site"))
+    split = stratified_split(other.withColumn("_class", F.concat_ws("|", "site", "y")), share, "_class", seed=seed).drop("_class").cache()
+    try:
+        fitted = fit_intercepts(split.where("part = 'calibration'"), "site")
+        moved = scalar.sigmoid(scalar.logit(F.col("p")) + _lookup(F.col("site"), fitted))
+        held = F.col("part") == "evaluation"
+        blocks = F.array(F.struct(F.lit("naive_all_rows").alias("block"), F.col("p").alias("p")), F.when(held, F.struct(F.lit("naive").alias("block"), F.col("p").alias("p"))), F.when(held, F.struct(F.lit("recalibrated").alias("block"), moved.alias("p"))))
+        rows = split.select("site", "y", F.explode(blocks).alias("b")).where("b IS NOT NULL").select("site", "b.block", "y", "b.p")
+        out = metrics.evaluation_by(rows, ["site", "block"]).withColumn("intercept", _lookup(F.col("site"), fitted))
+        # A row for each site and block.
+        return scored.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        split.unpersist()

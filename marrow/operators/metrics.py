@@ -91,6 +91,14 @@ def evaluation(scored: DataFrame) -> DataFrame:
     return head.crossJoin(auc(scored)).crossJoin(average_precision(scored)).crossJoin(ece(scored))  # one row each
 
 
+def evaluation_by(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, auc, brier, ece: one row for each combination of keys without NULL."""
+    head = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    binned = scored.groupBy(*keys, bin_of(F.col("p")).alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.avg("p").alias("mp"), F.avg("y").alias("fy"))
+    gaps = binned.groupBy(*keys).agg((F.sum(F.col("k") * F.abs(F.col("mp") - F.col("fy"))) / F.sum("k")).alias("ece"))
+    return head.join(auc(scored, keys), keys).join(gaps, keys).select(*keys, "n", "auc", "brier", "ece")
+
+
 def net_benefit(scored: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """threshold, model, treat_all, treat_none. Rows are summed by threshold bucket once, not met with every threshold."""
     if any(not 0 < t < 1 for t in thresholds):
