@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that a Python worker keeps; the cache starts again when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHE_WORD_CHARS = 64
+#: The pre-tokens of longer texts are taken one at a time.
+LONG_TEXT_CHARS = 1_000_000
 SCHEMA = "doc_id long, ids binary, n_tokens long"
 
 
@@ -92,29 +94,28 @@ class ByteCoder:
         self.letters = byte_characters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialized_model(self.tokens))
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         # For decoding: all tokens' bytes in a row, with each one's start and length.
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.length = np.array([len(t) for t in self.tokens], np.int64)
         self.start = np.cumsum(self.length) - self.length
 
-    def _pre_token(self, word: str) -> list[int]:
+    def _pre_token(self, word: str) -> bytes:
         raw = word.encode()
         whole = self.known.get(raw)
         ids = [whole] if whole is not None else self.model.encode(raw.decode("latin-1").translate(self.letters), num_threads=1)
+        found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHE_WORD_CHARS:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
-            self.cache[word] = ids
-        return ids
+            self.cache[word] = found
+        return found
 
-    def encode(self, text: str) -> np.ndarray:
-        cache, other, out = self.cache, self._pre_token, []
-        for m in self.pattern.finditer(text) if len(text) > 1_000_000 else self.pattern.findall(text):
-            word = m if isinstance(m, str) else m.group()
-            ids = cache.get(word)
-            out.extend(other(word) if ids is None else ids)
-        return np.array(out, dtype="<u4")
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        cache, other = self.cache, self._pre_token
+        words = self.pattern.findall(text) if len(text) < LONG_TEXT_CHARS else (m.group() for m in self.pattern.finditer(text))
+        return b"".join([cache.get(word) or other(word) for word in words])
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.length[ids]
@@ -137,7 +138,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         coder = _coder(shared.value, pattern)
         for batch in batches:
             ids = [coder.encode(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(coded, SCHEMA)
 
