@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import lines, packing, simhash, toxicity
+from marrow.llm import lines, nearcopies, packing, toxicity
 from marrow.llm.queries import fitted_toxicity, word_tokenizer
 from marrow.llm.shared import table, work_dir, written
 
@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    return nearcopies.keep_one(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
