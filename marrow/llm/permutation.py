@@ -7,7 +7,8 @@ lists. A query's own list is looked up in the inverted files; Spearman's footrul
 a missing pivot standing at position ``listed``, follows from the shared pivots' positions alone. The
 ``share`` of each block with the smallest footrule is reranked by exact inner products in doubles.
 
-The share is the same at every size, so recall doesn't fall as tables grow. Zero vectors take no part;
+The share is the same at every size, so recall doesn't fall as tables grow. A dimension with fewer pivots
+than are listed is searched whole, since its lists tell rows apart badly or not at all. Zero vectors take no part;
 for other defined cases see vectors.py.
 """
 
@@ -22,7 +23,7 @@ from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, best_of_blocks, blocks
 
 PIVOTS = 256
 LISTED = 32
-SHARE = 0.25
+SHARE = 0.45
 
 
 def nearest_pivots(matrix: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
@@ -86,9 +87,10 @@ def nearest(vectors: DataFrame, every: int, k: int, pivots: int = PIVOTS, listed
     for r in sample:
         chosen.setdefault(len(r["vector"]), []).append(r["vector"])
     chosen = {dim: np.array(v) for dim, v in chosen.items()}
+    told_apart = {dim for dim, v in chosen.items() if len(v) >= listed}
 
     def lists(matrix: np.ndarray) -> tuple[np.ndarray, int]:
-        own = chosen.get(matrix.shape[1], matrix[:1])  # a dimension without pivots is searched whole
+        own = chosen.get(matrix.shape[1], matrix[:1])
         held = np.concatenate([own, np.repeat(own[:1], max(0, listed - len(own)), axis=0)])
         return nearest_pivots(matrix, held, listed), max(pivots, listed)
 
@@ -99,4 +101,4 @@ def nearest(vectors: DataFrame, every: int, k: int, pivots: int = PIVOTS, listed
     held = written(blocks(rows, count, block, indexed), f"{folder}/blocks")
     met = written(blocks(asked, queries, query_block, lambda m: (m, lists(m)[0].tobytes())), f"{folder}/queries")
     tasks = max(1, -(-count // block) * -(-queries // query_block))
-    return best_of_blocks(held, met, lambda q, c: search_block(q, c, max(pivots, listed), listed, k, share), k, "double", tasks)
+    return best_of_blocks(held, met, lambda q, c: search_block(q, c, max(pivots, listed), listed, k, share if q.matrix.shape[1] in told_apart else 1.0), k, "double", tasks)
