@@ -431,7 +431,7 @@ def calibration_in_the_large(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def transfer_like_for_like(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(calibrate.transfer_study(views.scored_orders(spark, d).where("site < '4'"), "site", "1-URGENT"))
+    return rounded(calibrate.transfer_study(views.scored_orders(spark, d), "site", "1-URGENT"))
 
 
 @query()
