@@ -66,10 +66,26 @@ class Model:
     prior: float
 
 
+def _cut(word: str) -> list[str]:
+    """The word, or if it is longer than a window overlapping windows that hold all of it."""
+    w = word.encode()
+    if len(w) <= WINDOW_BYTES:
+        return [word]
+    step = WINDOW_BYTES // 2
+    return [w[at : at + WINDOW_BYTES].decode(errors="ignore") for at in range(0, len(w) - step, step)]
+
+
 def windows(texts: pa.Array) -> pa.Array:
-    """A list of words for each text."""
+    """A list of words for each text; words longer than a window are cut."""
     plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[\p{P}\p{S}]+", " ")
-    return pc.ascii_split_whitespace(plain)
+    words = pc.utf8_split_whitespace(plain)
+    flat = words.flatten()
+    if not pc.any(pc.greater(pc.binary_length(flat), WINDOW_BYTES)).as_py():
+        return words
+    pieces = [_cut(w) for w in flat.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+    offsets = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array([w for p in pieces for w in p], flat.type))
 
 
 def _copies(word: str) -> bytes:
