@@ -1,19 +1,27 @@
 """Near copies by shingle similarity: candidates complete for Jaccard >= 0.8, each verified on whole texts.
 
-Sixty-four bits of a fingerprint cannot tell a similarity of 0.8, so candidates come from prefix lists. All
-shingles (five words) have one order; of a text with n different shingles the first n - ceil(0.8 n) + 1 are
-posted. Two texts with similarity 0.8 share at least ceil(0.8 n) shingles of either, so they meet in a
-posted one: no pair is missed. Any order is right; commonest shingles come last, as far as a sample of the
-rows shows them, so that boilerplate is seldom posted.
+The sixty-four bits of a fingerprint cannot tell a similarity of 0.8, so the work is done in two parts. First
+come the links of the SimHash operator (simhash.py: segment popcounts, grid range join) over five-word
+shingles, verified on the texts; they gather exact and almost exact copies, whose groups are the large ones.
+Prefix lists then find whatever that part missed: all shingles have one order; of a text with n different
+shingles the first n - ceil(0.8 n) + 1 are posted. Two texts with similarity 0.8 share at least ceil(0.8 n)
+shingles of either, so they meet in a posted one: no pair is missed. Any order is right; commonest shingles
+come last, as far as a sample of the rows shows them, so that boilerplate is seldom posted.
+
+Before a pair is verified it must pass a bound of the same kind as the operator's: shingles are dealt to 512
+segments, and a text's sketch holds one bit for each, whether its count is odd. Two sketches differ in no more
+bits than the texts differ in shingles, and similar texts differ in at most a ninth of both counts together;
+so pairs whose sketches lie farther apart go, and no similar one is among them.
 
 A list's texts are first compared with one of them, chosen anew in each of ``STARS`` rounds, and what is found
 alike is one component from then on. Pairs of a list that lie in different components after that are all
-compared, so components are exact, and a large group of near copies costs no square of its size unless its
-members are unlike the ones chosen.
+held against the bound, so components are exact; a large group of near copies costs no square of its size
+unless its members are unlike the ones chosen.
 
 Defined cases: words and lower case are those of simhash.py; texts that are equal in these are one node (so
 are all texts without words); a text of fewer than five words is one shingle; of each group the row with
-the smallest id stays, null ids last, of equal ids one row.
+the smallest id stays, null ids last, of equal ids one row; other columns are carried along, and none may be
+called ``_row``.
 """
 
 from __future__ import annotations
@@ -24,9 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marrow.llm import simhash
 from marrow.llm.components import components
 from marrow.llm.shared import work_dir, written
 from marrow.llm.simhash import _LOWER, _WORD, SEED
@@ -35,41 +44,52 @@ SHINGLE = 5
 #: Similar texts share at least ALIKE / WHOLE of their union's shingles.
 ALIKE, WHOLE = 4, 5
 STARS = 2
+#: Longs of a sketch, 64 segments each.
+SKETCH = 8
 #: One row in SAMPLED is asked for common shingles, and so many are known at most.
 SAMPLED, MOST_COMMON = 16, 50_000
 
 
-def _shingles(text: str | None, shingle: int) -> tuple[bytes, set[bytes]]:
-    """The text's words with one space between, and its shingles."""
+def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[bytes]]:
+    """The text's words with one space between, and its shingles in a row."""
     words = _WORD.findall((text or "").encode().translate(_LOWER))
     line = b" ".join(words)
     if not words:
-        return line, set()
+        return line, []
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = (ends - np.array([len(w) for w in words])).tolist()
     n = max(1, len(words) - shingle + 1)
     last = ends[-n:].tolist() if len(words) >= shingle else [len(line)]
-    return line, {line[a:b] for a, b in zip(starts[:n], last)}
+    return line, [line[a:b] for a, b in zip(starts[:n], last)]
 
 
-def _hashes(shingles: set[bytes]) -> np.ndarray:
+def _hashes(shingles: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, SEED) for s in shingles], dtype="<u8").view("<i8"))
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
 
 
-def similar(a: str | None, b: str | None, shingle: int = SHINGLE) -> bool:
-    a, b = _shingles(a, shingle)[1], _shingles(b, shingle)[1]
+def sketch(distinct: np.ndarray) -> np.ndarray:
+    """For each segment of different shingles one bit, whether it holds an odd number of them; as SKETCH longs."""
+    odd = np.bincount((distinct.view("<u8") % (64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def similar_sets(a: set[bytes], b: set[bytes]) -> bool:
     both = len(a & b)
     return WHOLE * both >= ALIKE * (len(a) + len(b) - both)
 
 
+def similar(a: str | None, b: str | None, shingle: int = SHINGLE) -> bool:
+    return similar_sets(set(_shingles(a, shingle)[1]), set(_shingles(b, shingle)[1]))
+
+
 def _common(rows: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of shingles that several sampled rows have; at most MOST_COMMON."""
 
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([_hashes(_shingles(t if isinstance(t, str) else None, shingle)[1]) for t in texts], dtype=object)
+            yield pd.Series([np.unique(_hashes(_shingles(t if isinstance(t, str) else None, shingle)[1])).view("<i8") for t in texts], dtype=object)
 
     sample = rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLED)) == 0)
     counts = sample.select(F.explode(hashes("_text")).alias("key")).groupBy("key").count().where("count > 3")
@@ -77,24 +97,36 @@ def _common(rows: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prints(rows: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
-    """_row, _id, digest of the normal text, n (its shingles), prefix (those posted)."""
+    """_row, _id, digest of the normal text, fp (SimHash), n (different shingles), prefix (those posted), sketch."""
     held = rows.sparkSession.sparkContext.broadcast(common)
 
-    @F.pandas_udf("digest binary, n int, prefix array<long>")
+    @F.pandas_udf("digest binary, fp long, n int, prefix array<long>, sketch array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         late = held.value
         for texts in batches:
             out = []
             for t in texts:
                 line, found = _shingles(t if isinstance(t, str) else None, shingle)
-                keys = _hashes(found)
+                hashes = _hashes(found)
+                keys = np.unique(hashes).view("<i8")
                 n = len(keys)
                 at = np.minimum(np.searchsorted(late, keys), max(0, len(late) - 1))
                 order = np.argsort(late[at] == keys, kind="stable") if len(late) else np.arange(n)
-                out.append((hashlib.sha256(line).digest(), n, keys[order[: n - (ALIKE * n + WHOLE - 1) // WHOLE + 1 if n else 0]]))
-            yield pd.DataFrame(out, columns=["digest", "n", "prefix"])
+                prefix = keys[order[: n - (ALIKE * n + WHOLE - 1) // WHOLE + 1 if n else 0]]
+                out.append((hashlib.sha256(line).digest(), simhash.majority(hashes), n, prefix, sketch(keys)))
+            yield pd.DataFrame(out, columns=["digest", "fp", "n", "prefix", "sketch"])
 
-    return rows.select("_row", "_id", prints("_text").alias("p")).select("_row", "_id", "p.*")
+    bits = [F.col("p.sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    return rows.select("_row", "_id", prints("_text").alias("p")).select("_row", "_id", "p.digest", "p.fp", "p.n", "p.prefix", *bits)
+
+
+def _near(a: str, b: str) -> Column:
+    """False only for pairs of less similarity: by the counts of shingles, and by the sketches' distance."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = F.lit(0)
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")))
+    return (F.least(n, m) * WHOLE >= F.greatest(n, m) * ALIKE) & (apart * (WHOLE + ALIKE) <= (n + m) * (WHOLE - ALIKE))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -102,39 +134,54 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, shingle) for x, y in zip(a, b)], dtype=bool)
+        out, before, held = [], None, set()
+        for x, y in zip(a, b):  # pairs come sorted by the first text's row mostly
+            if x != before:
+                before, held = x, set(_shingles(x, shingle)[1])
+            out.append(similar_sets(held, set(_shingles(y, shingle)[1])))
+        return pd.Series(out, dtype=bool)
 
     texts = lambda end: rows.select(F.col("_row").alias(end), F.col("_text").alias(f"_{end}"))
     return pairs.join(texts("v"), "v").join(texts("u"), "u").where(alike("_u", "_v")).select("u", "v")
 
 
+def _fingerprint_pairs(nodes: DataFrame, folder: str) -> DataFrame:
+    """u, v: pairs of nodes that the SimHash operator links; equal fingerprints are paired with the smallest node."""
+    held = ["n", *[f"s{i}" for i in range(SKETCH)]]
+    prints = written(nodes.select("node", "fp", *held), f"{folder}/fingerprints")
+    first = written(prints.groupBy("fp").agg(F.min(F.struct("node", *held)).alias("c")).select("fp", "c.*"), f"{folder}/named")
+    linked = simhash.links(first.select("fp"), f"{folder}/simhash")
+    same = prints.alias("a").join(first.alias("b"), "fp").where(F.col("a.node") > F.col("b.node"))
+    apart = linked.join(first.alias("a"), F.col("u") == F.col("a.fp")).join(first.alias("b"), F.col("v") == F.col("b.fp"))
+    ends = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")]
+    return same.where(_near("a", "b")).select(*ends).unionByName(apart.where(_near("a", "b")).select(*ends)).distinct()
+
+
 def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE) -> DataFrame:
-    """node, root: components of similar texts. nodes: node, n, prefix; rows: _row (a node's number), _text."""
-    lists = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    """node, root: components of similar texts. nodes: node, fp, n, prefix, s0 ...; rows: _row (a node's number), _text."""
+    tried = written(_fingerprint_pairs(nodes, folder), f"{folder}/pairs-simhash")
+    found = written(_verified(tried, rows, shingle), f"{folder}/found-simhash")
+    roots = components(found, f"{folder}/round-simhash")
+    bits = [f"s{i}" for i in range(SKETCH)]
+    lists = nodes.select("node", "n", *bits, F.explode("prefix").alias("key"))
     keys = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("key")
     posts = written(lists.join(keys, "key"), f"{folder}/posts")
-    near = F.least("a.n", "b.n") * WHOLE >= F.greatest("a.n", "b.n") * ALIKE
     ends = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")]
-    tried = roots = None
     for i in range(STARS + 1):
-        if roots is not None:
-            rooted = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            rooted = posts.withColumn("root", F.col("node"))
+        rooted = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Lists whose texts are one component are done.
-        center = F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "root")).alias("c")
+        center = F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "root", *bits)).alias("c")
         mixed = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), center).where("_low < _high")
         if i < STARS:
             pairs = rooted.alias("a").join(mixed.select("key", "c.*").alias("b"), F.col("a.key") == F.col("b.key"))
         else:
             left = written(rooted.join(mixed.select("key"), "key"), f"{folder}/left")
             pairs = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")))
-        pairs = pairs.where(near & (F.col("a.root") != F.col("b.root"))).select(*ends).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), f"{folder}/pairs-{i}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = pairs.where((F.col("a.root") != F.col("b.root")) & _near("a", "b")).select(*ends).distinct()
+        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), f"{folder}/pairs-{i}")
+        tried = tried.unionByName(pairs)
         found = written(_verified(pairs, rows, shingle), f"{folder}/found-{i}")
-        edges = found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(edges, f"{folder}/round-{i}")
+        roots = components(found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), f"{folder}/round-{i}")
     return roots
 
 

@@ -46,6 +46,15 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes (uint64), as a signed 64-bit number; 0 if there are none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + CHUNK])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """A signed 64-bit fingerprint; a bit is set if it is set in over half the shingles' hashes."""
     words = _WORD.findall((text or "").encode().translate(_LOWER))
