@@ -1,15 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows that mark toxic texts and one on windows of
-ordinary texts. A window is one word, without punctuation and in lower case, cut at 64 bytes; it is
-compressed as three copies in a row, so that no frame falls back to stored bytes and lengths stay
-comparable. A window's margin is its length under the ordinary dictionary less that under the toxic one.
-A text is described by its windows' margins: the largest, and how many reach the calibrated threshold,
-absolutely and for its length. A logistic curve over these, fitted on margins of labelled texts under
-dictionaries that did not see them, makes a score between 0 and 1.
+Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary texts.
+A window is one word in lower case, without punctuation; a longer run is cut into overlapping windows of
+``WINDOW_BYTES`` bytes, so that every byte of a text lies in a window. A window is compressed as three copies in
+a row, so that no frame falls back to stored bytes, and the trained dictionaries are used for their content
+alone (their entropy tables would make lengths under two dictionaries incomparable). A window's margin is its
+length under the ordinary dictionary less that under the toxic one. A text is described by its windows'
+margins: the largest, and how many reach the calibrated threshold, absolutely and for the text's length. A
+logistic curve over these, fitted on margins of labelled texts under dictionaries that did not see them, makes a
+score between 0 and 1.
+
+Toxic texts consist of ordinary windows for the most part, and a dictionary holds what is frequent. So the
+windows to train on are sampled by contrast: those of toxic texts that hold a run of characters which is several
+times likelier in the sample's toxic texts train the toxic dictionary, as often as texts hold them; all others
+train the ordinary one. Compression alone decides about texts: runs are not kept in the model.
 
 Fitting uses a bounded sample: at most ``SAMPLE_ROWS`` labelled rows of each class, those with the
-smallest hashed ids, less texts of more than ``SAMPLE_TEXT_CHARS``. Everything else is one map over all
+smallest hashed ids among texts of at most ``SAMPLE_TEXT_CHARS``. Everything else is one map over all
 texts. Words repeat, so a worker keeps the margins of words it has seen; the cache is bounded and never
 changes a score.
 
@@ -22,8 +29,6 @@ along.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,21 +42,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 1_500
-DICTIONARY_BYTES = 2_048
-SEGMENT, DMER = 32, 6
-LEVEL = 12
-WINDOW_BYTES = 64
-#: A run of so many characters marks toxic texts if it is so many times likelier in them, at so large a G statistic.
-#: and is in at least this share of them.
-GRAM, RATIO, EVIDENCE, SUPPORT = 5, 8.0, 20.0, 0.01
-MOST_MARKS = 120
-#: Ordinary windows in the sample for each toxic one, taken by frequency.
-ORDINARY_SHARE = 20
-MOST_WINDOWS = 200_000
+TOXIC_BYTES, ORDINARY_BYTES = 8_192, 110_000
+SEGMENT, DMER = 96, 6
+LEVEL = 19
+WINDOW_BYTES = 16
+#: A run of so many characters parts the classes if it is so many times likelier in toxic texts, at so large a
+#: G statistic, and is in at least this share of them.
+GRAM, RATIO, EVIDENCE, SUPPORT = 5, 4.0, 20.0, 0.01
+#: Windows that a dictionary is trained on, drawn from all if there are more.
+MOST_WINDOWS = 100_000
+#: Hashes that tell near copies in the sample.
+COPY_SEEDS = 4
 FOLDS = 3
+FEATURES = 4
 THRESHOLDS = range(2, 8)
 #: Longer labelled texts are left out of the sample, which bounds its bytes.
-SAMPLE_TEXT_CHARS = 100_000
+SAMPLE_TEXT_CHARS = 30_000
 CACHE_WORDS = 400_000
 #: Bytes of text whose windows are scored at a time.
 SLICE_BYTES = 4_000_000
@@ -98,7 +104,7 @@ class Margins:
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         def coder(content: bytes) -> zstandard.ZstdCompressor:
-            held = zstandard.ZstdCompressionDict(content)
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
 
@@ -120,10 +126,10 @@ class Margins:
         return out
 
     def features(self, texts: pa.Array, thresholds: list[int]) -> list[np.ndarray]:
-        """A table for each threshold; a text's row: largest margin above zero, log of the count at or above the threshold, the same for its length."""
+        """A table for each threshold; a text's row: the largest margin above zero; logs of the count of margins that reach the threshold, of their share by length, and of their sum by length."""
         texts = texts.cast(pa.large_string())
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        out, at = [[np.zeros((0, 3))] for _ in thresholds], 0
+        out, at = [[np.zeros((0, FEATURES))] for _ in thresholds], 0
         while at < len(texts):
             upto, held = at, 0
             while upto < len(texts) and (upto == at or held + sizes[upto] <= SLICE_BYTES):
@@ -133,67 +139,78 @@ class Margins:
             ends = words.offsets.to_numpy() - words.offsets[0].as_py()
             coded = words.flatten().dictionary_encode()
             margins = np.append(self.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64), 0)
-            counts = np.diff(ends)
-            largest = np.where(counts > 0, np.maximum.reduceat(margins, ends[:-1]), 0)
+            largest = np.where(np.diff(ends) > 0, np.maximum.reduceat(margins, ends[:-1]), 0)
+            kilobytes = np.maximum(sizes[at:upto] / 1000, 0.2)
             for table, threshold in zip(out, thresholds):
-                reached = np.concatenate([[0], np.cumsum(margins >= threshold)])
-                hits = reached[ends[1:]] - reached[ends[:-1]]
-                table.append(np.stack([np.maximum(largest, 0), np.log1p(hits), np.log1p(1000 * hits / np.maximum(counts, 1))], axis=1))
+                reached = np.where(margins >= threshold, margins, 0)
+                hits, total = (np.concatenate([[0], np.cumsum(x)]) for x in (reached > 0, reached))
+                hits, total = hits[ends[1:]] - hits[ends[:-1]], total[ends[1:]] - total[ends[:-1]]
+                table.append(np.stack([np.maximum(largest, 0), np.log1p(hits), np.log1p(hits / kilobytes), np.log1p(total / kilobytes)], axis=1))
             at = upto
         return [np.concatenate(table) for table in out]
 
 
-def _grams(word: str) -> set[str]:
-    """The word's runs of GRAM characters, one blank on each side counted in."""
-    padded = f" {word} "
-    return {padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))}
+def unlike(codes: list[np.ndarray]) -> np.ndarray:
+    """Which texts to use of a sample: not those that probably are near copies of an earlier one, whose words would count as often as they were copied.
 
-
-def _marks(texts: list[set[str]], toxic: np.ndarray) -> tuple[Counter, Counter]:
-    """Words that hold a run of characters which marks toxic texts, and all others, by how many texts hold them.
-
-    Runs instead of whole words are judged, so that a stem counts in all its forms.
+    codes: each text's windows in their order, as numbers. Copies share the smallest hash of three windows in a row under one of a few seeds.
     """
-    words = {True: Counter(), False: Counter()}
-    runs = {True: Counter(), False: Counter()}
-    of: dict[str, set[str]] = {}
+    seen, keep = set(), np.ones(len(codes), bool)
+    for i, c in enumerate(codes):
+        c = c.astype(np.uint64)
+        runs = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] if len(c) > 2 else c
+        smallest = set()
+        for seed in range(COPY_SEEDS if len(runs) else 0):
+            h = (runs ^ np.uint64(0x165667B19E3779F9 * (seed + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+            smallest.add((seed, int((h ^ (h >> np.uint64(29))).min())))
+        keep[i] = seen.isdisjoint(smallest)
+        seen |= smallest
+    return keep
+
+
+def contrast(vocabulary: list[str], texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Which windows of the vocabulary hold a run of characters that parts the classes. texts: each one's different windows, as positions."""
+    names: dict[str, int] = {}
+    runs = [np.array([names.setdefault(r, len(names)) for r in {p[i : i + GRAM] for p in (f" {w} ",) for i in range(max(1, len(p) - GRAM + 1))}], np.int32) for w in vocabulary]
+    texts_with = {True: np.zeros(len(names)), False: np.zeros(len(names))}
+    words_in = {True: np.zeros(len(vocabulary)), False: np.zeros(len(vocabulary))}
     for held, y in zip(texts, toxic.tolist()):
-        words[y].update(held)
-        runs[y].update(set().union(*(of.get(w) or of.setdefault(w, _grams(w)) for w in held)))
+        if len(held):
+            texts_with[y][np.unique(np.concatenate([runs[w] for w in held]))] += 1
+            words_in[y][held] += 1
     n, m = int(toxic.sum()), int((~toxic).sum())
+    a, b = texts_with[True], texts_with[False]
+    share = (a + b) / (n + m)
 
-    def part(seen: float, expected: float) -> float:
-        return seen * math.log(seen / expected) if seen else 0.0
-
-    def marks(run: str) -> bool:
-        a, b = runs[True][run], runs[False][run]
-        share = (a + b) / (n + m)
-        if a < max(4, SUPPORT * n) or (a + 0.5) / (n + 1) < RATIO * (b + 0.5) / (m + 1):
-            return False
-        return 2 * (part(a, n * share) + part(n - a, n * (1 - share)) + part(b, m * share) + part(m - b, m * (1 - share))) >= EVIDENCE
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
 
-    marking = {r for r in runs[True] if marks(r)}
-    marked = Counter({w: k for w, k in words[True].items() if not marking.isdisjoint(of[w]) and k * (m + 1) >= RATIO * words[False][w] * (n + 1)})
-    return marked, Counter({w: k for w, k in words[False].items() if w not in marked})
+    evidence = 2 * (part(a, n * share) + part(n - a, n * (1 - share)) + part(b, m * share) + part(m - b, m * (1 - share)))
+    parts = (a >= max(4, SUPPORT * n)) & ((a + 0.5) / (n + 1) >= RATIO * (b + 0.5) / (m + 1)) & (evidence >= EVIDENCE)
+    # A window that is itself about as frequent in ordinary texts isn't taken for a run that it happens to hold.
+    own = words_in[True] * (m + 1) >= RATIO * words_in[False] * (n + 1)
+    return own & (words_in[True] > 0) & np.array([parts[r].any() for r in runs], bool)
 
 
-def _dictionaries(texts: list[set[str]], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    marked, others = _marks(texts, toxic)
-    if not marked:  # nothing marks a class: the dictionaries are those of the texts' commonest words
-        marked = Counter(w for held, y in zip(texts, toxic.tolist()) if y for w in held)
-    common = sorted(others.items(), key=lambda x: (-x[1], x[0]))[: ORDINARY_SHARE * max(50, min(len(marked), MOST_MARKS))]
-    strongest = sorted(marked.items(), key=lambda x: (-x[1], x[0]))[:MOST_MARKS]
-    return _trained([(w, 1 + n // 10) for w, n in strongest], 0), _trained([(w, 1 + n // 30) for w, n in common], 1)
+def _dictionaries(vocabulary: list[str], texts: list[np.ndarray], toxic: np.ndarray) -> tuple[bytes, bytes]:
+    counts = {y: np.bincount(np.concatenate([np.zeros(0, np.int64), *[t for t, k in zip(texts, toxic) if k == y]]), minlength=len(vocabulary)) for y in (True, False)}
+    chosen = contrast(vocabulary, texts, toxic)
+    if not chosen.any():  # nothing parts the classes: each dictionary is that of its texts
+        chosen = np.ones(len(vocabulary), bool)
+        return _trained(vocabulary, counts[True], TOXIC_BYTES, 0), _trained(vocabulary, counts[False], ORDINARY_BYTES, 1)
+    return _trained(vocabulary, counts[True] * chosen, TOXIC_BYTES, 0), _trained(vocabulary, counts[False] * ~chosen, ORDINARY_BYTES, 1)
 
 
-def _trained(words: list[tuple[str, int]], seed: int) -> bytes:
-    """A dictionary trained on windows repeated by weight; raw content if there is too little to train on."""
-    samples = [_copies(w) for w, n in words for _ in range(n)][:MOST_WINDOWS]
-    samples = [samples[i] for i in np.random.default_rng(seed).permutation(len(samples))]
+def _trained(vocabulary: list[str], counts: np.ndarray, size: int, seed: int) -> bytes:
+    """A dictionary trained on windows, each as often as the root of its count; the windows themselves if they are too few."""
+    order = sorted(np.flatnonzero(counts), key=lambda i: (-counts[i], vocabulary[i]))
+    drawn = np.repeat(order, np.maximum(1, np.round(np.sqrt(counts[order]))).astype(int)) if order else np.zeros(0, int)
+    drawn = np.random.default_rng(seed).permutation(drawn)[:MOST_WINDOWS]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=DMER).as_bytes()
+        return zstandard.train_dictionary(size, [_copies(vocabulary[i]) for i in drawn], k=SEGMENT, d=DMER).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(_copies(w) for w, _ in words)[-DICTIONARY_BYTES:] or b" "
+        return b"".join(_copies(vocabulary[i]) for i in order)[-size:] or b" "
 
 
 def _curve(weights: tuple[float, ...], x: np.ndarray) -> np.ndarray:
@@ -214,25 +231,30 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit_sample(texts: list[str], toxic: np.ndarray) -> Model:
-    """The model from a bounded sample. Texts that repeat are used once.
+    """The model from a bounded sample. Of texts that repeat, and of near copies, one is used.
 
     Threshold and curve are fitted on margins that every text got from dictionaries trained without its
     fold; the model's own dictionaries are then trained on all folds.
     """
     prior = float(toxic.mean()) if len(toxic) else 0.0
     frame = pd.DataFrame({"text": texts, "y": toxic.astype(bool)}).drop_duplicates("text")
-    y = frame.y.to_numpy()
+    y, plain = frame.y.to_numpy(), pa.array(frame.text.tolist(), pa.large_string())
+    words = windows(plain)
+    coded = words.flatten().dictionary_encode()
+    ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+    codes = np.split(coded.indices.to_numpy().astype(np.int64), ends[1:-1]) if len(frame) else []
+    used = unlike(codes)
+    y, plain, vocabulary = y[used], plain.filter(pa.array(used)), coded.dictionary.to_pylist()
     if min(y.sum(), (~y).sum()) < FOLDS:
         return Model(b"", b"", 0, (), prior)
-    plain = pa.array(frame.text, pa.large_string())
-    held = [set(words) - {""} for words in windows(plain).to_pylist()]
+    held = [np.unique(c) for c, k in zip(codes, used) if k]
     fold = np.zeros(len(y), int)
     for k in (True, False):
         fold[y == k] = np.arange((y == k).sum()) % FOLDS
-    x = [np.zeros((len(y), 3)) for _ in THRESHOLDS]
+    x = [np.zeros((len(y), FEATURES)) for _ in THRESHOLDS]
     for k in range(FOLDS):
         rest = np.flatnonzero(fold != k)
-        margins = Margins(*_dictionaries([held[i] for i in rest], y[rest]))
+        margins = Margins(*_dictionaries(vocabulary, [held[i] for i in rest], y[rest]))
         for whole, part in zip(x, margins.features(plain.filter(pa.array(fold == k)), list(THRESHOLDS))):
             whole[fold == k] = part
     best = None
@@ -242,7 +264,7 @@ def fit_sample(texts: list[str], toxic: np.ndarray) -> Model:
         loss = -np.mean(np.where(y, np.log(p), np.log(1 - p)))
         if best is None or loss < best[0] - 1e-9:
             best = (loss, t, w)
-    return Model(*_dictionaries(held, y), best[1], best[2], prior)
+    return Model(*_dictionaries(vocabulary, held, y), best[1], best[2], prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
