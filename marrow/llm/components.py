@@ -1,6 +1,7 @@
 """Connected components by alternating star joins, all state in written tables.
 
-Each round links every node's larger neighbours to its smallest one (large star), then every node's
+A node of very many links is dealt to parts: its smallest neighbour is found among those of its parts and
+joined part by part, so no task holds all its links. Each round links every node's larger neighbours to its smallest one (large star), then every node's
 smaller neighbours likewise (small star), until nothing changes; the number of rounds grows with the
 logarithm of the longest chain. Only sums and minima leave the executors.
 """
@@ -10,22 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marrow.llm.shared import remove, written
+from marrow.llm.shared import remove, salt, written
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the smallest v of their u."""
+    edges = edges.withColumn("part", salt("v"))
+    least = edges.groupBy("u", "part").agg(F.min("v").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("u")))
+    return edges.join(least, ["u", "part"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges: u > v."""
+    down = _with_least(edges).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    down = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

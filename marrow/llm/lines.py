@@ -2,32 +2,45 @@
 
 Documents arrive in batches, those with the largest ids first. A batch is reduced to one row for each
 distinct long line: its 128-bit hash, the number of documents that hold it and the largest such id. The
-batch is anti-joined with the runs so far: hashes that no run holds get the batch's largest id as their
-keeper, the others only add to the count. The result is written as a new run of level 0, sorted by hash
-within hash partitions. When a level holds ``fanout`` runs they are merged into one of the next level,
-so a batch meets only a few runs. After the last batch the runs say which lines repeat and which
-document keeps them.
+batch is merge-joined with the runs so far: hashes that no run holds get the batch's largest id as their
+keeper, the others only add to the count. The result is written as a new run of level 0. When a level holds
+``fanout`` runs they are merged into one of the next level, so a batch meets only a few runs. After the last
+batch the runs say which lines repeat and which document keeps them.
+
+A run is a table bucketed by hash and sorted within its buckets. All runs have the same buckets, so neither
+joining a batch with the runs nor merging runs shuffles what was written before: only the new batch moves.
+Tables are dropped as soon as they are merged or read for the last time.
 
 Counting combines on the map side, so a line in a third of all documents reaches the shuffle once a
-task. Texts are never shuffled with their lines: only (document, hash) pairs of repeating lines are.
+task. Texts are shuffled at most once, by id, to meet the hashes of the lines that they lose; where those are few
+Spark broadcasts them and texts don't move.
 
 Defined cases: a null or empty text is one empty line; a line that occurs twice in a document counts
 once; every row is a document of its own, and rows that share the largest id all keep the line; rows
 with a null id count for repetition, are no keeper, and lose the line if another row keeps it (if none
-has an id, all keep it); an empty table gives an empty result; other columns are carried along.
+has an id, all keep it); an empty table gives an empty result; other columns are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm.shared import lower_ascii, remove, text_or_empty, work_dir, written
+from marrow.llm.shared import lower_ascii, remove, text_or_empty, unused, work_dir, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: At least so many batches, and more where a batch would have more than BATCH_DOCS documents.
 BATCHES = 4
-FANOUT = 4
+BATCH_DOCS = 50_000_000
+#: Two, so that runs are merged without a shuffle.
+FANOUT = 2
+#: At least so many buckets, and one for every BUCKET_DOCS documents.
+BUCKETS = 8
+BUCKET_DOCS = 100_000
 BLANKS = " \t\n\x0b\x0c\r"
 RUN_SCHEMA = "hash binary, docs long, keeper long"
 
@@ -48,59 +61,81 @@ def long_line_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """The levelled runs, as Parquet folders below path."""
+    """The levelled runs: bucketed tables whose files lie below path."""
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path, fanout
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, fanout: int = FANOUT):
+        self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
         self.levels: list[list[str]] = [[]]
-        self._written = 0
+        self._name, self._written = f"line_run_{uuid.uuid4().hex}", 0
 
     def _write(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        at = f"{self.path}/run-{self._written}-level-{level}"
+        name = f"{self._name}_{self._written}"
+        run.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").saveAsTable(name)
         self._written += 1
-        run.sortWithinPartitions("hash").write.mode("overwrite").parquet(at)
-        self.levels[level].append(at)
+        self.levels[level].append(name)
+
+    def _dropped(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.path}/{name}")
+
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).select("hash", "docs", "keeper")
 
     def rows(self) -> DataFrame:
         """The rows of all runs; a hash has one row in each run that holds it, one of them with its keeper."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
-
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("hash").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+        paths = [f"{self.path}/{name}" for name in self._names()]
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs joined by hash, bucket with bucket; the first two meet without a shuffle."""
+        out = self._run(names[0])
+        for name in names[1:]:
+            more = self._run(name).withColumnsRenamed({"docs": "docs_2", "keeper": "keeper_2"})
+            docs = F.coalesce("docs", F.lit(0)) + F.coalesce("docs_2", F.lit(0))
+            out = out.join(more, "hash", "full_outer").select("hash", docs.alias("docs"), F.coalesce("keeper", "keeper_2").alias("keeper"))
+        return out
 
     def add(self, lines: DataFrame) -> None:
         """lines: doc_id, hash, a row for each document and distinct line. Ids must not exceed those of earlier batches."""
-        batch = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
-        if any(self.levels):
-            known = self.rows().where("keeper is not null").select("hash", F.lit(True).alias("known"))
+        counted = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
+        batch = counted.repartition(self.buckets, "hash")
+        for name in self._names():
+            known = self._run(name).select("hash", F.lit(True).alias("known"))
             batch = batch.join(known, "hash", "left").select("hash", "docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
         self._write(batch, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._merged(self.spark.read.schema(RUN_SCHEMA).parquet(*old)), level + 1)
-            for p in old:
-                remove(self.spark, p)
+            self._write(self._merged(old), level + 1)
+            self._dropped(old)
             level += 1
 
     def repeated(self, min_docs: int) -> DataFrame:
         """hash, keeper of the lines that at least min_docs documents hold."""
-        return self._merged(self.rows()).where(F.col("docs") >= min_docs).select("hash", "keeper")
+        return self._merged(self._names()).where(F.col("docs") >= min_docs).select("hash", "keeper")
+
+    def close(self) -> None:
+        for level in self.levels:
+            self._dropped(level)
+        self.levels = [[]]
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns _n_lines, _n_dropped and _kept (the text without its dropped lines)."""
+def dedup_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = ("_n_lines", "_n_dropped", "_kept")
+) -> DataFrame:
+    """docs with three more columns, called names: lines before dropping, lines dropped, the text without its dropped lines."""
     spark = docs.sparkSession
     folder = work_dir(spark, "lines")
     ids = F.col(id_col).cast("long")
-    low, high = docs.agg(F.min(ids), F.max(ids)).first()
-    runs = LineRuns(spark, folder)
+    low, high, count = docs.agg(F.min(ids), F.max(ids), F.count(F.lit(1))).first()
+    batches = batches or max(BATCHES, -(-count // BATCH_DOCS))
+    runs = LineRuns(spark, folder, max(BUCKETS, -(-count // BUCKET_DOCS)))
     edges = [] if low is None else sorted({low + (high - low + 1) * i // batches for i in range(1, batches)} - {low})
     text = text_or_empty(text_col)
 
@@ -118,20 +153,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     # Written, so that the join below shuffles both sides plainly and a line of many documents can be split.
     repeated = written(runs.repeated(min_docs), f"{folder}/repeated")
+    runs.close()
     losers = hashed(docs).join(repeated, "hash").where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    dropped = losers.groupBy("doc_id").agg(F.collect_set("hash").alias("_drop"))  # at most a document's own lines
-    dropped = dropped.withColumnRenamed("doc_id", "_drop_id")
-    joined = docs.join(dropped, ids.eqNullSafe(F.col("_drop_id")), "left")
+    drop, drop_id, lines_name = unused(docs, "_drop"), unused(docs, "_drop_id"), unused(docs, "_lines")
+    dropped = losers.groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_set("hash").alias(drop))  # at most a document's own lines
+    joined = docs.join(dropped, ids.eqNullSafe(F.col(drop_id)), "left")
     lines = F.split(text, "\n")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("_drop"), key_hash(key))
+        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col(drop), key_hash(key))
 
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, stays))
-    return joined.withColumn("_lines", kept).select(
+    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, stays))
+    n_lines, n_dropped, kept_name = names
+    return joined.withColumn(lines_name, kept).select(
         *[docs[c] for c in docs.columns],
-        F.size(lines).cast("long").alias("_n_lines"),
-        (F.size(lines) - F.size("_lines")).cast("long").alias("_n_dropped"),
-        F.array_join("_lines", "\n").alias("_kept"),
+        F.size(lines).cast("long").alias(n_lines),
+        (F.size(lines) - F.size(lines_name)).cast("long").alias(n_dropped),
+        F.array_join(lines_name, "\n").alias(kept_name),
     )

@@ -20,8 +20,8 @@ unless its members are unlike the ones chosen.
 
 Defined cases: words and lower case are those of simhash.py; texts that are equal in these are one node (so
 are all texts without words); a text of fewer than five words is one shingle; of each group the row with
-the smallest id stays, null ids last, of equal ids one row; other columns are carried along, and none may be
-called ``_row``.
+the smallest id stays, null ids last, of equal ids one row; an empty table gives an empty result; other
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from marrow.llm import simhash
 from marrow.llm.components import components
-from marrow.llm.shared import work_dir, written
+from marrow.llm.shared import unused, work_dir, written
 from marrow.llm.simhash import _LOWER, _WORD, SEED
 
 SHINGLE = 5
@@ -188,13 +188,14 @@ def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each component the row with the smallest id stays."""
     folder = work_dir(docs.sparkSession, "nearcopies")
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), f"{folder}/rows")
-    rows = numbered.select("_row", F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    row = unused(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), f"{folder}/rows")
+    rows = numbered.select(F.col(row).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     prints = written(_prints(rows, _common(rows, shingle), shingle), f"{folder}/prints")
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("first")
     nodes = written(prints.groupBy("digest").agg(first).select("first", F.col("first._row").alias("node")), f"{folder}/nodes")
     posted = prints.withColumnRenamed("_row", "node").join(nodes.select("node"), "node", "left_semi")
     roots = links(posted, rows, folder, shingle)
     keepers = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = written(keepers.select(F.col("first._row").alias("_row")), f"{folder}/keepers")
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    kept = written(keepers.select(F.col("first._row").alias(row)), f"{folder}/keepers")
+    return numbered.join(kept, row, "left_semi").drop(row)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrow.llm.shared import work_dir, written
-from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, best_of_blocks, blocks, top_of_row, usable
+from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, asked, best_of_blocks, blocks, pieces, top_of_row, usable
 
 PIVOTS = 256
 LISTED = 32
@@ -78,8 +78,8 @@ def nearest(vectors: DataFrame, every: int, k: int, pivots: int = PIVOTS, listed
     spark = vectors.sparkSession
     folder = work_dir(spark, "permutation")
     rows = written(usable(vectors, nonzero=True), f"{folder}/vectors")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    count, queries = rows.count(), asked.count()
+    wanted = written(asked(rows, every), f"{folder}/asked")
+    count, queries = rows.count(), wanted.count()
     if not queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # at most ``pivots`` rows
@@ -99,6 +99,5 @@ def nearest(vectors: DataFrame, every: int, k: int, pivots: int = PIVOTS, listed
         return matrix, inverted_file(found, width)
 
     held = written(blocks(rows, count, block, indexed), f"{folder}/blocks")
-    met = written(blocks(asked, queries, query_block, lambda m: (m, lists(m)[0].tobytes())), f"{folder}/queries")
-    tasks = max(1, -(-count // block) * -(-queries // query_block))
-    return best_of_blocks(held, met, lambda q, c: search_block(q, c, max(pivots, listed), listed, k, share if q.matrix.shape[1] in told_apart else 1.0), k, "double", tasks)
+    met = written(blocks(wanted, queries, query_block, lambda m: (m, lists(m)[0].tobytes())), f"{folder}/queries")
+    return best_of_blocks(held, met, lambda q, c: search_block(q, c, max(pivots, listed), listed, k, share if q.matrix.shape[1] in told_apart else 1.0), k, "double", (pieces(count, block), pieces(queries, query_block)))

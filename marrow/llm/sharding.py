@@ -7,9 +7,10 @@ allows (inflow never exceeds free places plus outflow), and the wishes are grant
 Rows without links keep the counts exact at the end: they take the places that linked rows leave.
 
 All members of a group are alike, so the state that the rounds work on has one row for each group and
-shard, not one for each document, and no pairs are made. A group that is larger than a shard fills as
-many shards as it needs. No step needs a group's rows in one task: counts are summed on the map side,
-and running numbers come from bucket counts plus a row number within a bucket of bounded size.
+shard, not one for each document, and no pairs are made. A group that is larger than a shard
+gathers in full shards as far as other groups' wishes leave it places. No step needs a group's rows in one task: counts are summed on the map side,
+running numbers come from bucket counts plus a row number within a bucket of bounded size, and what a
+group's rows have in common is joined bucket by bucket.
 
 Defined cases: a null text counts as an empty one; repeated doc_ids and null doc_ids are rows like any
 others; with fewer rows than shards some shards stay empty; an empty table gives an empty result; other
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from marrow.llm.shared import remove, text_or_empty, work_dir, written
 
 SHARDS = 16
-ROUNDS = 6
+#: At most so many rounds, for each shard; they end when no wish is granted.
+ROUNDS = 1
 #: Rows that one running-number bucket holds on average.
 BUCKET_ROWS = 50_000
 
 
-def _running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], amount: Column, name: str) -> DataFrame:
-    """Adds, as name, the sum of amount over the rows before this one among those with equal keys.
+def _running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], amount: Column, name: str, total: str | None = None) -> DataFrame:
+    """Adds, as name, the sum of amount over the rows before this one among those with equal keys, and if asked the sum over all of these as total.
 
     Two steps: sums by (keys, bucket) are carried forward over the few buckets, and within a bucket by
     a window. So the largest window holds one bucket, whatever a key's share of the rows.
@@ -38,7 +40,8 @@ def _running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], a
     df = df.withColumn("_bucket", bucket)
     sums = df.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    totals = [F.sum("_sum").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"), *totals)
     same = F.col("_bucket") == F.col("_k_bucket")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -81,7 +84,7 @@ def _case(keys: list[Column], values: dict[tuple[int, ...], int]) -> Column:
     return out
 
 
-def propagate(state: DataFrame, capacity: list[int], folder: str, rounds: int = ROUNDS) -> DataFrame:
+def propagate(state: DataFrame, capacity: list[int], folder: str, rounds: int | None = None) -> DataFrame:
     """Moves members of groups between shards; state and result: grp, shard, n (members there).
 
     Each round is written to the shared folder, so lineage stays short and lost executors cost a round.
@@ -89,7 +92,7 @@ def propagate(state: DataFrame, capacity: list[int], folder: str, rounds: int =
     shards = len(capacity)
     spark, previous = state.sparkSession, None
     state = written(state, f"{folder}/round-0")
-    for i in range(1, rounds + 1):
+    for i in range(1, (ROUNDS * shards if rounds is None else rounds) + 1):
         loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         load = [loads.get(t, 0) for t in range(shards)]
         full = [t for t in range(shards) if load[t] >= capacity[t]] if i > 1 else []
@@ -108,6 +111,9 @@ def propagate(state: DataFrame, capacity: list[int], folder: str, rounds: int =
             remove(spark, f"{folder}/wishes-{i}")
             break
         flow = allowed_flows(load, capacity, table)
+        if not any(map(any, flow)):
+            remove(spark, f"{folder}/wishes-{i}")
+            break
         asked = _running(wishes.where("to is not null"), ["shard", "to"], F.pmod(F.xxhash64("grp", F.lit(-i)), F.lit(1024)), ["grp"], F.col("n"), "ahead")
         quota = _case([F.col("shard"), F.col("to")], {(s, t): flow[s][t] for s in range(shards) for t in range(shards)})
         granted = asked.withColumn("go", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), quota - F.col("ahead"))))
@@ -122,19 +128,18 @@ def propagate(state: DataFrame, capacity: list[int], folder: str, rounds: int =
     return state
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, grp (binary digest of the text), shard, slot for every row of docs."""
     spark = docs.sparkSession
     folder = work_dir(spark, "sharding")
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("grp"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("grp"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, f"{folder}/rows")
     total = rows.count()
     buckets = max(64, total // BUCKET_ROWS)
-    groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-    # Every row gets a number within its group; rows of a hot group are numbered in buckets.
-    numbered = _running(rows, ["grp"], F.pmod(F.xxhash64("doc_id"), F.lit(buckets)), ["doc_id"], F.lit(1).cast("long"), "member").join(groups, "grp")
-    numbered = written(numbered, f"{folder}/numbered")
+    # Every row gets a number within its group and its group's size; rows of a hot group are numbered in buckets.
+    part = F.pmod(F.xxhash64("row"), F.lit(buckets))
+    numbered = written(_running(rows, ["grp"], part, ["doc_id", "row"], F.lit(1).cast("long"), "member", "members"), f"{folder}/numbered")
     remove(spark, f"{folder}/rows")
 
     capacity = [total // shards + (t < total % shards) for t in range(shards)]
@@ -146,7 +151,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_c
     # Members [low, high) of a group lie in a shard; at most one row a shard, so the arrays are short.
     up_to = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = state.withColumn("high", F.sum("n").over(up_to)).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("high", "shard"))).alias("spans"))
-    placed = numbered.where("members > 1").join(spans, "grp").withColumn("shard", F.element_at(F.filter("spans", lambda s: s["high"] > F.col("member")), 1)["shard"])
+    members = numbered.where("members > 1").withColumn("part", part)
+    cells = members.select("grp", "part").distinct().join(spans, "grp")  # a group's spans go to each of its parts
+    placed = members.join(cells, ["grp", "part"]).withColumn("shard", F.element_at(F.filter("spans", lambda s: s["high"] > F.col("member")), 1)["shard"])
 
     loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     ends, free = [], 0

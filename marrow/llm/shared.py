@@ -7,16 +7,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no shared folder, as in tests.
+#: Only used where a local session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/marrow"
+#: Parts that the rows of one key are dealt to.
+SALTS = 64
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = FALLBACK_DIR
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,6 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with keyed (one row a key), where one key may hold most of the rows.
+
+    A key's rows are dealt to SALTS parts by the columns spread; the key's one row is sent to those parts that it has.
+    """
+    salted = rows.withColumn("_salt", salt(*spread))
+    cells = salted.select(key, "_salt").distinct().join(keyed, key, how)
+    return salted.join(cells, [key, "_salt"]).drop("_salt")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marrow.llm.components import components
-from marrow.llm.shared import remove, work_dir, written
+from marrow.llm.shared import remove, unused, work_dir, written
 
 SEED = 42
 SHINGLE = 3
@@ -150,11 +150,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
     folder = work_dir(docs.sparkSession, "keep")
     found = written(near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col), f"{folder}/found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("fp"))).alias("first")
-    keepers = written(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp")), f"{folder}/keepers")
+    own, id_name, fp_name = unused(docs, "_own"), unused(docs, "_id"), unused(docs, "_fp")
+    keepers = written(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias(id_name), F.col("first.fp").alias(fp_name)), f"{folder}/keepers")
     ids = F.col(id_col).cast("long")
     if found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return docs.join(keepers, ids == F.col("_id"), "left_semi")
+        return docs.join(keepers, ids == F.col(id_name), "left_semi")
     # Ids that don't name one row: rows are told apart by their fingerprints, and of rows alike in both one stays.
-    whole = fingerprints(docs, docs.columns, shingle, text_col, "_own")
-    kept = whole.join(keepers, ids.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own"]).drop("_own")
+    whole = fingerprints(docs, docs.columns, shingle, text_col, own)
+    kept = whole.join(keepers, ids.eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(fp_name)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)

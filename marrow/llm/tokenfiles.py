@@ -39,12 +39,15 @@ SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 8_192
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
-#: Frames' bytes after which a file ends.
+#: Frames' bytes after which a file ends, and those that one task turns into files.
 FILE_BYTES = 4_000_000
+TASK_BYTES = 8_000_000
 FILES = "part int, number int, dictionary string, doc_ids array<long>, tokens long, content binary"
 
 
 def serialized(ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"id {int(ids.max())} doesn't fit in {width} bytes")
     return ids.astype(f"<u{width}").tobytes()
 
 
@@ -146,7 +149,8 @@ def write_token_files(docs: DataFrame, spec: str, path: str, width: int = 2, end
         if held_frames:
             yield file()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The tasks' number follows the bytes, so a task's share stays the same as tables grow.
+    parts = max(1, -(-(frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0) // TASK_BYTES))
     ordered = frames.repartitionByRange(parts, "doc_id", F.xxhash64("frame")).sortWithinPartitions("doc_id", F.xxhash64("frame"), "frame")
     ordered.mapInArrow(filed, FILES).write.mode("overwrite").parquet(f"{path}/files")
     remove(spark, f"{path}/frames")

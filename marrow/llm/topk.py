@@ -1,6 +1,6 @@
 """Exact top-k search by multi-resolution segment statistics.
 
-A vector is cut into 1, 4 and 16 segments. With a segment's mean m and deviation s (the root of the summed
+A vector is cut into 1, 4, 16 and 32 segments. With a segment's mean m and deviation s (the root of the summed
 squared differences from the mean), Cauchy-Schwarz bounds a segment's part of an inner product by
 length * m * m' + s * s'. Summed over the segments this is an upper bound on the inner product, so a lower
 bound on the distance that it stands for, and it grows tighter from level to level. A block's candidates
@@ -15,12 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marrow.llm.shared import work_dir, written
-from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, best_of_blocks, blocks, top_of_row, usable
+from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, asked, best_of_blocks, blocks, pieces, top_of_row, usable
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
 #: Queries whose bounds are held at once.
 CHUNK = 128
 
@@ -95,10 +94,9 @@ def top_k(vectors: DataFrame, every: int, k: int, scale: float = 256.0, block: i
     spark = vectors.sparkSession
     folder = work_dir(spark, "topk")
     rows = written(usable(vectors), f"{folder}/vectors")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    wanted = written(asked(rows, every), f"{folder}/asked")
     index = lambda m: statistics(m, scale)
-    count, queries = rows.count(), asked.count()
+    count, queries = rows.count(), wanted.count()
     held = written(blocks(rows, count, block, index), f"{folder}/blocks")
-    met = written(blocks(asked, queries, query_block, index), f"{folder}/queries")
-    tasks = max(1, -(-count // block) * -(-queries // query_block))
-    return best_of_blocks(held, met, lambda q, c: search_block(q, c, k), k, "long", tasks)
+    met = written(blocks(wanted, queries, query_block, index), f"{folder}/queries")
+    return best_of_blocks(held, met, lambda q, c: search_block(q, c, k), k, "long", (pieces(count, block), pieces(queries, query_block)))

@@ -3,12 +3,15 @@
 A table of vectors becomes rows that each hold a block: up to ``block`` ids and a matrix, as bytes. Every
 query block meets every candidate block of the same dimension in one task, which keeps the k best of the
 block for each query; a window then keeps the k best of all blocks. So a task's memory is two blocks,
-and the shuffle carries packed blocks instead of pairs of vectors.
+and the shuffle carries packed blocks instead of pairs of vectors: each candidate block once for every
+``QUERY_BLOCK`` queries, each query once for every candidate block. Pairs of blocks have keys of their own, so
+tables of one dimension spread over as many tasks as there are pairs.
 
 Defined cases, for both searches: vectors that are null, empty or hold null or non-finite components take
-no part, neither do rows with a null vec_id; a vec_id names one vector, so rows that repeat it count
-once (of different vectors under one id the smallest in array order counts); vectors of different
-dimensions never meet; an empty table gives an empty result; other columns are ignored.
+no part, neither do rows with a null vec_id; rows alike in vec_id and vector count once; different
+vectors under one vec_id are candidates of their own, for all queries but the one with that id, which is asked
+once (with the smallest of them in array order); vectors of different dimensions never meet; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 8_192
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8_192
 BLOCK_FIELDS = "dim int, block long, ids binary, matrix binary, extra binary"
 
 
@@ -40,14 +43,23 @@ BlockSearch = Callable[[Block, Block], tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nonzero: bool = False) -> DataFrame:
-    """vec_id long, vector array<double>: one row for each id with a usable vector."""
+    """vec_id long, vector array<double>: the rows with a usable vector."""
     v = F.col("vector")
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     out = out.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite))
     if nonzero:
         out = out.where(F.exists(v, lambda x: x != 0))
-    return out.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return out
+
+
+def asked(rows: DataFrame, every: int) -> DataFrame:
+    """Those whose vec_id is divisible by every, one row an id."""
+    return rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+
+
+def pieces(rows: int, block: int) -> int:
+    return max(1, -(-rows // block))
 
 
 def blocks(vectors: DataFrame, rows: int, block: int, index: Callable[[np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
@@ -55,14 +67,18 @@ def blocks(vectors: DataFrame, rows: int, block: int, index: Callable[[np.ndarra
 
     index: makes of a block's matrix the matrix to keep and the block's extra bytes.
     """
-    count = max(1, -(-rows // block))
-    keyed = vectors.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("block"), "vec_id", "vector")
+    # Dealt by id and vector, so that rows that share an id spread as well.
+    number = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(pieces(rows, block)))
+    keyed = vectors.select(F.size("vector").alias("dim"), number.alias("block"), "vec_id", "vector")
 
     def packed(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
         dim = table["dim"][0].as_py()
         matrix = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
+        if len(np.unique(ids)) < len(ids):  # rows alike in id and vector lie in one block
+            alike = np.concatenate([ids.reshape(-1, 1).view("<f8"), matrix], axis=1).view(np.dtype((np.void, 8 * (dim + 1)))).ravel()
+            order = order[np.isin(order, np.unique(alike, return_index=True)[1])]
         kept, extra = index(matrix[order])
         row = [dim, table["block"][0].as_py(), ids[order].tobytes(), kept.tobytes(), extra]
         types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -71,10 +87,14 @@ def blocks(vectors: DataFrame, rows: int, block: int, index: Callable[[np.ndarra
     return keyed.groupBy("dim", "block").applyInArrow(packed, BLOCK_FIELDS)
 
 
-def best_of_blocks(candidates: DataFrame, queries: DataFrame, search: BlockSearch, k: int, score_type: str, tasks: int) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best, by score and then by smaller id."""
-    q = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("extra").alias("q_extra"))
-    met = candidates.join(q, "dim").repartition(tasks, "block", "q_block")
+def best_of_blocks(candidates: DataFrame, queries: DataFrame, search: BlockSearch, k: int, score_type: str, counts: tuple[int, int]) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best, by score and then by smaller id. counts: numbers that blocks of candidates and of queries have."""
+    held, q_held = counts
+    keys = ["dim", "block", "q_block"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    c = candidates.withColumn("q_block", every(q_held)).repartition(held * q_held, *keys)
+    q = queries.select("dim", every(held).alias("block"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("extra").alias("q_extra")).repartition(held * q_held, *keys)
+    met = c.join(q.hint("shuffle_merge"), keys)
     kind = pa.int64() if score_type == "long" else pa.float64()
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

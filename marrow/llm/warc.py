@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marrow.llm.shared import join_hot, salt
+
 CRLF = "\r\n"
 #: Payloads below this many bytes are stored as responses even if they repeat.
 MIN_REVISIT_BYTES = 100
@@ -61,9 +63,9 @@ def _header_text(date: str) -> Column:
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_revisit: int = MIN_REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """Writes one record for each row of pages.
 
-    Only narrow rows are grouped: copies are first counted by (page, url, digest) with map-side
-    combining, so a payload that a third of all rows share reaches the shuffle a few times a task.
-    The bodies are shuffled once, to keep one of each digest, and combined on the map side as well.
+    Copies are counted by (page, url, digest) without their bodies. The first record of a digest is found among
+    its parts' first records, and is joined part by part, so a payload that a third of all rows share is
+    spread over tasks. The bodies are shuffled once, to keep one of each digest, and combined on the map side.
     """
     archive = Archive(path)
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("about:blank")), "\r", "%0D"), "\n", "%0A"), " ", "%20")
@@ -71,9 +73,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
 
     counted = base.groupBy("page", "uri", "digest", "payload_bytes").agg(F.count(F.lit(1)).alias("copies"))
-    firsts = counted.groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("no_id"), F.col("page"), F.col("uri"))).alias("first"))
+    counted = counted.withColumn("part", salt("page", "uri"))
+    firsts = counted.groupBy("digest", "part").agg(F.min(F.struct(F.col("page").isNull().alias("no_id"), F.col("page"), F.col("uri"))).alias("first"))
+    firsts = firsts.withColumn("first", F.min("first").over(Window.partitionBy("digest")))  # one row a part
     records = (
-        counted.join(firsts, "digest")
+        counted.join(firsts, ["digest", "part"])
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .withColumn("is_first", F.col("page").eqNullSafe(F.col("first.page")) & (F.col("uri") == F.col("first.uri")) & (F.col("copy") == 1))
         .withColumn("record_type", F.when((F.col("payload_bytes") < min_revisit) | F.col("is_first"), "response").otherwise("revisit"))
@@ -108,7 +112,7 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     )
     sizes = read_payloads(spark, archive).select(F.col("digest").alias("payload_digest"), "payload_bytes")
     return (
-        parsed.join(sizes, "payload_digest", "left")
+        join_hot(parsed, sizes, "payload_digest", ["record_id"], "left")
         .withColumn("payload_bytes", F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no payload has digest "), F.col("payload_digest"))).cast("long")))
         .withColumn("page_id", _page_of(F.col("record_id")))
         .withColumn("refers_to", _page_of(F.col("refers_to_id")))
@@ -121,4 +125,4 @@ def reconstruct(spark: SparkSession, archive: Archive) -> DataFrame:
     text = F.decode("header", "UTF-8")
     end = F.lit(bytearray(b"\r\n\r\n"))
     body = F.when(text.contains("WARC-Type: revisit\r\n"), F.lit(bytearray())).otherwise(F.col("payload"))
-    return headers.join(read_payloads(spark, archive), "digest").select(F.regexp_extract(text, r"WARC-Record-ID: (<[^>]*>)\r\n", 1).alias("record_id"), F.concat("header", body, end).alias("record"))
+    return join_hot(headers, read_payloads(spark, archive), "digest", ["header"]).select(F.regexp_extract(text, r"WARC-Record-ID: (<[^>]*>)\r\n", 1).alias("record_id"), F.concat("header", body, end).alias("record"))

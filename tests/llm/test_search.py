@@ -164,3 +164,12 @@ def test_links_find_every_pair_with_and_without_hot_cells(spark, tmp_path):
             to = {v: v for v in values} | {r.node: r.root for r in found}
             assert len(set(to.values())) == wanted
             assert all(roots[r.node % (1 << 64)] == roots[r.root % (1 << 64)] for r in found)
+
+
+def test_different_vectors_under_one_id_are_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (3, [0.5, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (10, [0.25, 1.0]), (10, [0.25, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (1, 100):
+        found = rows_of(topk.top_k(df, 10, 9, scale=4.0, block=block))
+        assert found == [(0, 1, 3, 32), (0, 2, 3, 8), (0, 3, 10, 4), (0, 4, 10, 4), (10, 1, 3, 8), (10, 2, 0, 4), (10, 3, 3, 2)]
+        assert [r[2:] for r in rows_of(permutation.nearest(df, 10, 9, block=block)) if r[0] == 0] == [(3, 2.0), (3, 0.5), (10, 0.25), (10, 0.25)]

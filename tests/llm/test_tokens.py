@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers
 import pyarrow.parquet as pq
 import tiktoken
@@ -155,3 +156,9 @@ def test_byte_bpe_of_odd_texts(spark):
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(text)
         assert bytes(r.decoded) == text.encode()
     assert bytebpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_ids_beyond_the_width_are_an_error():
+    with pytest.raises(ValueError):
+        tokenfiles.serialized(np.array([1, 70_000], np.uint32), 2)
+    assert tokenfiles.serialized(np.array([1, 65_535], np.uint32), 2) == b"\x01\x00\xff\xff"
