@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 
 from marrow.llm import lines, nearcopies, packing, toxicity
 from marrow.llm.queries import fitted_toxicity, word_tokenizer
-from marrow.llm.shared import table, work_dir, written
+from marrow.llm.shared import table, unused, work_dir, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below 0.5 stay."""
     model = fitted_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model, name="_score").where(F.col("_score") < 0.5).drop("_score")
+    name = unused(docs, "_score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; text and n_chars are those without the lines that it loses."""
-    out = lines.dedup_lines(docs)
-    changed = F.col("_n_dropped") > 0
-    out = out.withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text")))
+    names = tuple(unused(docs, name) for name in ("_n_lines", "_n_dropped", "_kept"))
+    out = lines.dedup_lines(docs, names=names)
+    changed = F.col(names[1]) > 0
+    out = out.withColumn("text", F.when(changed, F.col(names[2])).otherwise(F.col("text")))
     out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
