@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from marrow.llm import simhash
 from marrow.llm.components import components
-from marrow.llm.shared import unused, work_dir, written
+from marrow.llm.shared import remove, unused, work_dir, written
 from marrow.llm.simhash import _LOWER, _WORD, SEED
 
 SHINGLE = 5
 #: Similar texts share at least ALIKE / WHOLE of their union's shingles.
 ALIKE, WHOLE = 4, 5
-STARS = 2
+STARS = 1
 #: Longs of a sketch, 64 segments each.
 SKETCH = 8
 #: One row in SAMPLED is asked for common shingles, and so many are known at most.
@@ -129,8 +129,8 @@ def _near(a: str, b: str) -> Column:
     return (F.least(n, m) * WHOLE >= F.greatest(n, m) * ALIKE) & (apart * (WHOLE + ALIKE) <= (n + m) * (WHOLE - ALIKE))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) whose whole texts are similar."""
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, path: str) -> DataFrame:
+    """The pairs (u, v) whose whole texts are similar. Only texts that are in a pair are shuffled."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -141,7 +141,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
             out.append(similar_sets(held, set(_shingles(y, shingle)[1])))
         return pd.Series(out, dtype=bool)
 
-    texts = lambda end: rows.select(F.col("_row").alias(end), F.col("_text").alias(f"_{end}"))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
+    needed = written(rows.select("_row", "_text").join(ends, "_row", "left_semi"), path)
+    texts = lambda end: needed.select(F.col("_row").alias(end), F.col("_text").alias(f"_{end}"))
     return pairs.join(texts("v"), "v").join(texts("u"), "u").where(alike("_u", "_v")).select("u", "v")
 
 
@@ -160,7 +162,8 @@ def _fingerprint_pairs(nodes: DataFrame, folder: str) -> DataFrame:
 def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE) -> DataFrame:
     """node, root: components of similar texts. nodes: node, fp, n, prefix, s0 ...; rows: _row (a node's number), _text."""
     tried = written(_fingerprint_pairs(nodes, folder), f"{folder}/pairs-simhash")
-    found = written(_verified(tried, rows, shingle), f"{folder}/found-simhash")
+    found = written(_verified(tried, rows, shingle, f"{folder}/texts-simhash"), f"{folder}/found-simhash")
+    remove(rows.sparkSession, f"{folder}/texts-simhash")
     roots = components(found, f"{folder}/round-simhash")
     bits = [f"s{i}" for i in range(SKETCH)]
     lists = nodes.select("node", "n", *bits, F.explode("prefix").alias("key"))
@@ -180,7 +183,8 @@ def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE
         pairs = pairs.where((F.col("a.root") != F.col("b.root")) & _near("a", "b")).select(*ends).distinct()
         pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), f"{folder}/pairs-{i}")
         tried = tried.unionByName(pairs)
-        found = written(_verified(pairs, rows, shingle), f"{folder}/found-{i}")
+        found = written(_verified(pairs, rows, shingle, f"{folder}/texts-{i}"), f"{folder}/found-{i}")
+        remove(rows.sparkSession, f"{folder}/texts-{i}")
         roots = components(found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), f"{folder}/round-{i}")
     return roots
 

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 END_ID = 2
 #: Words, pre-tokens and ids that a Python worker keeps; the caches start again when one is full.
-CACHE_WORDS, CACHE_PIECES, CACHE_IDS = 150_000, 700_000, 6_000_000
+CACHE_WORDS, CACHE_PIECES, CACHE_IDS = 150_000, 500_000, 6_000_000
 #: Longer words are encoded but not found again.
 CACHE_WORD_CHARS = 64
 #: Fixed value: the tokenizer's pattern of pre-tokens.

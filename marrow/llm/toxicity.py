@@ -7,8 +7,8 @@ a row, so that no frame falls back to stored bytes, and the trained dictionaries
 alone (their entropy tables would make lengths under two dictionaries incomparable). A window's margin is its
 length under the ordinary dictionary less that under the toxic one. A text is described by its windows'
 margins: the largest, and how many reach the calibrated threshold, absolutely and for the text's length. A
-logistic curve over these, fitted on margins of labelled texts under dictionaries that did not see them, makes a
-score between 0 and 1.
+logistic curve over these, fitted on margins of labelled texts that the dictionaries did not see, makes a score
+between 0 and 1.
 
 Toxic texts consist of ordinary windows for the most part, and a dictionary holds what is frequent. So the
 windows to train on are sampled by contrast: those of toxic texts that hold a run of characters which is several
@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,14 +54,15 @@ GRAM, RATIO, EVIDENCE, SUPPORT = 5, 4.0, 20.0, 0.01
 MOST_WINDOWS = 100_000
 #: Hashes that tell near copies in the sample.
 COPY_SEEDS = 4
-FOLDS = 3
+FOLDS = 4
 FEATURES = 4
 THRESHOLDS = range(2, 8)
 #: Longer labelled texts are left out of the sample, which bounds its bytes.
 SAMPLE_TEXT_CHARS = 30_000
 CACHE_WORDS = 400_000
 #: Bytes of text whose windows are scored at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+_MARKS = regex.compile(r"[\p{P}\p{S}]+")
 
 
 @dataclass(frozen=True)
@@ -72,26 +74,36 @@ class Model:
     prior: float
 
 
-def _cut(word: str) -> list[str]:
-    """The word, or if it is longer than a window overlapping windows that hold all of it."""
-    w = word.encode()
-    if len(w) <= WINDOW_BYTES:
-        return [word]
-    step = WINDOW_BYTES // 2
-    return [w[at : at + WINDOW_BYTES].decode(errors="ignore") for at in range(0, len(w) - step, step)]
+def windows_of(run: str) -> list[str]:
+    """The windows of a run without blanks: its words in lower case, cut with overlaps where they are longer than a window."""
+    if run.isalpha() and len(run) <= WINDOW_BYTES // 2:
+        run = run.lower()
+        if len(run.encode()) <= WINDOW_BYTES:
+            return [run]
+    out = []
+    for word in _MARKS.split(run.lower()):
+        w = word.encode()
+        if len(w) <= WINDOW_BYTES:
+            out += [word] if w else []
+        else:
+            step = WINDOW_BYTES // 2
+            out += [w[at : at + WINDOW_BYTES].decode(errors="ignore") for at in range(0, len(w) - step, step)]
+    return out
 
 
-def windows(texts: pa.Array) -> pa.Array:
-    """A list of words for each text; words longer than a window are cut."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[\p{P}\p{S}]+", " ")
-    words = pc.utf8_split_whitespace(plain)
-    flat = words.flatten()
-    if not pc.any(pc.greater(pc.binary_length(flat), WINDOW_BYTES)).as_py():
-        return words
-    pieces = [_cut(w) for w in flat.to_pylist()]
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-    offsets = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
-    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array([w for p in pieces for w in p], flat.type))
+def runs(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different runs without blanks, the position of each run of the texts among them, and where each text's runs begin and end."""
+    found = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = found.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), found.offsets.to_numpy() - found.offsets[0].as_py()
+
+
+def windows(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+    """The different windows, and for each text its windows in their order, as positions among them."""
+    names, at, ends = runs(texts)
+    vocabulary: dict[str, int] = {}
+    of = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in windows_of(run)], np.int64) for run in names]
+    return list(vocabulary), [np.concatenate([np.zeros(0, np.int64), *[of[i] for i in part]]) for part in np.split(at, ends[1:-1])] if len(texts) else []
 
 
 def _copies(word: str) -> bytes:
@@ -110,20 +122,22 @@ class Margins:
 
         self.toxic, self.ordinary = coder(toxic), coder(ordinary)
         self.cache: dict[str, int] = {}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words), np.int64)
-        for i, w in enumerate(words):
-            m = self.cache.get(w)
-            if m is None:
-                c = _copies(w)
-                m = len(self.ordinary.compress(c)) - len(self.toxic.compress(c)) if w else 0
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                if len(w) <= WINDOW_BYTES:
-                    self.cache[w] = m
-            out[i] = m
-        return out
+        self.before: dict[str, int] = {}
+
+    def _of(self, window: str) -> int:
+        found = self.before.get(window)
+        if found is None:
+            c = _copies(window)
+            found = len(self.ordinary.compress(c)) - len(self.toxic.compress(c))
+        if len(self.cache) >= CACHE_WORDS // 2:  # windows not asked for since the last change are forgotten
+            self.before, self.cache = self.cache, {}
+        self.cache[window] = found
+        return found
+
+    def of(self, run: str) -> list[int]:
+        """The margins of a run's windows."""
+        known, other = self.cache.get, self._of
+        return [m if (m := known(w)) is not None else other(w) for w in windows_of(run)]
 
     def features(self, texts: pa.Array, thresholds: list[int]) -> list[np.ndarray]:
         """A table for each threshold; a text's row: the largest margin above zero; logs of the count of margins that reach the threshold, of their share by length, and of their sum by length."""
@@ -135,15 +149,15 @@ class Margins:
             while upto < len(texts) and (upto == at or held + sizes[upto] <= SLICE_BYTES):
                 held += sizes[upto]
                 upto += 1
-            words = windows(texts.slice(at, upto - at))
-            ends = words.offsets.to_numpy() - words.offsets[0].as_py()
-            coded = words.flatten().dictionary_encode()
-            margins = np.append(self.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64), 0)
-            largest = np.where(np.diff(ends) > 0, np.maximum.reduceat(margins, ends[:-1]), 0)
+            names, of_text, ends = runs(texts.slice(at, upto - at))
+            margins = [self.of(run) for run in names]
+            tops = np.array([max(m, default=0) for m in margins] + [0])
+            tops = np.append(tops[of_text], 0)
+            largest = np.where(np.diff(ends) > 0, np.maximum.reduceat(tops, ends[:-1]), 0)
             kilobytes = np.maximum(sizes[at:upto] / 1000, 0.2)
             for table, threshold in zip(out, thresholds):
-                reached = np.where(margins >= threshold, margins, 0)
-                hits, total = (np.concatenate([[0], np.cumsum(x)]) for x in (reached > 0, reached))
+                reached = [[x for x in m if x >= threshold] for m in margins]
+                hits, total = (np.concatenate([[0], np.cumsum(np.array(x, np.int64)[of_text])]) for x in ([len(r) for r in reached], [sum(r) for r in reached]))
                 hits, total = hits[ends[1:]] - hits[ends[:-1]], total[ends[1:]] - total[ends[:-1]]
                 table.append(np.stack([np.maximum(largest, 0), np.log1p(hits), np.log1p(hits / kilobytes), np.log1p(total / kilobytes)], axis=1))
             at = upto
@@ -233,38 +247,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def fit_sample(texts: list[str], toxic: np.ndarray) -> Model:
     """The model from a bounded sample. Of texts that repeat, and of near copies, one is used.
 
-    Threshold and curve are fitted on margins that every text got from dictionaries trained without its
-    fold; the model's own dictionaries are then trained on all folds.
+    Dictionaries are trained on all folds but one, threshold and curve are calibrated on that one's margins, so
+    that chance likenesses of these very dictionaries are allowed for. The best calibrated of the folds is the model.
     """
     prior = float(toxic.mean()) if len(toxic) else 0.0
     frame = pd.DataFrame({"text": texts, "y": toxic.astype(bool)}).drop_duplicates("text")
     y, plain = frame.y.to_numpy(), pa.array(frame.text.tolist(), pa.large_string())
-    words = windows(plain)
-    coded = words.flatten().dictionary_encode()
-    ends = words.offsets.to_numpy() - words.offsets[0].as_py()
-    codes = np.split(coded.indices.to_numpy().astype(np.int64), ends[1:-1]) if len(frame) else []
+    vocabulary, codes = windows(plain)
     used = unlike(codes)
-    y, plain, vocabulary = y[used], plain.filter(pa.array(used)), coded.dictionary.to_pylist()
+    y, plain = y[used], plain.filter(pa.array(used))
     if min(y.sum(), (~y).sum()) < FOLDS:
         return Model(b"", b"", 0, (), prior)
     held = [np.unique(c) for c, k in zip(codes, used) if k]
     fold = np.zeros(len(y), int)
     for k in (True, False):
         fold[y == k] = np.arange((y == k).sum()) % FOLDS
-    x = [np.zeros((len(y), FEATURES)) for _ in THRESHOLDS]
-    for k in range(FOLDS):
-        rest = np.flatnonzero(fold != k)
-        margins = Margins(*_dictionaries(vocabulary, [held[i] for i in rest], y[rest]))
-        for whole, part in zip(x, margins.features(plain.filter(pa.array(fold == k)), list(THRESHOLDS))):
-            whole[fold == k] = part
     best = None
-    for t, table in zip(THRESHOLDS, x):
-        w = _logistic(table, y.astype(float))
-        p = np.clip(_curve(w, table), 1e-12, 1 - 1e-12)
-        loss = -np.mean(np.where(y, np.log(p), np.log(1 - p)))
-        if best is None or loss < best[0] - 1e-9:
-            best = (loss, t, w)
-    return Model(*_dictionaries(vocabulary, held, y), best[1], best[2], prior)
+    for k in range(FOLDS):
+        rest, other = np.flatnonzero(fold != k), fold == k
+        pair = _dictionaries(vocabulary, [held[i] for i in rest], y[rest])
+        for t, table in zip(THRESHOLDS, Margins(*pair).features(plain.filter(pa.array(other)), list(THRESHOLDS))):
+            w = _logistic(table, y[other].astype(float))
+            p = np.clip(_curve(w, table), 1e-12, 1 - 1e-12)
+            loss = -np.mean(np.where(y[other], np.log(p), np.log(1 - p)))
+            if best is None or loss < best[0] - 1e-9:
+                best = (loss, Model(*pair, t, w, prior))
+    return best[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -294,9 +302,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     """docs with the score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(scores(shared.value, pa.array(texts, pa.large_string(), from_pandas=True)))
+            yield pa.array(scores(shared.value, texts), pa.float64())
 
     return docs.withColumn(name, scored(F.col(text_col)))
