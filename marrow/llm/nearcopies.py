@@ -30,7 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,22 +50,24 @@ SKETCH = 8
 SAMPLED, MOST_COMMON = 16, 50_000
 
 
-def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[bytes]]:
-    """The text's words with one space between, and its shingles in a row."""
-    words = _WORD.findall((text or "").encode().translate(_LOWER))
-    line = b" ".join(words)
-    if not words:
-        return line, []
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = (ends - np.array([len(w) for w in words])).tolist()
-    n = max(1, len(words) - shingle + 1)
-    last = ends[-n:].tolist() if len(words) >= shingle else [len(line)]
-    return line, [line[a:b] for a, b in zip(starts[:n], last)]
+def _words(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").encode().translate(_LOWER))
+
+
+def _shingles(words: list[bytes], shingle: int) -> set[bytes]:
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
 
-def _hashes(shingles: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """A 64-bit hash of each shingle, repeats included, rolled from the words' XXH64."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    of_words, out = np.array([digest(w, SEED) for w in words], np.uint64), np.zeros(n, np.uint64)
+    for j in range(min(shingle, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + of_words[j : j + n]
+    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return out ^ (out >> np.uint64(29))
 
 
 def sketch(distinct: np.ndarray) -> np.ndarray:
@@ -80,16 +82,16 @@ def similar_sets(a: set[bytes], b: set[bytes]) -> bool:
 
 
 def similar(a: str | None, b: str | None, shingle: int = SHINGLE) -> bool:
-    return similar_sets(set(_shingles(a, shingle)[1]), set(_shingles(b, shingle)[1]))
+    return similar_sets(_shingles(_words(a), shingle), _shingles(_words(b), shingle))
 
 
 def _common(rows: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of shingles that several sampled rows have; at most MOST_COMMON."""
 
-    @F.pandas_udf("array<long>")
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([np.unique(_hashes(_shingles(t if isinstance(t, str) else None, shingle)[1])).view("<i8") for t in texts], dtype=object)
+            yield pa.array([np.unique(_hashes(_words(t.as_py()), shingle)).view("<i8") for t in texts], pa.list_(pa.int64()))
 
     sample = rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLED)) == 0)
     counts = sample.select(F.explode(hashes("_text")).alias("key")).groupBy("key").count().where("count > 3")
@@ -100,21 +102,24 @@ def _prints(rows: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
     """_row, _id, digest of the normal text, fp (SimHash), n (different shingles), prefix (those posted), sketch."""
     held = rows.sparkSession.sparkContext.broadcast(common)
 
-    @F.pandas_udf("digest binary, fp long, n int, prefix array<long>, sketch array<long>")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = [("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+
+    @F.arrow_udf("digest binary, fp long, n int, prefix array<long>, sketch array<long>")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         late = held.value
         for texts in batches:
             out = []
             for t in texts:
-                line, found = _shingles(t if isinstance(t, str) else None, shingle)
-                hashes = _hashes(found)
+                words = _words(t.as_py())
+                hashes = _hashes(words, shingle)
                 keys = np.unique(hashes).view("<i8")
                 n = len(keys)
                 at = np.minimum(np.searchsorted(late, keys), max(0, len(late) - 1))
                 order = np.argsort(late[at] == keys, kind="stable") if len(late) else np.arange(n)
                 prefix = keys[order[: n - (ALIKE * n + WHOLE - 1) // WHOLE + 1 if n else 0]]
-                out.append((hashlib.sha256(line).digest(), simhash.majority(hashes), n, prefix, sketch(keys)))
-            yield pd.DataFrame(out, columns=["digest", "fp", "n", "prefix", "sketch"])
+                out.append((hashlib.sha256(b" ".join(words)).digest(), simhash.majority(hashes), n, prefix, sketch(keys)))
+            columns = zip(*out) if out else [[] for _ in kinds]
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[name for name, _ in kinds])
 
     bits = [F.col("p.sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
     return rows.select("_row", "_id", prints("_text").alias("p")).select("_row", "_id", "p.digest", "p.fp", "p.n", "p.prefix", *bits)
@@ -132,14 +137,17 @@ def _near(a: str, b: str) -> Column:
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, path: str) -> DataFrame:
     """The pairs (u, v) whose whole texts are similar. Only texts that are in a pair are shuffled."""
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, before, held = [], None, set()
-        for x, y in zip(a, b):  # pairs come sorted by the first text's row mostly
-            if x != before:
-                before, held = x, set(_shingles(x, shingle)[1])
-            out.append(similar_sets(held, set(_shingles(y, shingle)[1])))
-        return pd.Series(out, dtype=bool)
+    @F.arrow_udf("boolean")
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        before, held = None, set()
+        for us, vs in batches:
+            out = []
+            for x, y in zip(us, vs):  # many pairs in a row have the same first text
+                x = x.as_py()
+                if x != before:
+                    before, held = x, _shingles(_words(x), shingle)
+                out.append(similar_sets(held, _shingles(_words(y.as_py()), shingle)))
+            yield pa.array(out, pa.bool_())
 
     ends = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
     needed = written(rows.select("_row", "_text").join(ends, "_row", "left_semi"), path)

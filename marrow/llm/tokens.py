@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 END_ID = 2
 #: Words, pre-tokens and ids that a Python worker keeps; the caches start again when one is full.
-CACHE_WORDS, CACHE_PIECES, CACHE_IDS = 150_000, 500_000, 6_000_000
+CACHE_WORDS, CACHE_PIECES, CACHE_IDS = 75_000, 300_000, 3_000_000
 #: Longer words are encoded but not found again.
 CACHE_WORD_CHARS = 64
 #: Fixed value: the tokenizer's pattern of pre-tokens.
@@ -32,7 +32,7 @@ PLAIN = regex.compile(r"[\x21-\x7E\u00C0-\u00FF\u0152\u0153\u2010-\u2027\u20AC]*
 LENGTH_BITS = 27
 LENGTH_MASK = (1 << LENGTH_BITS) - 1
 #: Bytes of text that are split into words at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 @lru_cache(maxsize=2)

@@ -59,9 +59,9 @@ FEATURES = 4
 THRESHOLDS = range(2, 8)
 #: Longer labelled texts are left out of the sample, which bounds its bytes.
 SAMPLE_TEXT_CHARS = 30_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Bytes of text whose windows are scored at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _MARKS = regex.compile(r"[\p{P}\p{S}]+")
 
 
