@@ -8,10 +8,11 @@ shingles the first n - ceil(0.8 n) + 1 are posted. Two texts with similarity 0.8
 shingles of either, so they meet in a posted one: no pair is missed. Any order is right; commonest shingles
 come last, as far as a sample of the rows shows them, so that boilerplate is seldom posted.
 
-Before a pair is verified it must pass a bound of the same kind as the operator's: shingles are dealt to 512
-segments, and a text's sketch holds one bit for each, whether its count is odd. Two sketches differ in no more
-bits than the texts differ in shingles, and similar texts differ in at most a ninth of both counts together;
-so pairs whose sketches lie farther apart go, and no similar one is among them.
+Before a pair is verified it must pass a bound of the same kind as the operator's, coarse to fine: shingles are
+dealt to segments, and a text's sketch holds one bit for each, whether its count is odd. Two sketches differ in no
+more bits than the texts differ in shingles, and similar texts differ in at most a ninth of both counts together;
+so pairs whose sketches lie farther apart go, and no similar one is among them. Posts carry 256 segments; pairs
+that pass meet sketches of at least twice as many segments as shingles, and only what passes these too is read.
 
 A list's texts are first compared with one of them, chosen anew in each of ``STARS`` rounds, and what is found
 alike is one component from then on. Pairs of a list that lie in different components after that are all
@@ -44,8 +45,9 @@ SHINGLE = 5
 #: Similar texts share at least ALIKE / WHOLE of their union's shingles.
 ALIKE, WHOLE = 4, 5
 STARS = 1
-#: Longs of a sketch, 64 segments each.
-SKETCH = 8
+#: Longs of a post's sketch, 64 segments each; texts of more shingles than WIDE also have a sketch as wide as they are long.
+SKETCH = 4
+WIDE = 128
 #: One row in SAMPLED is asked for common shingles, and so many are known at most.
 SAMPLED, MOST_COMMON = 16, 50_000
 
@@ -70,12 +72,26 @@ def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def sketch(distinct: np.ndarray) -> np.ndarray:
-    """For each segment of different shingles one bit, whether it holds an odd number of them; as SKETCH longs."""
-    odd = np.bincount((distinct.view("<u8") % (64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(distinct: np.ndarray, segments: int = 64 * SKETCH) -> np.ndarray:
+    """For each segment of different shingles one bit, whether it holds an odd number of them; as longs. segments: a power of two."""
+    odd = np.bincount((distinct.view("<u8") & np.uint64(segments - 1)).astype(np.int64), minlength=segments) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_sketch(distinct: np.ndarray) -> bytes:
+    n = len(distinct)
+    return sketch(distinct, 2 << (n - 1).bit_length()).tobytes() if n > WIDE else b""
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """In how many bits wide sketches differ, the longer one folded; 0 if either text has none."""
+    if not a or not b:
+        return 0
+    x, y = sorted((np.frombuffer(s, np.uint64) for s in (a, b)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def similar_sets(a: set[bytes], b: set[bytes]) -> bool:
     both = len(a & b)
     return WHOLE * both >= ALIKE * (len(a) + len(b) - both)
@@ -99,12 +115,12 @@ def _common(rows: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prints(rows: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
-    """_row, _id, digest of the normal text, fp (SimHash), n (different shingles), prefix (those posted), sketch."""
+    """_row, _id, digest of the normal text, fp (SimHash), n (different shingles), prefix (those posted), wide and s0 ... (sketches)."""
     held = rows.sparkSession.sparkContext.broadcast(common)
 
-    kinds = [("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    kinds = [("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("wide", pa.binary())]
 
-    @F.arrow_udf("digest binary, fp long, n int, prefix array<long>, sketch array<long>")
+    @F.arrow_udf("digest binary, fp long, n int, prefix array<long>, sketch array<long>, wide binary")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         late = held.value
         for texts in batches:
@@ -117,12 +133,12 @@ def _prints(rows: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(late, keys), max(0, len(late) - 1))
                 order = np.argsort(late[at] == keys, kind="stable") if len(late) else np.arange(n)
                 prefix = keys[order[: n - (ALIKE * n + WHOLE - 1) // WHOLE + 1 if n else 0]]
-                out.append((hashlib.sha256(b" ".join(words)).digest(), simhash.majority(hashes), n, prefix, sketch(keys)))
+                out.append((hashlib.sha256(b" ".join(words)).digest(), simhash.majority(hashes), n, prefix, sketch(keys), wide_sketch(keys)))
             columns = zip(*out) if out else [[] for _ in kinds]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[name for name, _ in kinds])
 
     bits = [F.col("p.sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
-    return rows.select("_row", "_id", prints("_text").alias("p")).select("_row", "_id", "p.digest", "p.fp", "p.n", "p.prefix", *bits)
+    return rows.select("_row", "_id", prints("_text").alias("p")).select("_row", "_id", "p.digest", "p.fp", "p.n", "p.prefix", "p.wide", *bits)
 
 
 def _near(a: str, b: str) -> Column:
@@ -134,8 +150,16 @@ def _near(a: str, b: str) -> Column:
     return (F.least(n, m) * WHOLE >= F.greatest(n, m) * ALIKE) & (apart * (WHOLE + ALIKE) <= (n + m) * (WHOLE - ALIKE))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, path: str) -> DataFrame:
-    """The pairs (u, v) whose whole texts are similar. Only texts that are in a pair are shuffled."""
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, path: str) -> DataFrame:
+    """The pairs (u, v) whose whole texts are similar. Only texts that are in a pair which passes all bounds are shuffled."""
+
+    @F.arrow_udf("int")
+    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([wide_apart(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.int32())
+
+    known = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"_n_{end}"), F.col("wide").alias(f"_w_{end}"))
+    near = apart("_w_u", "_w_v") * (WHOLE + ALIKE) <= (F.col("_n_u") + F.col("_n_v")) * (WHOLE - ALIKE)
+    pairs = written(pairs.join(known("u"), "u").join(known("v"), "v").where(near).select("u", "v"), f"{path}/pairs")
 
     @F.arrow_udf("boolean")
     def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -150,7 +174,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, path: str) -> Dat
             yield pa.array(out, pa.bool_())
 
     ends = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
-    needed = written(rows.select("_row", "_text").join(ends, "_row", "left_semi"), path)
+    needed = written(rows.select("_row", "_text").join(ends, "_row", "left_semi"), f"{path}/texts")
     texts = lambda end: needed.select(F.col("_row").alias(end), F.col("_text").alias(f"_{end}"))
     return pairs.join(texts("v"), "v").join(texts("u"), "u").where(alike("_u", "_v")).select("u", "v")
 
@@ -170,7 +194,7 @@ def _fingerprint_pairs(nodes: DataFrame, folder: str) -> DataFrame:
 def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE) -> DataFrame:
     """node, root: components of similar texts. nodes: node, fp, n, prefix, s0 ...; rows: _row (a node's number), _text."""
     tried = written(_fingerprint_pairs(nodes, folder), f"{folder}/pairs-simhash")
-    found = written(_verified(tried, rows, shingle, f"{folder}/texts-simhash"), f"{folder}/found-simhash")
+    found = written(_verified(tried, nodes, rows, shingle, f"{folder}/texts-simhash"), f"{folder}/found-simhash")
     remove(rows.sparkSession, f"{folder}/texts-simhash")
     roots = components(found, f"{folder}/round-simhash")
     bits = [f"s{i}" for i in range(SKETCH)]
@@ -191,7 +215,7 @@ def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE
         pairs = pairs.where((F.col("a.root") != F.col("b.root")) & _near("a", "b")).select(*ends).distinct()
         pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), f"{folder}/pairs-{i}")
         tried = tried.unionByName(pairs)
-        found = written(_verified(pairs, rows, shingle, f"{folder}/texts-{i}"), f"{folder}/found-{i}")
+        found = written(_verified(pairs, nodes, rows, shingle, f"{folder}/texts-{i}"), f"{folder}/found-{i}")
         remove(rows.sparkSession, f"{folder}/texts-{i}")
         roots = components(found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), f"{folder}/round-{i}")
     return roots
@@ -207,7 +231,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", te
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("first")
     nodes = written(prints.groupBy("digest").agg(first).select("first", F.col("first._row").alias("node")), f"{folder}/nodes")
     posted = prints.withColumnRenamed("_row", "node").join(nodes.select("node"), "node", "left_semi")
-    roots = links(posted, rows, folder, shingle)
+    roots = links(posted, rows, f"{folder}/links", shingle)
     keepers = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = written(keepers.select(F.col("first._row").alias(row)), f"{folder}/keepers")
+    for part in ("links", "prints", "nodes"):
+        remove(docs.sparkSession, f"{folder}/{part}")
     return numbered.join(kept, row, "left_semi").drop(row)

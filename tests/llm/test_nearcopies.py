@@ -73,3 +73,16 @@ def test_ids_that_repeat_or_lack(spark):
     kept = sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in nearcopies.keep_one(docs).collect())
     assert kept == [(0, ["x", "y"]), (1, ["a", "b", "c", "d"]), (1, ["other", "words"]), (3, [])]
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, shared in ((40, 30), (300, 100), (900, 880), (1100, 1000), (3000, 10)):
+        a = rng.integers(-(2**63), 2**63, n)
+        b = np.concatenate([a[:shared], rng.integers(-(2**63), 2**63, n // 2)])
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert np.bitwise_count(nearcopies.sketch(a).view("u8") ^ nearcopies.sketch(b).view("u8")).sum() <= apart
+        assert nearcopies.wide_apart(nearcopies.wide_sketch(a), nearcopies.wide_sketch(b)) <= apart
+    assert nearcopies.wide_apart(nearcopies.wide_sketch(a), nearcopies.wide_sketch(b)) > apart / 3
