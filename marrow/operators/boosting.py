@@ -53,7 +53,12 @@ def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float
     lost = np.isnan(x)
     base = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     margin = np.full(n, np.log(base / (1 - base)))
-    widths = [len(c) + 1 for c in cuts]
+    widths = np.array([len(c) + 1 for c in cuts], int)
+    wide = int(widths.max(initial=1))
+    # One number for each feature and bin, and one for all missing values.
+    cell = np.where(lost, k * wide, code + wide * np.arange(k))
+    any_lost = bool(lost.any())
+    place, last = np.arange(wide)[None, :], (widths - 1)[:, None]
     out = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
@@ -63,32 +68,24 @@ def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float
         while front:
             at, rows, level = front.pop()
             total_g, total_h = g[rows].sum(), h[rows].sum()
-            best = (1e-12, None)
-            parent = total_g**2 / (total_h + LAMBDA)
-            for j in range(k if level < depth else 0):
-                seen = rows[~lost[rows, j]]
-                if widths[j] < 2 or not len(seen):
-                    if widths[j] < 2 and not (len(seen) and len(seen) < len(rows)):
-                        continue
-                hg = np.bincount(code[seen, j], g[seen], widths[j])
-                hh = np.bincount(code[seen, j], h[seen], widths[j])
-                gone_g, gone_h = total_g - hg.sum(), total_h - hh.sum()
-                left_g, left_h = np.cumsum(hg)[:-1], np.cumsum(hh)[:-1]
-                if len(seen) < len(rows):  # all present on the left, missing on the right
-                    left_g, left_h = np.append(left_g, hg.sum()), np.append(left_h, hh.sum())
-                for missing_left in (True, False):
-                    lg, lh = left_g + gone_g * missing_left, left_h + gone_h * missing_left
-                    rg, rh = total_g - lg, total_h - lh
-                    gain = np.where((lh >= MIN_CHILD) & (rh >= MIN_CHILD), lg**2 / (lh + LAMBDA) + rg**2 / (rh + LAMBDA) - parent, -np.inf)
-                    if len(gain) and gain.max() > best[0]:
-                        c = int(gain.argmax())
-                        cut = float(cuts[j][c]) if c < len(cuts[j]) else float(np.finfo(np.float32).max)
-                        best = (float(gain.max()), (j, cut, missing_left))
-            if best[1] is None:
+            best = None
+            if level < depth and k:
+                cells = cell[rows].ravel()
+                left_g, left_h = (np.cumsum(np.bincount(cells, np.repeat(v[rows], k), k * wide + 1)[:-1].reshape(k, wide), axis=1) for v in (g, h))
+                # A cut after the last bin has all present values on the left and the missing ones on the right.
+                valid = (place < last) | ((place == last) & lost[rows].any(axis=0)[:, None])
+                gone_g, gone_h = total_g - left_g[:, -1:], total_h - left_h[:, -1:]
+                lg, lh = (np.stack([v + gone, v], axis=1) if any_lost else v[:, None, :] for v, gone in ((left_g, gone_g), (left_h, gone_h)))
+                rg, rh = total_g - lg, total_h - lh
+                gain = np.where(valid[:, None, :] & (lh >= MIN_CHILD) & (rh >= MIN_CHILD), lg**2 / (lh + LAMBDA) + rg**2 / (rh + LAMBDA) - total_g**2 / (total_h + LAMBDA), -np.inf)
+                j, right, c = np.unravel_index(gain.argmax(), gain.shape)
+                if gain[j, right, c] > 1e-12:
+                    best = (int(j), float(cuts[j][c]) if c < len(cuts[j]) else float(np.finfo(np.float32).max), not right)
+            if best is None:
                 nodes[at][5] = float(np.float32(-rate * total_g / (total_h + LAMBDA)))
                 where.append((at, rows))
                 continue
-            j, cut, missing_left = best[1]
+            j, cut, missing_left = best
             left = np.where(lost[rows, j], missing_left, x[rows, j] < np.float32(cut))
             l, r = len(nodes), len(nodes) + 1
             nodes[at] = [j, cut, l, r, l if missing_left else r, 0.0]

@@ -15,7 +15,7 @@ GRID = tuple((d, n, r) for d in (2, 3, 4) for n in (100, 300) for r in (0.05, 0.
 
 def chance(key: str, seed: int) -> Column:
     """A number in [0, 2147483647) for a long key, from integer arithmetic that any SQL engine repeats."""
-    x = F.pmod(F.col(key).cast("long") * 1000003 + F.lit(seed * 7919 + 12345), F.lit(2147483647))
+    x = F.pmod(F.pmod(F.col(key).cast("long"), F.lit(2147483647)) * 1000003 + F.lit(seed * 7919 + 12345), F.lit(2147483647))
     return F.pmod(F.pmod(x * x, F.lit(2147483647)) * 48271, F.lit(2147483647))
 
 

@@ -347,10 +347,10 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cleaning.zip_by_position(left, right))
 
 
-@query("SELECT event_type AS site, count(*)::BIGINT AS n FROM events WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1")
+@query("SELECT event_type AS site, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def union_sites(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events")
-    parts = [rows.where(F.col("event_type") == t).select(F.lit(t).alias("site"), "event_id") for t in ("view", "click", "signup")]
+    parts = [rows.where(F.col("event_type") == t).select(F.lit(t).alias("site"), "event_id") for t in ("view", "click", "signup", "purchase", "error")]
     return reduce(DataFrame.unionByName, parts).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -482,12 +482,12 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return integrity.compare(expected, docs.where("doc_id % 11 <> 0").select("path", F.sha2(changed, 256).alias("sha256")))
 
 
-FINGER = "r AS (SELECT label AS model, vec_id AS canary, embedding[1]::DOUBLE AS p FROM embeddings WHERE vec_id < 80), c AS (SELECT canary, p FROM r WHERE model = (SELECT min(model) FROM r))"
+FINGER = "r AS (SELECT label AS model, vec_id AS canary, embedding[1]::DOUBLE AS p FROM embeddings), c AS (SELECT canary, p FROM r WHERE model = (SELECT min(model) FROM r))"
 
 
 @query(f"WITH {FINGER} SELECT m.model AS model, max(coalesce(abs(r.p - c.p), 'inf'::DOUBLE)) AS distance, m.model = (SELECT min(model) FROM r) AS matches FROM (SELECT DISTINCT model FROM r) m JOIN (SELECT canary FROM r) k ON true LEFT JOIN c ON c.canary = k.canary LEFT JOIN r ON r.model = m.model AND r.canary = k.canary WHERE c.canary IS NOT NULL OR r.canary IS NOT NULL GROUP BY m.model")
 def fingerprint_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "embeddings").where("vec_id < 80").select(F.col("label").alias("model"), F.col("vec_id").alias("canary"), F.get("embedding", F.lit(0)).cast("double").alias("p"))
+    rows = read(spark, d, "embeddings").select(F.col("label").alias("model"), F.col("vec_id").alias("canary"), F.get("embedding", F.lit(0)).cast("double").alias("p"))
     first = rows.agg(F.min("model").alias("m"))
     return integrity.fingerprint(rows.join(F.broadcast(first), F.col("model") == F.col("m")).select("canary", "p"), rows)
 

@@ -12,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Texts that stand for a missing value, beside the empty one.
-NA_TEXTS = ("NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A", "n/a", "-nan", "-NaN", "<NA>")
+# The texts that CSV readers for data frames take for a missing value, beside the empty one.
+NA_TEXTS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def csv(spark: SparkSession, path: str, schema: str, header: bool = True, null: str = "") -> DataFrame:
@@ -29,10 +29,24 @@ def tagged(spark: SparkSession, paths: dict[str, str], schema: str, tag: str = "
 
 
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Row numbers in file order: ids rise within a file's partitions and from one to the next."""
+    """A number of its own for each row; the numbers have gaps and depend on the partitions."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_line_numbers(scan: DataFrame, name: str = "row_id") -> DataFrame:
+    """Rows of a scan of files numbered from 0 in file order, however the files are split.
+
+    Two steps: rows before a split, from the splits' counts, and a row's place within its split.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")]
+    rows = scan.select("*", *split, F.monotonically_increasing_id().alias("_order"))
+    sizes = scan.select(*split).groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"))  # a row a split
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_order")))
+    joined = placed.join(sizes.select("_file", "_at", before.alias("_before")), ["_file", "_at"])
+    return joined.withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_file", "_at", "_order", "_place", "_before")
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
