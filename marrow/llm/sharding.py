@@ -29,6 +29,8 @@ SHARDS = 16
 ROUNDS = 1
 #: Rows that one running-number bucket holds on average.
 BUCKET_ROWS = 50_000
+#: So that buckets spread evenly over tasks.
+LEAST_BUCKETS = 1024
 
 
 def _running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], amount: Column, name: str, total: str | None = None) -> DataFrame:
@@ -136,7 +138,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None,
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("grp"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, f"{folder}/rows")
     total = rows.count()
-    buckets = max(64, total // BUCKET_ROWS)
+    buckets = max(LEAST_BUCKETS, total // BUCKET_ROWS)
     # Every row gets a number within its group and its group's size; rows of a hot group are numbered in buckets.
     part = F.pmod(F.xxhash64("row"), F.lit(buckets))
     numbered = written(_running(rows, ["grp"], part, ["doc_id", "row"], F.lit(1).cast("long"), "member", "members"), f"{folder}/numbered")
