@@ -57,7 +57,8 @@ def evaluate(args) -> int:
     spark = session()
     for slug in args.condition or registry.DATASETS:
         scored = spark.read.parquet(str(args.root / "oof" / slug)).select("y", F.col("p_cal").alias("p"))
-        _show({"condition": slug, **metrics.evaluation(scored).first().asDict(), "q_hat": conformal.q_hat(scored, ALPHA).first()["q_hat"]})
+        bounds = {r["metric"]: [r["lo"], r["hi"]] for r in metrics.bootstrap(scored, n_boot=args.n_boot).collect()}
+        _show({"condition": slug, **metrics.evaluation(scored).first().asDict(), "intervals": bounds, "q_hat": conformal.q_hat(scored, ALPHA).first()["q_hat"]})
     return 0
 
 
@@ -143,6 +144,8 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("--condition", action="append", choices=list(registry.DATASETS))
         p.add_argument("--seed", type=int, default=42)
+        if f is evaluate:
+            p.add_argument("--n-boot", type=int, default=2000)
         p.set_defaults(run=f)
     for name, f in (("external", external), ("manifest", manifest), ("verify", verify)):
         p = sub.add_parser(name)

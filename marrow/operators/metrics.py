@@ -7,7 +7,6 @@ p and over the few buckets. So no window holds more than one bucket's cells, or
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -115,13 +114,22 @@ def net_benefit(scored: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -
     return met.crossJoin(totals).select("threshold", (F.col("tp") / n - F.col("fp") / n * odds).alias("model"), (F.col("all_pos") / n - F.col("all_neg") / n * odds).alias("treat_all"), F.lit(0.0).alias("treat_none"))
 
 
-def subgroup_audit(scored: DataFrame, group: str, min_n: int = 40) -> DataFrame:
-    """group, n, positives, sufficient, auc, calibration_gap; metrics are NULL for groups that are too small or have one class."""
+def subgroup_audit(scored: DataFrame, group: str, min_n: int = 40, n_boot: int = 0, seed: int = 0) -> DataFrame:
+    """group, n, positives, sufficient, auc, calibration_gap; metrics are NULL for groups that are too small or have one class.
+
+    With n_boot also auc_lo and auc_hi, from so many resamples of each sufficient group.
+    """
     head = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"), F.abs(F.avg("p") - F.avg("y")).alias("gap"))
     areas = auc(scored, [group]).withColumnRenamed(group, "_g")
     enough = (F.col("n") >= min_n) & (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
     joined = head.join(areas, head[group].eqNullSafe(F.col("_g")), "left")
-    return joined.select(group, "n", "positives", enough.alias("sufficient"), F.when(enough, F.col("auc")).alias("auc"), F.when(enough, F.col("gap")).alias("calibration_gap"))
+    audit = joined.select(group, "n", "positives", enough.alias("sufficient"), F.when(enough, F.col("auc")).alias("auc"), F.when(enough, F.col("gap")).alias("calibration_gap"))
+    if not n_boot:
+        return audit
+    large = audit.where("sufficient").select(F.col(group).alias("_g"))
+    members = scored.join(F.broadcast(large), scored[group].eqNullSafe(F.col("_g")), "left_semi")  # a row a group
+    bounds = bootstrap(members.select(group, "y", "p"), [group], n_boot, seed).where("metric = 'roc_auc'").select(F.col(group).alias("_g"), F.col("lo").alias("auc_lo"), F.col("hi").alias("auc_hi"))
+    return audit.join(F.broadcast(bounds), audit[group].eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def presence_auc(df: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
@@ -156,40 +164,101 @@ def trivial_rule(df: DataFrame, columns: list[str], label: str = "y") -> DataFra
 # Resampling ---------------------------------------------------------------------------------------
 
 
-def auc_of_counts(pos: np.ndarray, neg: np.ndarray) -> float:
-    """From counts of cells in ascending order of p."""
-    below = np.cumsum(neg) - neg
-    return float((pos * (2 * below + neg)).sum() / (2.0 * pos.sum() * neg.sum()))
+#: Cells of one bucket, which a task holds, and the sampled cells a bucket from which its edges come.
+CELLS, SAMPLED = 200_000, 20
+METRICS = ("roc_auc", "pr_auc", "brier", "ece")
+_SUMS = ("wins", "ap", "squares", *[f"{name}{i}" for name in ("n", "p", "y") for i in range(BINS)])
+
+
+def _shares(p: np.ndarray, pos: np.ndarray, neg: np.ndarray, above: tuple[int, int], totals: tuple[int, int]) -> list[float]:
+    """What ascending cells add to each sum of _SUMS. above: positives and negatives with larger scores; totals: those of all cells."""
+    pos, neg = pos.astype(np.float64), neg.astype(np.float64)
+    tp, fp = above[0] + np.cumsum(pos[::-1])[::-1], above[1] + np.cumsum(neg[::-1])[::-1]
+    wins = (pos * (2 * (totals[1] - fp) + neg)).sum()
+    ap = (pos * tp / np.maximum(tp + fp, 1)).sum()
+    squares = (pos * (1 - p) ** 2 + neg * p**2).sum()
+    known = (p >= 0) & (p <= 1)
+    bins = np.searchsorted([i * (1.0 / BINS) for i in range(1, BINS)], p[known], side="right")
+    n = pos[known] + neg[known]
+    sums = [np.bincount(bins, w, BINS) for w in (n, n * p[known], pos[known])]
+    return [wins, ap, squares, *np.concatenate(sums)]
 
 
-def ap_of_counts(pos: np.ndarray, neg: np.ndarray) -> float:
-    tp, fp = np.cumsum(pos[::-1]), np.cumsum(neg[::-1])
-    return float((pos[::-1] / pos.sum() * tp / np.maximum(tp + fp, 1)).sum())
+def _drawn(rng: np.random.Generator, total: int, counts: np.ndarray) -> np.ndarray:
+    return rng.multinomial(total, counts / counts.sum()) if total else np.zeros(len(counts), np.int64)
 
 
-def bootstrap(scored: DataFrame, metric: Callable[[np.ndarray, np.ndarray, np.ndarray], float], n_boot: int = 2000, seed: int = 0, most_cells: int = 1_000_000) -> DataFrame:
-    """point, lo, hi: the 2.5 and 97.5 percentiles of a metric over stratified resamples.
+def _edges(found: DataFrame, cells_each: int) -> np.ndarray:
+    """Scores between which about cells_each cells lie, from the cells whose scores' hashes are smallest; none for few cells."""
+    buckets = -(-found.count() // cells_each)
+    if buckets < 2:
+        return np.zeros(0)
+    sample = found.select("p").distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLED * buckets)  # SAMPLED rows a bucket
+    p = np.sort(np.array([r["p"] for r in sample.collect()]))
+    return np.unique(p[np.arange(1, buckets) * len(p) // buckets])
 
-    metric takes ascending p and the counts pos and neg. Drawing counts of cells within each class is the
-    same as drawing rows with replacement, so replicates cost cells, not rows. The cells are sent to all
-    tasks; more than most_cells of them are refused (round p first).
+
+def bootstrap(scored: DataFrame, keys: list[str] = (), n_boot: int = 2000, seed: int = 0, cells_each: int = CELLS) -> DataFrame:
+    """keys, metric, point, lo, hi: the METRICS and the 2.5 and 97.5 percentiles over resamples of rows within each class.
+
+    Drawing counts of cells is the same as drawing rows with replacement, so replicates cost cells, not rows. A
+    replicate first draws how many rows of each class fall to each bucket of scores, which every task repeats
+    from the seed, then a task draws its own bucket's cells; knowing what lies above them it adds its shares of all
+    metrics, which Spark sums. A task holds one bucket's cells, however many there are; the driver a few numbers a
+    bucket. Key values are meant to be few. With one class the areas are NULL, without keys and rows all are.
     """
-    table = cells(scored).orderBy("p").limit(most_cells + 1).toPandas()
-    if len(table) > most_cells:
-        raise ValueError(f"more than {most_cells} distinct scores")
-    p, pos, neg = (table[c].to_numpy() for c in ("p", "pos", "neg"))
-    spark = scored.sparkSession
-    held = spark.sparkContext.broadcast((p, pos, neg))
-
-    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, pos, neg = held.value
-        for batch in batches:
-            values = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                values.append(metric(p, rng.multinomial(pos.sum(), pos / pos.sum()), rng.multinomial(neg.sum(), neg / neg.sum())))
-            yield pd.DataFrame({"value": values})
-
-    values = spark.range(n_boot).mapInPandas(replicate, "value double")
-    bounds = values.agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))
-    return bounds.select(F.lit(float(metric(p, pos, neg))).alias("point"), F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+    keys, spark = list(keys), scored.sparkSession
+    found = cells(scored.withColumn("p", F.col("p").cast("double")), keys).cache()
+    try:
+        edges = spark.sparkContext.broadcast(_edges(found, cells_each))
+
+        @F.pandas_udf("int")
+        def bucket_of(p: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(edges.value, p.to_numpy(), side="right").astype(np.int32))
+
+        placed = found.withColumn("_bucket", bucket_of("p") if len(edges.value) else F.lit(0))
+        sums = placed.groupBy(*keys, "_bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()  # a row a bucket
+        groups = sorted({tuple(r[k] for k in keys) for r in sums}, key=lambda g: [(v is not None, str(v)) for v in g]) or ([()] if not keys else [])
+        number, buckets = {g: i for i, g in enumerate(groups)}, len(edges.value) + 1
+        counts = np.zeros((len(groups), 2, buckets), np.int64)
+        for r in sums:
+            counts[number[tuple(r[k] for k in keys)], :, r["_bucket"]] = r["pos"], r["neg"]
+        held = spark.sparkContext.broadcast(counts)
+        blocks = max(1, -(-spark.sparkContext.defaultParallelism // (buckets * max(1, len(groups)))))
+
+        def replicated(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+            group, bucket, block = map(int, key)
+            cell = cell.sort_values("p")
+            p, own = cell["p"].to_numpy(), [cell[c].to_numpy() for c in ("pos", "neg")]
+            of_buckets = held.value[group]
+            totals = tuple(of_buckets.sum(axis=1))
+            out = []
+            for i in range(block - 1, n_boot, blocks):  # -1: the rows as they are
+                dealt, drawn = of_buckets, own
+                if i >= 0:
+                    rng = np.random.default_rng([seed, group, i])
+                    dealt = [_drawn(rng, n, c) for n, c in zip(totals, of_buckets)]
+                    rng = np.random.default_rng([seed, group, i, 1 + bucket])
+                    drawn = [_drawn(rng, d[bucket], c) for d, c in zip(dealt, own)]
+                out.append([group, i, *_shares(p, *drawn, tuple(d[bucket + 1 :].sum() for d in dealt), totals)])
+            return pd.DataFrame(out, columns=["_group", "_i", *_SUMS])
+
+        wanted = spark.createDataFrame([(i, *g) for i, g in enumerate(groups)], "_group int" + "".join(f", `_k{j}` {found.schema[k].dataType.simpleString()}" for j, k in enumerate(keys)))
+        same = reduce(lambda c, j: c & F.col(f"_k{j}").eqNullSafe(F.col(keys[j])), range(len(keys)), F.lit(True))
+        numbered = placed.join(F.broadcast(wanted), same) if keys else placed.withColumn("_group", F.lit(0))
+        dealt = numbered.select("_group", "_bucket", "p", "pos", "neg", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+        shares = dealt.groupBy("_group", "_bucket", "_block").applyInPandas(replicated, f"_group int, _i int, {', '.join(f'{c} double' for c in _SUMS)}")
+        all_of = spark.createDataFrame([(i, float(c[0].sum()), float(c[1].sum())) for i, c in enumerate(counts)], "_group int, _pos double, _neg double")
+        values = shares.groupBy("_group", "_i").agg(*[F.sum(c).alias(c) for c in _SUMS]).join(F.broadcast(all_of), "_group")
+        gaps = reduce(lambda a, b: a + b, [F.abs(F.col(f"p{i}") - F.col(f"y{i}")) for i in range(BINS)])
+        inside = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(BINS)])
+        both = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+        found_values = [F.when(both, F.col("wins") / (2 * F.col("_pos") * F.col("_neg"))), F.when(both, F.col("ap") / F.col("_pos")), F.col("squares") / (F.col("_pos") + F.col("_neg")), F.coalesce(F.try_divide(gaps, inside), F.lit(0.0))]
+        long = values.select("_group", "_i", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in zip(METRICS, found_values)])).alias("v")).select("_group", "_i", "v.*")
+        bounds = F.percentile(F.when(F.col("_i") >= 0, F.col("value")), F.array(F.lit(0.025), F.lit(0.975)))
+        measured = long.groupBy("_group", "metric").agg(F.max(F.when(F.col("_i") < 0, F.col("value"))).alias("point"), bounds.alias("b"))
+        got = {(r["_group"], r["metric"]): (r["point"], *(r["b"] or (None, None))) for r in measured.collect()}  # four rows a key
+    finally:
+        found.unpersist()
+    rows = [(*g, m, *got.get((i, m), (None, None, None))) for i, g in enumerate(groups) for m in METRICS]
+    return spark.createDataFrame(rows, "".join(f"`{k}` {found.schema[k].dataType.simpleString()}, " for k in keys) + "metric string, point double, lo double, hi double")

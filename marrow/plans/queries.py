@@ -448,7 +448,7 @@ def sigmoid_cross_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.bootstrap(views.scored_orders(spark, d), lambda p, pos, neg: metrics.auc_of_counts(pos, neg)))
+    return rounded(metrics.bootstrap(views.scored_orders(spark, d)))
 
 
 @query("SELECT p_partkey, round(CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE), 9) AS single, p_size / (51e0 - p_size) AS odds FROM part")

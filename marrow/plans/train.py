@@ -64,10 +64,10 @@ def train(df: DataFrame, features: list[str], label: str = "y", key: str = "row_
 
 
 def report(fitted: Fitted, alpha: float = 0.1, n_boot: int = 2000) -> dict:
-    """The metrics of cross-fitted scores, with intervals, threshold and verdict shares."""
+    """The metrics of cross-fitted scores, all four with intervals, threshold and verdict shares."""
     scored = fitted.oof.select("y", F.col("p_cal").alias("p"))
     q = conformal.q_hat(scored, alpha).first()["q_hat"]
-    bounds = {name: list(metrics.bootstrap(scored, f, n_boot, seed).first()) for seed, (name, f) in enumerate({"roc_auc": lambda p, a, b: metrics.auc_of_counts(a, b), "pr_auc": lambda p, a, b: metrics.ap_of_counts(a, b)}.items())}
+    bounds = {r["metric"]: [r["point"], r["lo"], r["hi"]] for r in metrics.bootstrap(scored, n_boot=n_boot).collect()}
     shares = {r["verdict"]: r["fraction"] for r in conformal.verdict_fractions(conformal.verdicts(scored, q)).collect()}
     return {**metrics.evaluation(scored).first().asDict(), "intervals": bounds, "q_hat": q, "verdicts": shares, "calibration": fitted.calibrator.to_json()}
 

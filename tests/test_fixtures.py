@@ -59,15 +59,6 @@ def test_small_groups_keep_their_row(spark):
     assert rows[None].sufficient and 0 <= rows[None].auc <= 1
 
 
-def test_bootstrap_bounds_and_seed(spark):
-    rng = np.random.default_rng(1)
-    p = np.round(rng.random(300), 3)
-    df = scored(spark, (rng.random(300) < p).astype(int).tolist(), p.tolist())
-    f = lambda p, a, b: metrics.auc_of_counts(a, b)
-    a, b = metrics.bootstrap(df, f, 200).first(), metrics.bootstrap(df.repartition(7), f, 200).first()
-    assert a == b and a.lo <= a.point <= a.hi
-
-
 def test_conformal(spark):
     y, p = [1, 0, 1, 0, 1, 0, 1, 0, 1], [0.95, 0.10, 0.70, 0.40, 0.50, 0.60, 0.20, 0.85, 0.05]
     for alpha, wanted in ((0.2, 0.85), (0.1, 0.95), (0.01, 0.95)):
