@@ -70,7 +70,7 @@ def external(args) -> int:
     fitted = train(df.where(F.col("site") == HOME_SITE), features, seed=args.seed)
     raw = boosting.score(df.where(F.col("site") != HOME_SITE), fitted.forest, "p_raw")
     scored = raw.select("row_id", "site", "y", fitted.calibrator.apply(F.col("p_raw")).alias("p"))
-    _show({"rows": [r.asDict() for r in calibrate.transfer_study(scored, "site", HOME_SITE).collect()]})
+    _show({"rows": [r.asDict() for r in calibrate.transfer_study(scored, "site", HOME_SITE, n_boot=args.n_boot).collect()]})
     return 0
 
 
@@ -150,6 +150,8 @@ def parser() -> argparse.ArgumentParser:
     for name, f in (("external", external), ("manifest", manifest), ("verify", verify)):
         p = sub.add_parser(name)
         p.add_argument("--seed", type=int, default=42)
+        if f is external:
+            p.add_argument("--n-boot", type=int, default=2000)
         p.set_defaults(run=f)
     p = sub.add_parser("predict")
     p.add_argument("--condition", required=True, choices=list(registry.DATASETS))

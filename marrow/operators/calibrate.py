@@ -178,11 +178,12 @@ def _lookup(key: Column, values: dict) -> Column:
     return out
 
 
-def transfer_study(scored: DataFrame, site: str, home: str, share: float = 0.3, seed: int = 42) -> DataFrame:
+def transfer_study(scored: DataFrame, site: str, home: str, share: float = 0.3, seed: int = 42, n_boot: int = 0) -> DataFrame:
     """site, block, n, auc, brier, ece, intercept: for each other site all rows as they are, its evaluation rows as
     they are, and the same rows after an intercept fitted on its calibration rows. scored: row_id, y, p, site.
 
-    All sites go through every step together.
+    With n_boot also pr_auc, and for every metric its bounds over so many resamples, as auc_lo, auc_hi and so on. All
+    sites go through every step together.
     """
     other = scored.where((F.col(site) != home) & F.col(site).isNotNull()).select("row_id", "y", "p", F.col(site).alias("site"))
     split = stratified_split(other.withColumn("_class", F.concat_ws("|", "site", "y")), share, "_class", seed=seed).drop("_class").cache()
@@ -193,6 +194,12 @@ def transfer_study(scored: DataFrame, site: str, home: str, share: float = 0.3,
         blocks = F.array(F.struct(F.lit("naive_all_rows").alias("block"), F.col("p").alias("p")), F.when(held, F.struct(F.lit("naive").alias("block"), F.col("p").alias("p"))), F.when(held, F.struct(F.lit("recalibrated").alias("block"), moved.alias("p"))))
         rows = split.select("site", "y", F.explode(blocks).alias("b")).where("b IS NOT NULL").select("site", "b.block", "y", "b.p")
         out = metrics.evaluation_by(rows, ["site", "block"]).withColumn("intercept", _lookup(F.col("site"), fitted))
+        if n_boot:
+            bounds = metrics.bootstrap(rows, ["site", "block"], n_boot, seed)
+            shown = {"roc_auc": "auc", "pr_auc": "pr_auc", "brier": "brier", "ece": "ece"}
+            of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+            named = [of(m, c).alias(f"{name}_{c}") for m, name in shown.items() for c in ("lo", "hi")]
+            out = out.join(F.broadcast(bounds.groupBy("site", "block").agg(of("pr_auc", "point").alias("pr_auc"), *named)), ["site", "block"])
         # A row for each site and block.
         return scored.sparkSession.createDataFrame(out.collect(), out.schema)
     finally:

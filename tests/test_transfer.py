@@ -53,3 +53,15 @@ def test_study_against_brute_force(spark):
             r = by[site, block]
             assert (r.n, r.auc, r.brier) == pytest.approx(measures(cells), abs=1e-9)
             assert r.intercept == pytest.approx(c, abs=1e-7)
+
+
+def test_intervals_of_all_blocks(spark):
+    rows = [(i, int(i * 37 % 11 < 3 + i % 4), (i * 53 % 97 + 1) / 100, "home" if i % 3 == 0 else f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, y int, p double, site string")
+    plain = {(r.site, r.block): r for r in calibrate.transfer_study(df, "site", "home").collect()}
+    found = calibrate.transfer_study(df, "site", "home", n_boot=40).collect()
+    assert {(r.site, r.block) for r in found} == set(plain) and len(plain) == 6
+    for r in found:
+        assert (r.auc, r.brier, r.ece) == pytest.approx((plain[r.site, r.block].auc, plain[r.site, r.block].brier, plain[r.site, r.block].ece))
+        assert r.auc_lo <= r.auc <= r.auc_hi and r.brier_lo <= r.brier <= r.brier_hi
+        assert 0 < r.pr_auc_lo <= r.pr_auc <= r.pr_auc_hi <= 1 and 0 <= r.ece_lo <= r.ece_hi <= 1
