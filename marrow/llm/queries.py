@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bytebpe, lines, packing, permutation, sharding, simhash, tokenfiles, topk, toxicity, warc
+from marrow.llm import bytebpe, codes, lines, packing, permutation, sharding, simhash, tokenfiles, topk, toxicity, warc
 from marrow.llm.shared import crc_of_id, table, work_dir
 
 
@@ -75,6 +75,11 @@ def op10_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=20, k=20)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, _ = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -86,9 +91,44 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_permutation": op10_permutation,
+    "op11_codes": op11_codes,
 }
 
+
+
+def codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """Plain Lloyd rounds, unrolled: every part meets every entry."""
+    steps = []
+    for i in range(rounds + 1):
+        # Distance and index in one number, so that ties go to the lower index.
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT rid, part, any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, z) + list_inner_product(z, z)) * 256 + entry)::BIGINT AS k
+            FROM parts JOIN c{i} USING (part) GROUP BY rid, part
+        )""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(m, z) AS z FROM c{i} LEFT JOIN (
+                SELECT part, entry, list(v ORDER BY place) AS m FROM (
+                    SELECT part, k % 256 AS entry, place, floor(sum(x[place]) / count(*)) AS v FROM a{i}, (SELECT unnest(range(1, len(x) + 1)) AS place FROM parts LIMIT 16) GROUP BY ALL
+                ) GROUP BY ALL
+            ) USING (part, entry)
+        )""")
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, label, w, row_number() OVER (ORDER BY vec_id, w) AS rid FROM (
+                SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        ), parts AS MATERIALIZED (SELECT rid, part, w[part * len(w) // 4 + 1 : (part + 1) * len(w) // 4] AS x FROM v, range(4) t(part)
+        ), c0 AS (SELECT part, rid - 1 AS entry, x AS z FROM parts WHERE rid <= 256
+        ), {", ".join(steps)}, coded AS (
+            SELECT rid, string_agg(printf('%02x', k % 256), '' ORDER BY part) AS code, sum(k // 256)::BIGINT AS error FROM a{rounds} GROUP BY rid
+        ), books AS (SELECT sha256(string_agg(z_text, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM (SELECT part, entry, array_to_string(z::BIGINT[], ',') AS z_text FROM c{rounds}))
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (rid), books
+    """
+
+
 ORACLES = {
+    "op11_codes": codes_sql(),
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         q AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
