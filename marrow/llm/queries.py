@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bytebpe, codes, lines, packing, permutation, sharding, simhash, tokenfiles, topk, toxicity, warc
+from marrow.llm import bytebpe, codes, lines, mixing, packing, permutation, sharding, simhash, tokenfiles, topk, toxicity, warc
 from marrow.llm.shared import crc_of_id, table, work_dir
 
 
@@ -80,6 +80,11 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_permutation": op10_permutation,
     "op11_codes": op11_codes,
+    "op12_mixing": op12_mixing,
 }
 
 
