@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bytebpe, codes, lines, mixing, packing, permutation, sharding, simhash, tokenfiles, topk, toxicity, warc
+from marrow.llm import alignment, bytebpe, codes, lines, mixing, packing, permutation, sharding, simhash, tokenfiles, topk, toxicity, warc
 from marrow.llm.shared import crc_of_id, table, work_dir
 
 
@@ -85,6 +85,11 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec, model = (Path(public_tokenizers.path(name)).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), spec.decode(), model)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +103,7 @@ QUERIES = {
     "op10_permutation": op10_permutation,
     "op11_codes": op11_codes,
     "op12_mixing": op12_mixing,
+    "op13_alignment": op13_alignment,
 }
 
 
