@@ -6,8 +6,8 @@ supplies the next token, which is linked to that last token; it shortens the res
 or takes over the lead. Transitions are memoised by (side, residual, token).
 
 Both tokenizers start anew at a blank that follows a character other than white space, so texts are cut there into chunks and
-each distinct chunk of a block of texts goes through tokenizers and transducer once; a bounded cache keeps chunks between
-blocks. Texts whose chunks don't reproduce their bytes are encoded whole.
+each distinct chunk of a block of texts goes through tokenizers and transducer once. The transducer takes a step of all chunks at a time,
+looking up the distinct transitions. Texts whose chunks don't reproduce their bytes are encoded whole.
 
 Links are counted by pair of ids over the corpus. A block keeps its distinct pairs with their counts, and for each text the
 places of its pairs among them. Pairs are summed over blocks, each pair's row goes back to the blocks that hold it, never to
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,64 +37,129 @@ from marrow.llm.shared import join_hot, text_or_empty, work_dir, written
 
 #: Bytes of text in a block of texts; longer texts are blocks of their own.
 BLOCK_BYTES = 4_000_000
-#: Chunks and transitions that a Python worker keeps; a full cache starts again. Longer chunks aren't kept.
-CACHE_CHUNKS, CACHE_STEPS, CACHE_CHUNK_CHARS = 150_000, 300_000, 64
+#: Transitions that a Python worker keeps; a full memo starts again.
+CACHE_STEPS = 1_000_000
+#: So few texts go on one by one.
+FEW = 16
 #: A pair is a * 2**SHIFT + b.
 SHIFT = 32
+DEAD = -1
 _CUT = regex.compile(r"(?<=\S)(?= )")
 _BYTE_PIECE = regex.compile(r"<0x([0-9A-F]{2})>")
 
 
-class Mismatch(ValueError):
-    """The tokens of the two sides don't spell the same bytes."""
-
-
 class Transducer:
-    """a, b: the bytes of each side's tokens."""
+    """a, b: the bytes of each side's tokens, by id; an id without bytes matches nothing.
+
+    A state is a side and its residual, by number; state 0 is the empty residual, 1 + i that of A's token i.
+    """
 
-    def __init__(self, a: dict[int, bytes], b: dict[int, bytes]):
+    def __init__(self, a: list[bytes], b: list[bytes]):
         self.bytes = (a, b)
-        self.steps: dict[tuple[int, bytes, int], tuple[int, bytes]] = {}
-
-    def step(self, lead: int, residual: bytes, token: int) -> tuple[int, bytes]:
-        """The side that leads and its unmatched bytes, after the other side's token."""
-        key = (lead, residual, token)
-        found = self.steps.get(key)
-        if found is None:
-            own = self.bytes[1 - lead].get(token, b"")
-            if not own or not (residual.startswith(own) or own.startswith(residual)):
-                raise Mismatch(key)
-            found = (lead, residual[len(own) :]) if len(own) <= len(residual) else (1 - lead, own[len(residual) :])
-            if len(self.steps) >= CACHE_STEPS:
-                self.steps.clear()
-            self.steps[key] = found
+        self.residual = [b"", *a]
+        self.lead = [0] * (1 + len(a))
+        self.number = {(0, r): i for i, r in reversed(list(enumerate(self.residual)))}
+        self.steps: dict[int, int] = {}
+
+    def step(self, key: int) -> int:
+        """The state after state key >> 32 meets token key & 0xFFFFFFFF of the side behind; DEAD where bytes differ."""
+        state, token = key >> 32, key & 0xFFFFFFFF
+        lead, residual = self.lead[state], self.residual[state]
+        own = self.bytes[1 - lead][token]
+        if not own or not (residual.startswith(own) or own.startswith(residual)):
+            found = DEAD
+        elif len(own) == len(residual):
+            found = 0
+        else:
+            side, rest = (lead, residual[len(own) :]) if len(own) < len(residual) else (1 - lead, own[len(residual) :])
+            found = self.number.setdefault((side, rest), len(self.residual))
+            if found == len(self.residual):
+                self.residual.append(rest)
+                self.lead.append(side)
+        if len(self.steps) >= CACHE_STEPS:
+            self.steps.clear()
+        self.steps[key] = found
         return found
 
-    def groups(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        """Groups as text, their number, and the pair of every link."""
-        ids, at, upto = (a, b), [0, 0], [0, 0]
-        shown, links = [], []
-        while at[0] < len(a):
-            last = a[at[0]]
-            at[0] += 1
-            lead, residual = 0, self.bytes[0].get(last, b"")
-            if not residual:
-                raise Mismatch(last)
-            while residual:
-                behind = 1 - lead
-                if at[behind] == len(ids[behind]):
-                    raise Mismatch("one side ends first")
-                token = ids[behind][at[behind]]
-                at[behind] += 1
-                links.append(last << SHIFT | token if behind else token << SHIFT | last)
-                was = lead
-                lead, residual = self.step(lead, residual, token)
-                last = token if lead != was else last
-            shown.append(",".join(map(str, a[upto[0] : at[0]])) + "|" + ",".join(map(str, b[upto[1] : at[1]])))
-            upto = at[:]
-        if at[1] < len(b):
-            raise Mismatch("one side ends first")
-        return ";".join(shown), len(shown), links
+    def groups(self, ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """Whether each text's sides spell the same bytes, each token's group within its text, and the links' texts and pairs in order.
+
+        ids: all texts' tokens of each side; ends: where each text's end. All texts take a step together; the last few go on one by one.
+        """
+        n = len(ends[0])
+        at = [np.concatenate([[0], e[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64) for e in ends]
+        group = tuple(np.zeros(len(x), np.int64) for x in ids)
+        good, closed, state, last = np.ones(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        texts, pairs = [], []
+        live = np.arange(n)
+        while True:
+            done = live[(state[live] == 0) & (at[0][live] == ends[0][live])]
+            good[done[at[1][done] < ends[1][done]]] = False
+            live = live[good[live] & ((state[live] > 0) | (at[0][live] < ends[0][live]))]
+            if len(live) <= FEW:
+                break
+            new = live[state[live] == 0]
+            token = ids[0][at[0][new]]
+            group[0][at[0][new]] = closed[new]
+            at[0][new] += 1
+            state[new], last[new] = token + 1, token
+            lead = np.array(self.lead, np.int8)[state[live]]
+            token = np.zeros(len(live), np.int64)
+            ended = np.zeros(len(live), bool)
+            for side in (0, 1):
+                own = np.flatnonzero(lead != side)
+                ended[own] = at[side][live[own]] == ends[side][live[own]]
+                own = own[~ended[own]]
+                place = at[side][live[own]]
+                token[own], group[side][place] = ids[side][place], closed[live[own]]
+                at[side][live[own]] += 1
+            good[live[ended]] = False
+            live, lead, token = live[~ended], lead[~ended], token[~ended]
+            keys, of = np.unique(state[live] << 32 | token, return_inverse=True)
+            following = np.array([self.steps[k] if k in self.steps else self.step(k) for k in keys.tolist()], np.int64)[of]
+            texts.append(live)
+            pairs.append(np.where(lead == 0, last[live] << SHIFT | token, token << SHIFT | last[live]))
+            good[live[following == DEAD]] = False
+            closed[live] += following == 0
+            turned = (following > 0) & (np.array(self.lead, np.int8)[np.maximum(following, 0)] != lead)
+            last[live[turned]] = token[turned]
+            state[live] = np.maximum(following, 0)
+        for i in live.tolist():
+            found = self._rest(i, ids, ends, [int(x[i]) for x in at], int(closed[i]), int(state[i]), int(last[i]), group)
+            good[i] = found is not None
+            texts.append(np.full(len(found or ()), i))
+            pairs.append(np.array(found or [], np.int64))
+        text = np.concatenate([*texts, np.zeros(0, np.int64)])
+        order = np.argsort(text, kind="stable")
+        order = order[good[text[order]]]
+        return good, group, text[order], np.concatenate([*pairs, np.zeros(0, np.int64)])[order]
+
+    def _rest(self, i: int, ids, ends, at: list[int], closed: int, state: int, last: int, group) -> list[int] | None:
+        """The remaining pairs of text i; None where its sides differ."""
+        upto, out = [int(e[i]) for e in ends], []
+        while state or at[0] < upto[0]:
+            if not state:
+                last = int(ids[0][at[0]])
+                group[0][at[0]] = closed
+                at[0] += 1
+                state = last + 1
+            lead = self.lead[state]
+            side = 1 - lead
+            if at[side] == upto[side]:
+                return None
+            token = int(ids[side][at[side]])
+            group[side][at[side]] = closed
+            at[side] += 1
+            out.append(token << SHIFT | last if lead else last << SHIFT | token)
+            key = state << 32 | token
+            state = self.steps[key] if key in self.steps else self.step(key)
+            if state == DEAD:
+                return None
+            if not state:
+                closed += 1
+            elif self.lead[state] != lead:
+                last = token
+        return out if at[1] == upto[1] else None
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -103,6 +169,25 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of lengths[i] elements each, in a row."""
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return at
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
+class Aligned:
+    """Aligned texts: tokens of each side and groups of each, and in a row their items (token and separator) and pairs; none for texts whose bytes differ."""
+
+    def __init__(self, good: np.ndarray, sizes: tuple[np.ndarray, ...], items: np.ndarray, pairs: np.ndarray):
+        self.good, self.sizes, self.items, self.pairs = good, sizes, items, pairs
+        self.n_items, self.n_pairs = sizes[0] + sizes[1], np.where(good, sizes[0] + sizes[1] - sizes[2], 0)
+
+
 class Aligner:
     """spec: JSON of the byte-level tokenizer (A); model: the serialised piece model (B)."""
 
@@ -114,47 +199,59 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=model)
         alphabet = byte_level_alphabet()
-        a = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in t)}
-        b = {}
-        for i in range(self.b.get_piece_size()):
+        a, b = [b""] * self.a.get_vocab_size(), [b""] * self.b.get_piece_size()
+        for t, i in self.a.get_vocab(with_added_tokens=False).items():
+            if all(c in alphabet for c in t):
+                a[i] = bytes(alphabet[c] for c in t)
+        for i in range(len(b)):
             if not (self.b.is_control(i) or self.b.is_unknown(i)):
                 byte = _BYTE_PIECE.fullmatch(self.b.id_to_piece(i)) if self.b.is_byte(i) else None
                 b[i] = bytes([int(byte[1], 16)]) if byte else self.b.id_to_piece(i).replace("▁", " ").encode()
-        self.bytes = (a, b)
         self.transducer = Transducer(a, b)
-        # Chunk -> (groups as text, a tokens, b tokens, groups, pairs); None where bytes differ.
-        self.chunks: dict[str, tuple | None] = {}
+        self.a_bytes = pa.array(a, pa.large_binary())
+        # Items: A's tokens, then B's, each followed by a comma or, last of its group's side, by the sign that ends the side.
+        self.b_items = 2 * len(a)
+        self.shown = pa.array([f"{i}{sign}" for n, end in ((len(a), "|"), (len(b), ";")) for i in range(n) for sign in (",", end)], pa.large_string())
 
-    def _aligned(self, texts: list[str]) -> list[tuple | None]:
+    def aligned(self, texts: list[str]) -> Aligned:
         """texts begin with the blank that both sides start with."""
-        out = []
-        coded = zip(self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1))
-        for text, (e, b) in zip(texts, coded):
-            a, raw = e.ids, text.encode()
-            whole = lambda side, ids: b"".join(self.bytes[side].get(i, b"") for i in ids)
-            try:
-                if whole(0, a) != raw or whole(1, b) != raw:
-                    raise Mismatch(text)
-                shown, n, links = self.transducer.groups(a, b)
-                out.append((shown, len(a), len(b), n, np.array(links, np.int64)))
-            except Mismatch:
-                out.append(None)
-        return out
-
-    def learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        """What each chunk becomes."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        new = [c for c in chunks if c not in self.chunks]
-        found = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found.update(zip(part, self._aligned(part)))
-        out = {c: found[c] if c in found else self.chunks[c] for c in chunks}
-        self.chunks.update((c, v) for c, v in found.items() if len(c) <= CACHE_CHUNK_CHARS)
-        return out
-
-    def block(self, texts: pa.Array) -> dict[str, np.ndarray | list]:
+        n, coded = len(texts), []
+        for at in range(0, n, 4096):
+            part = texts[at : at + 4096]
+            coded.append(([e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)], self.b.encode([t[1:] for t in part], num_threads=1)))
+        ids, ends = [], []
+        for side in (0, 1):
+            lists = [x for c in coded for x in c[side]]
+            lengths = np.fromiter(map(len, lists), np.int64, n)
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())))
+            ends.append(np.cumsum(lengths))
+        good, group, of, pairs = self.transducer.groups(tuple(ids), tuple(ends))
+        # The sides agree where good; A's bytes have to be the text's.
+        spelled, raw = self.a_bytes.take(pa.array(ids[0])), [t.encode() for t in texts]
+        lengths = np.diff(np.concatenate([[0], ends[0]]))
+        sizes = np.bincount(np.repeat(np.arange(n), lengths), pc.binary_length(spelled).to_numpy(), n).astype(np.int64)
+        joined = b"".join(raw)
+        own = spelled.buffers()[2]
+        if not (np.array_equal(sizes, np.fromiter(map(len, raw), np.int64, n)) and (own.to_pybytes() if own else b"")[: len(joined)] == joined):
+            parts = pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([[0], ends[0]]), spelled), pa.scalar(b"", pa.large_binary())).to_pylist()
+            good &= np.fromiter((x == y for x, y in zip(parts, raw)), bool, n)
+        return self._laid_out(n, good, ids, ends, group, pairs[good[of]])
+
+    def _laid_out(self, n: int, good: np.ndarray, ids, ends, group, pairs: np.ndarray) -> Aligned:
+        texts = [np.repeat(np.arange(n), np.diff(np.concatenate([[0], e]))) for e in ends]
+        use = [good[t] for t in texts]
+        counts = [np.bincount(t[u], minlength=n) for t, u in zip(texts, use)]
+        groups = np.zeros(n, np.int64)
+        np.maximum.at(groups, texts[0][use[0]], group[0][use[0]] + 1)
+        first = _starts(groups)
+        key = np.concatenate([2 * (first[t[u]] + g[u]) + side for side, (t, u, g) in enumerate(zip(texts, use, group))])
+        item = np.concatenate([2 * ids[0][use[0]], self.b_items + 2 * ids[1][use[1]]])
+        order = np.argsort(key, kind="stable")
+        key, item = key[order], item[order]
+        item += np.append(key[1:] != key[:-1], True)[: len(item)]
+        return Aligned(good, (counts[0], counts[1], groups), item, pairs)
+
+    def block(self, texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         """n_a, n_b, n_groups, shown a text, and its pairs: text i has the rows ends[i - 1]:ends[i] of place and count; place is an index into pairs, whose counts in the block are total."""
         # Words between blanks are chunks, unless one is empty or ends in white space: such texts are cut by the pattern.
         words = pc.split_pattern(pc.fill_null(texts, ""), " ")
@@ -165,39 +262,39 @@ class Aligner:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.add.reduceat(odd[codes].astype(int), offsets[:-1]) > 0 if len(codes) else np.zeros(0, bool)
         number: dict[str, int] = {}
-        parts = np.split(codes, offsets[1:-1])
+        parts = np.split(codes, offsets[1:-1]) if len(texts) else []
         for i in np.flatnonzero(cut).tolist():
             own = _CUT.split(" " + (texts[i].as_py() or ""))
             parts[i] = np.array([number.setdefault(c, len(names) + len(number)) for c in own], np.int64)
         names += number
-        used = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-        chunk = self.learn([names[u] for u in used.tolist()])
-        rows = [chunk[names[u]] for u in used.tolist()]
-        parts = [np.searchsorted(used, p) for p in parts]
-        bad = np.array([r is None for r in rows], bool)
-        empty = np.array([not t for t in pc.fill_null(pc.utf8_length(texts), 0).to_pylist()], bool)
-        for i, part in enumerate(parts):
-            if not empty[i] and bad[part].any():  # the whole text decides
-                parts[i] = np.array([len(rows)])
-                rows += self._aligned([" " + texts[i].as_py()])
-            if empty[i] or rows[parts[i][0]] is None:
-                parts[i] = np.zeros(0, np.int64)
-        rows = [r or ("", 0, 0, 0, np.zeros(0, np.int64)) for r in rows]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        all_of, text = np.concatenate([*parts, np.zeros(0, np.int64)]), np.repeat(np.arange(len(parts)), sizes)
-        numbers = [np.bincount(text, np.array([r[j] for r in rows], float)[all_of] if len(rows) else [], len(parts)).astype(np.int64) for j in (1, 2, 3)]
-        shown = pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array([r[0] for r in rows], pa.large_string()).take(pa.array(all_of))), pa.scalar(";", pa.large_string()))
-        # Links of all chunks in a row; pairs by their places among the block's distinct ones.
-        lengths = np.array([len(r[4]) for r in rows], np.int64)
-        begin = np.cumsum(lengths) - lengths
-        pairs, place = np.unique(np.concatenate([*(r[4] for r in rows), np.zeros(0, np.int64)]), return_inverse=True)
-        n = lengths[all_of]
-        at = np.repeat(begin[all_of] - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
-        keys, count = np.unique(np.repeat(text, n) * max(len(pairs), 1) + place[at], return_counts=True)
+        used, of = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_inverse=True)
+        chunks = self.aligned([names[u] for u in used.tolist()])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        text = np.repeat(np.arange(len(parts)), sizes)
+        spoilt = np.bincount(text, ~chunks.good[of], len(parts)) > 0
+        empty = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False) == 0
+        # A text with a chunk whose bytes differ is encoded whole, which decides.
+        whole = np.flatnonzero(spoilt & ~empty)
+        again = self.aligned([" " + texts[i].as_py() for i in whole.tolist()])
+        keep = ~(spoilt | empty)[text]
+        of, text = of[keep], text[keep]
+        at, rows = np.concatenate([text, whole]), np.concatenate([of, len(used) + np.arange(len(whole))])
+        order = np.argsort(at, kind="stable")
+        at, rows = at[order], rows[order]
+        join = lambda f: np.concatenate([f(chunks), f(again)])
+        n = len(parts)
+        numbers = [np.bincount(at, join(lambda x, j=j: x.sizes[j])[rows], n).astype(np.int64) for j in range(3)]
+        n_items, n_pairs = join(lambda x: x.n_items), join(lambda x: x.n_pairs)
+        items = join(lambda x: x.items)[_gather(_starts(n_items)[rows], n_items[rows])]
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(numbers[0] + numbers[1])]), self.shown.take(pa.array(items)))
+        shown = pc.binary_join(lists, pa.scalar("", pa.large_string()))
+        # Links of a text; pairs by their places among the block's distinct ones.
+        pairs, place = np.unique(join(lambda x: x.pairs), return_inverse=True)
+        links = n_pairs[rows]
+        keys, count = np.unique(np.repeat(at, links) * max(len(pairs), 1) + place[_gather(_starts(n_pairs)[rows], links)], return_counts=True)
         of_text, place = np.divmod(keys, max(len(pairs), 1))
-        ends = np.cumsum(np.bincount(of_text, minlength=len(parts)))
-        return {"n_a": numbers[0], "n_b": numbers[1], "n_groups": numbers[2], "shown": shown, "place": place, "count": count, "ends": ends, "pairs": pairs, "total": np.bincount(place, count, len(pairs)).astype(np.int64)}
+        total = np.bincount(place, count, len(pairs)).astype(np.int64)
+        return {"n_a": numbers[0], "n_b": numbers[1], "n_groups": numbers[2], "shown": shown, "place": place, "count": count, "ends": np.cumsum(np.bincount(of_text, minlength=n)), "pairs": pairs, "total": total}
 
 
 @lru_cache(maxsize=1)
@@ -227,7 +324,7 @@ def align(docs: DataFrame, spec: str, model: bytes, folder: str, id_col: str = "
             texts = batch.column("text").cast(pa.large_string())
             for part in _slices(texts):
                 b = _aligner(*held.value).block(texts[part])
-                sha = ["" if not n else hashlib.sha256(s.as_buffer()).hexdigest() for n, s in zip(b["n_groups"].tolist(), b["shown"])]
+                sha = ["" if not n else hashlib.sha256(s.as_buffer().slice(0, len(s.as_buffer()) - 1)).hexdigest() for n, s in zip(b["n_groups"].tolist(), b["shown"])]
                 one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t))
                 number += 1
                 yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import accumulate
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -96,7 +97,6 @@ def test_documents_in_small_blocks(spark, sides, tmp_path, monkeypatch):
     aligner = alignment.Aligner(SPEC, MODEL)
     import pyarrow as pa
 
-    monkeypatch.setattr(alignment, "CACHE_CHUNKS", 50)
     monkeypatch.setattr(alignment, "CACHE_STEPS", 20)
     small = [aligner.block(pa.array([d.text for d in docs[i : i + 7]], pa.large_string())) for i in range(0, 70, 7)]
     assert [x for b in small for x in b["n_groups"].tolist()] == [w[3] for w in sorted(want)[:70]]
@@ -111,19 +111,33 @@ def test_alignment_table(spark, tmp_path):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.binary(min_size=1, max_size=40), st.data())
-def test_transducer_on_random_cuts(raw, data):
-    cuts = [sorted(data.draw(st.sets(st.integers(1, len(raw) - 1))) if len(raw) > 1 else set()) + [len(raw)] for _ in range(2)]
-    ids, names = [], []
-    for cut in cuts:
-        tokens = [raw[s:e] for s, e in zip([0, *cut], cut)]
-        number = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
-        ids.append([number[t] for t in tokens])
-        names.append({i: t for t, i in number.items()})
-    shown, n, links = alignment.Transducer(*names).groups(*ids)
-    assert n == len(set(cuts[0]) & set(cuts[1])) == shown.count("|")
-    spans = [list(zip([0, *cut], cut)) for cut in cuts]
-    want = [(a, b) for a, (s, e) in zip(ids[0], spans[0]) for b, (t, f) in zip(ids[1], spans[1]) if s < f and t < e]
-    assert sorted(links) == sorted(a << alignment.SHIFT | b for a, b in want)
-    with pytest.raises(alignment.Mismatch):
-        alignment.Transducer(names[0], {i: bytes(255 - c for c in t) for i, t in names[1].items()}).groups(*ids)
+@given(st.lists(st.binary(min_size=1, max_size=40), min_size=1, max_size=4), st.data(), st.sampled_from([0, 16]))
+def test_transducer_on_random_cuts(raws, data, few):
+    names, ids, spans = ([], []), ([], []), ([], [])
+    for raw in raws:
+        for side in (0, 1):
+            cut = sorted(data.draw(st.sets(st.integers(1, len(raw) - 1))) if len(raw) > 1 else set()) + [len(raw)]
+            tokens = [raw[s:e] for s, e in zip([0, *cut], cut)]
+            names[side].extend(t for t in tokens if t not in names[side])
+            ids[side].append([names[side].index(t) for t in tokens])
+            spans[side].append(list(zip([0, *cut], cut)))
+
+    def run(a, b):
+        flat = tuple(np.array([t for x in side for t in x]) for side in ids)
+        return alignment.Transducer(a, b).groups(flat, tuple(np.cumsum([len(x) for x in side]) for side in ids))
+
+    was, alignment.FEW = alignment.FEW, few
+    try:
+        good, group, text, pairs = run(*map(list, names))
+        bad = run(list(names[0]), [bytes(255 - c for c in t) for t in names[1]])[0]
+    finally:
+        alignment.FEW = was
+    assert good.all() and not bad.any()
+    want, groups = [], ([], [])
+    for i in range(len(raws)):
+        both = sorted({e for _, e in spans[0][i]} & {e for _, e in spans[1][i]})
+        want.append(sorted(a << alignment.SHIFT | b for a, (s, e) in zip(ids[0][i], spans[0][i]) for b, (t, f) in zip(ids[1][i], spans[1][i]) if s < f and t < e))
+        for side in (0, 1):
+            groups[side].extend(sum(m < e for m in both) for _, e in spans[side][i])
+    assert [sorted(pairs[text == i].tolist()) for i in range(len(raws))] == want
+    assert [g.tolist() for g in group] == list(groups)
