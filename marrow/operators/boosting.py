@@ -1,7 +1,7 @@
 """Gradient-boosted trees with learned directions for missing values, and three ways to score them.
 
 Many fits of a bounded table (folds x settings) run as one Spark job: a row of a spec table is a fit, and
-the binned features are sent to every task once. Scoring is distributed over rows: Arrow batches walk all
+the features are sent to every task once. Larger tables are grown level by level on Spark, in ``forests``. Scoring is distributed over rows: Arrow batches walk all
 trees level by level; small forests can also be one SQL expression.
 
 A node is (f, t, l, r, m, v): a row goes left if its feature, rounded to single precision, is below t; a
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from marrow.functions import scalar
 
-#: Fits hold their table in a task; larger ones are refused (subsample first).
+#: Rows of a table that fits may hold in a task; larger ones are grown on Spark (see forests).
 MOST_ROWS = 1_000_000
 MAX_BINS = 256
 LAMBDA, MIN_CHILD = 1.0, 1.0
@@ -44,6 +44,22 @@ def _bins(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def best_split(left_g, left_h, lost_g, lost_h, total_g: float, total_h: float, last: np.ndarray, has_lost: np.ndarray, both: bool = True) -> tuple[int, int, bool] | None:
+    """feature, bin, whether missing values go left: the split of largest gain, None if none gains.
+
+    left_g, left_h: sums up to each bin, by feature; lost_g, lost_h: those of missing values; last: features' last bins. Without
+    both, missing values only go left, as where there are none.
+    """
+    place = np.arange(left_g.shape[1])[None, :]
+    # A cut after the last bin has all present values on the left and the missing ones on the right.
+    valid = (place < last[:, None]) | ((place == last[:, None]) & has_lost[:, None])
+    lg, lh = (np.stack([v + gone[:, None], v], axis=1) if both else v[:, None, :] for v, gone in ((left_g, lost_g), (left_h, lost_h)))
+    rg, rh = total_g - lg, total_h - lh
+    gain = np.where(valid[:, None, :] & (lh >= MIN_CHILD) & (rh >= MIN_CHILD), lg**2 / (lh + LAMBDA) + rg**2 / (rh + LAMBDA) - total_g**2 / (total_h + LAMBDA), -np.inf)
+    j, right, c = np.unravel_index(gain.argmax(), gain.shape)
+    return (int(j), int(c), not right) if gain[j, right, c] > 1e-12 else None
+
+
 def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float, features: tuple[str, ...] = ()) -> Forest:
     """Second-order boosting of the logistic loss over histograms. Missing values are NaN; both directions are tried."""
     x = np.asarray(x, np.float32)
@@ -58,7 +74,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float
     # One number for each feature and bin, and one for all missing values.
     cell = np.where(lost, k * wide, code + wide * np.arange(k))
     any_lost = bool(lost.any())
-    place, last = np.arange(wide)[None, :], (widths - 1)[:, None]
+    last = widths - 1
     out = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
@@ -72,15 +88,10 @@ def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float
             if level < depth and k:
                 cells = cell[rows].ravel()
                 left_g, left_h = (np.cumsum(np.bincount(cells, np.repeat(v[rows], k), k * wide + 1)[:-1].reshape(k, wide), axis=1) for v in (g, h))
-                # A cut after the last bin has all present values on the left and the missing ones on the right.
-                valid = (place < last) | ((place == last) & lost[rows].any(axis=0)[:, None])
-                gone_g, gone_h = total_g - left_g[:, -1:], total_h - left_h[:, -1:]
-                lg, lh = (np.stack([v + gone, v], axis=1) if any_lost else v[:, None, :] for v, gone in ((left_g, gone_g), (left_h, gone_h)))
-                rg, rh = total_g - lg, total_h - lh
-                gain = np.where(valid[:, None, :] & (lh >= MIN_CHILD) & (rh >= MIN_CHILD), lg**2 / (lh + LAMBDA) + rg**2 / (rh + LAMBDA) - total_g**2 / (total_h + LAMBDA), -np.inf)
-                j, right, c = np.unravel_index(gain.argmax(), gain.shape)
-                if gain[j, right, c] > 1e-12:
-                    best = (int(j), float(cuts[j][c]) if c < len(cuts[j]) else float(np.finfo(np.float32).max), not right)
+                found = best_split(left_g, left_h, total_g - left_g[:, -1], total_h - left_h[:, -1], total_g, total_h, last, lost[rows].any(axis=0), any_lost)
+                if found:
+                    j, c, missing_left = found
+                    best = (j, float(cuts[j][c]) if c < len(cuts[j]) else float(np.finfo(np.float32).max), missing_left)
             if best is None:
                 nodes[at][5] = float(np.float32(-rate * total_g / (total_h + LAMBDA)))
                 where.append((at, rows))
@@ -165,7 +176,7 @@ def table_of(df: DataFrame, features: list[str], label: str = "y", key: str = "r
     """The training table on the driver, in key order; its size is checked first."""
     rows = df.select(key, label, *extra, *[F.col(c).cast("float") for c in features])
     if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} rows; subsample them")
+        raise ValueError(f"more than {MOST_ROWS} rows; grow them with forests.fit")
     return rows.toPandas().sort_values(key)
 
 

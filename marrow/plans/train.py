@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.operators import boosting, calibrate, checks, conformal, metrics, resample
+from marrow.functions import scalar
+from marrow.operators import boosting, calibrate, checks, conformal, forests, metrics, resample
+from marrow.operators.storage import step_folder
 
 OUTER, INNER = 5, 3
 #: Rows that the search for settings uses in an outer fold.
@@ -24,11 +27,11 @@ class Fitted:
     settings: tuple[int, int, float]
 
 
-def _search_specs(fold: np.ndarray, y: np.ndarray, grid, seed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """A fit for each outer fold, setting and inner fold; inner folds deal the classes in turn."""
+def _search_specs(inside: dict[int, np.ndarray], y: np.ndarray, grid, seed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """A fit for each outer fold, setting and inner fold; inner folds deal the classes in turn. inside: an outer fold's training rows."""
     rows, keys = [], []
-    for k in sorted(set(fold)):
-        rng, inside = np.random.default_rng([seed, int(k)]), np.flatnonzero(fold != k)
+    for k, inside in sorted(inside.items()):
+        rng = np.random.default_rng([seed, int(k)])
         if len(inside) > SEARCH_ROWS:
             part = [rng.permutation(inside[y[inside] == v])[: round(SEARCH_ROWS * (y[inside] == v).mean())] for v in (0, 1)]
             inside = np.sort(np.concatenate(part))
@@ -42,24 +45,50 @@ def _search_specs(fold: np.ndarray, y: np.ndarray, grid, seed: int) -> tuple[pd.
     return pd.DataFrame(rows, columns=["spec", "depth", "trees", "rate", "train", "test"]), pd.DataFrame(keys, columns=["spec", "fold", "combo"])
 
 
-def train(df: DataFrame, features: list[str], label: str = "y", key: str = "row_id", grid=resample.GRID, seed: int = 42) -> Fitted:
-    """All fits of a step run in one Spark job; the table must be small enough for a task (see boosting.MOST_ROWS)."""
-    spark = df.sparkSession
-    folded = resample.stratified_folds(df, OUTER, label, key, seed)
-    table = boosting.table_of(folded, features, label, key, ["fold"])
-    fold, y = table["fold"].to_numpy(), table[label].to_numpy()
-    specs, keys = _search_specs(fold, y, grid, seed)
+def _chosen(table: pd.DataFrame, inside: dict[int, np.ndarray], spark: SparkSession, features: list[str], label: str, grid, seed: int) -> tuple[dict[int, tuple], tuple]:
+    """Each outer fold's setting, and the one chosen most."""
+    specs, keys = _search_specs(inside, table[label].to_numpy(), grid, seed)
     scored = boosting.fit_many(spark, table, features, specs, label)
     scores = metrics.auc(scored.select("spec", "y", "p"), ["spec"]).join(F.broadcast(spark.createDataFrame(keys)), "spec")
     chosen = resample.best_combination(scores.select("fold", "combo", F.col("auc").alias("score"))).cache()
-    best = {r["fold"]: r["combo"] for r in chosen.collect()}  # a row a fold
+    best = {r["fold"]: grid[r["combo"]] for r in chosen.collect()}  # a row a fold
     modal = grid[resample.modal_combination(chosen).first()["combo"]]
-    outer = pd.DataFrame([(int(k), *grid[best[k]], np.flatnonzero(fold != k).tolist(), np.flatnonzero(fold == k).tolist()) for k in sorted(best)], columns=["spec", "depth", "trees", "rate", "train", "test"])
+    chosen.unpersist()
+    return best, modal
+
+
+def _small(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int) -> tuple[DataFrame, boosting.Forest, tuple]:
+    """Held-out scores, the final forest and its setting; every fit has the table in its task."""
+    spark = folded.sparkSession
+    table = boosting.table_of(folded, features, label, key, ["fold"])
+    fold = table["fold"].to_numpy()
+    best, modal = _chosen(table, {k: np.flatnonzero(fold != k) for k in set(fold.tolist())}, spark, features, label, grid, seed)
+    outer = pd.DataFrame([(int(k), *best[k], np.flatnonzero(fold != k).tolist(), np.flatnonzero(fold == k).tolist()) for k in sorted(best)], columns=["spec", "depth", "trees", "rate", "train", "test"])
     ids = spark.createDataFrame(pd.DataFrame({"position": np.arange(len(table)), key: table[key].to_numpy()}))
-    held = boosting.fit_many(spark, table, features, outer, label).join(ids, "position").select(F.col(key).alias("row_id"), "y", "p", F.col("spec").cast("int").alias("fold")).cache()
+    held = boosting.fit_many(spark, table, features, outer, label).join(ids, "position").select(F.col(key).alias("row_id"), "y", "p", F.col("spec").cast("int").alias("fold"))
+    return held, boosting.fit_forest(table[features].to_numpy(np.float32), table[label].to_numpy(), *modal, features=tuple(features)), modal
+
+
+def _large(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int) -> tuple[DataFrame, boosting.Forest, tuple]:
+    """The same for a table of any size: settings from SEARCH_ROWS rows a fold, then all folds' fits and the final one grown together on Spark."""
+    rows = folded.select(key, label, "fold", *features)
+    samples = [resample.stratified_subsample(rows.where(F.col("fold") != k), SEARCH_ROWS, label, key, seed + k).withColumn("fold", F.lit(k)) for k in range(OUTER)]
+    table = boosting.table_of(reduce(DataFrame.unionByName, samples), features, label, key, ["fold"])
+    best, modal = _chosen(table, {k: np.flatnonzero(table["fold"].to_numpy() == k) for k in range(OUTER)}, folded.sparkSession, features, label, grid, seed)
+    fits = [forests.Fit(*best[k], f"fold <> {k}") for k in range(OUTER)] + [forests.Fit(*modal)]
+    grown, margins = forests.fit(rows, features, fits, step_folder(folded.sparkSession, "train"), [key, "fold"], label)
+    p = scalar.sigmoid(F.get("margins", F.col("fold")))
+    return margins.select(F.col(key).alias("row_id"), F.col(label).alias("y"), p.alias("p"), "fold"), grown[-1], modal
+
+
+def train(df: DataFrame, features: list[str], label: str = "y", key: str = "row_id", grid=resample.GRID, seed: int = 42) -> Fitted:
+    """Fits hold the table in their tasks while it has at most boosting.MOST_ROWS rows, and are grown on Spark beyond."""
+    folded = resample.stratified_folds(df, OUTER, label, key, seed)
+    fitted = _small if df.limit(boosting.MOST_ROWS + 1).count() <= boosting.MOST_ROWS else _large
+    held, forest, modal = fitted(folded, features, label, key, grid, seed)
+    held = held.cache()
     checks.assert_covered(folded.select(F.col(key).alias("row_id")), held)
     calibrator = calibrate.pick(held)
-    forest = boosting.fit_forest(table[features].to_numpy(np.float32), y, *modal, features=tuple(features))
     return Fitted(calibrate.cross_fit(held, calibrator.method), forest, calibrator, modal)
 
 
