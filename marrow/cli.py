@@ -69,7 +69,7 @@ def external(args) -> int:
     df = df.withColumnRenamed("target", "y")
     fitted = train(df.where(F.col("site") == HOME_SITE), features, seed=args.seed)
     raw = boosting.score(df.where(F.col("site") != HOME_SITE), fitted.forest, "p_raw")
-    scored = raw.select("row_id", "site", "y", fitted.calibrator.apply(F.col("p_raw")).alias("p"))
+    scored = calibrate.calibrated(raw, fitted.calibrator, "p_raw", "p").select("row_id", "site", "y", "p")
     _show({"rows": [r.asDict() for r in calibrate.transfer_study(scored, "site", HOME_SITE, n_boot=args.n_boot).collect()]})
     return 0
 

@@ -1,25 +1,32 @@
 """Calibration: sigmoid and isotonic fits on cells, cross-fitting, and transfer by a fitted intercept.
 
 A fit sees (p, pos, neg) cells summed by Spark. Newton fits need only a few sums a step, so each step is
-one aggregate; the isotonic fit pools its cells by range first and the pooled blocks once more, so no task
-holds all of them unless they are few.
+one aggregate. The isotonic fit pools its cells by ranges of bounded size; neighbouring ranges are pooled together only
+where the blocks at their border are out of order, until none is. Up to MOST_KNOTS its knots become one expression, more stay
+a table that scores meet by an as-of join.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrow.functions import scalar
 from marrow.operators import metrics
 from marrow.operators.resample import stratified_split
+from marrow.operators.storage import step_folder, stored
 
 TOLERANCE, MOST_STEPS = 1e-10, 100
-RANGES = 64
+#: Blocks that a range of scores holds, which a task pools.
+RANGE_BLOCKS = 100_000
+#: Knots that a plan carries as constants.
+MOST_KNOTS = 2_000
 METHODS = ("sigmoid", "isotonic")
 
 
@@ -83,45 +90,152 @@ def pool_adjacent(x0: np.ndarray, x1: np.ndarray, pos: np.ndarray, n: np.ndarray
     return pd.DataFrame(out, columns=["x0", "x1", "pos", "n"]).astype("float64")
 
 
-def fit_isotonic(scored: DataFrame) -> Calibrator:
-    """Isotonic least squares: pooled within ranges of p, then over the ranges' blocks, which gives the same blocks."""
-    found = metrics.cells(scored).select(F.col("p").alias("x0"), F.col("p").alias("x1"), F.col("pos").cast("double").alias("pos"), (F.col("pos") + F.col("neg")).cast("double").alias("n"), F.floor(F.col("p") * RANGES).alias("r"))
+def _cut_into(edges: np.ndarray, column: str, spark) -> Column:
+    """The number of edges that are not above the column's value."""
+    sent = spark.sparkContext.broadcast(edges)  # an edge a range
+
+    @F.pandas_udf("long")
+    def at(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sent.value, x.to_numpy(), side="right").astype(np.int64))
+
+    return at(column)
+
+
+def _edges(df: DataFrame, column: str, each: int) -> np.ndarray:
+    """Values between which about so many rows lie."""
+    n = -(-df.count() // each)
+    if n < 2:
+        return np.zeros(0)
+    return np.unique(df.agg(F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), max(10_000, 10 * n)).alias("e")).first()["e"])
+
+
+def isotonic_blocks(scored: DataFrame, each: int = RANGE_BLOCKS) -> DataFrame:
+    """r, x0, x1, pos, n: the blocks of the isotonic fit, by range and x0.
+
+    Ranges are pooled each by itself. Then, round by round, pairs of neighbouring ranges whose border is out of order are
+    pooled together and cut anew, which leaves at least one block less; a range never holds more than twice ``each`` blocks.
+    The driver sees a row a range.
+    """
+    spark, folder = scored.sparkSession, step_folder(scored.sparkSession, "isotonic")
+    cells = metrics.cells(scored).select(F.col("p").cast("double").alias("x0"), F.col("p").cast("double").alias("x1"), F.col("pos").cast("double").alias("pos"), (F.col("pos") + F.col("neg")).cast("double").alias("n"))
+    cells = stored(cells, f"{folder}/cells")
+    fields = "r long, x0 double, x1 double, pos double, n double"
+    edges = _edges(cells, "x0", each)
 
     def pooled(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x0")
-        return pool_adjacent(*(pdf[c].to_numpy() for c in ("x0", "x1", "pos", "n")))
+        out = pool_adjacent(*(pdf[c].to_numpy() for c in ("x0", "x1", "pos", "n")))
+        own = np.sort(pdf["r"].unique())
+        # The blocks are dealt to the pair's ranges again; one that is left without has none any more.
+        out.insert(0, "r", own[np.arange(len(out)) * len(own) // len(out)])
+        return out
+
+    blocks = stored(cells.withColumn("r", _cut_into(edges, "x0", spark) if len(edges) else F.lit(0).cast("long")).groupBy("r").applyInPandas(pooled, fields), f"{folder}/0")
+    for step in itertools.count(1):
+        first, last = (F.expr(f"{f}_by(struct(pos, n), x0)") for f in ("min", "max"))
+        ends = sorted(blocks.groupBy("r").agg(first.alias("f"), last.alias("l")).collect(), key=lambda e: e["r"])
+        pairs, at = {}, 0
+        while at + 1 < len(ends):
+            a, b = ends[at]["l"], ends[at + 1]["f"]
+            if a["pos"] * b["n"] >= b["pos"] * a["n"]:
+                pairs[ends[at + 1]["r"]] = ends[at]["r"]
+                at += 1
+            at += 1
+        if not pairs:
+            return blocks
+        met = list(pairs) + list(pairs.values())
+        named = spark.createDataFrame([(r, pairs.get(r, r)) for r in met], "r long, pair long")
+        held = blocks.join(F.broadcast(named), "r", "left")  # a row a range
+        again = held.where("pair IS NOT NULL").groupBy("pair").applyInPandas(lambda pdf: pooled(pdf), fields)
+        blocks = stored(held.where("pair IS NULL").select("r", "x0", "x1", "pos", "n").unionByName(again), f"{folder}/{step}")
+
+
+def knots(blocks: DataFrame) -> DataFrame:
+    """x, y: both ends of every block at its mean."""
+    return blocks.select(F.explode(F.array_distinct(F.array("x0", "x1"))).alias("x"), (F.col("pos") / F.col("n")).alias("y"))
+
 
-    blocks = found.groupBy("r").applyInPandas(pooled, "x0 double, x1 double, pos double, n double").toPandas().sort_values("x0")
-    if blocks.empty:
+@dataclass(frozen=True)
+class KnotTable:
+    """An isotonic calibrator whose knots (x, y) are a table of any size."""
+
+    table: DataFrame
+    method: str = "isotonic"
+
+    def to_json(self) -> dict:
+        """Every knot; only a bundle, which is one document, asks for them."""
+        rows = self.table.orderBy("x").collect()
+        return {"type": "isotonic", "x": [r["x"] for r in rows], "y": [r["y"] for r in rows]}
+
+
+def fit_isotonic(scored: DataFrame, most_knots: int = MOST_KNOTS) -> "Calibrator | KnotTable":
+    """Isotonic least squares of y on p."""
+    found = knots(isotonic_blocks(scored))
+    few = found.orderBy("x").limit(most_knots + 1).collect()
+    if not few:
         raise ValueError("no rows to fit")
-    blocks = pool_adjacent(*(blocks[c].to_numpy() for c in ("x0", "x1", "pos", "n")))
-    xs, ys = [], []
-    for b in blocks.itertuples():
-        for x in dict.fromkeys((b.x0, b.x1)):
-            xs.append(x)
-            ys.append(b.pos / b.n)
-    return Calibrator("isotonic", x=tuple(xs), y=tuple(ys))
+    return KnotTable(found) if len(few) > most_knots else Calibrator("isotonic", x=tuple(r["x"] for r in few), y=tuple(r["y"] for r in few))
 
 
-def fit(scored: DataFrame, method: str) -> Calibrator:
+def interpolated(df: DataFrame, table: DataFrame, source: str = "p", name: str = "p_cal", each: int = RANGE_BLOCKS) -> DataFrame:
+    """df with the piecewise linear function through the table's knots at source, constant beyond both ends.
+
+    Each distinct score meets the knots around it once: scores and knots are cut into ranges of bounded size, windows run
+    within a range, and the knots next to a range come from one row a range. Rows then take their score's value.
+    """
+    spark, folder = df.sparkSession, step_folder(df.sparkSession, "knots")
+    asked = df.where(F.col(source).isNotNull()).select(F.col(source).cast("double").alias("x")).distinct().select("x", F.lit(None).cast("double").alias("y"))
+    both = stored(asked.unionByName(table.select("x", "y")), f"{folder}/both")
+    edges = _edges(both, "x", each)
+    both = both.withColumn("r", _cut_into(edges, "x", spark) if len(edges) else F.lit(0).cast("long"))
+    knot = F.when(F.col("y").isNotNull(), F.struct("x", "y"))
+    ends = both.where("y IS NOT NULL").groupBy("r").agg(F.min(F.struct("x", "y")).alias("f"), F.max(F.struct("x", "y")).alias("l"))
+    ranges = spark.range(len(edges) + 1).select(F.col("id").alias("r")).join(ends, "r", "left")
+    # One row a range.
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy("r").rowsBetween(1, Window.unboundedFollowing)
+    around = ranges.select("r", F.last("l", ignorenulls=True).over(before).alias("_before"), F.first("f", ignorenulls=True).over(after).alias("_after"))
+    upto = Window.partitionBy("r").orderBy("x", F.col("y").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("r").orderBy(F.desc("x"), F.col("y").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_lo", F.last(knot, ignorenulls=True).over(upto)).withColumn("_hi", F.last(knot, ignorenulls=True).over(since)).where("y IS NULL").join(around, "r")
+    lo, hi = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
+    inner = F.try_divide(hi["y"] - lo["y"], hi["x"] - lo["x"]) * (F.col("x") - lo["x"]) + lo["y"]
+    value = F.when(lo.isNull(), hi["y"]).when(hi.isNull() | (lo["x"] == F.col("x")), lo["y"]).otherwise(inner)
+    found = placed.select(F.col("x").alias("_x"), value.alias(name))
+    return df.join(found, F.col(source).cast("double") == F.col("_x"), "left").drop("_x")
+
+
+def calibrated(df: DataFrame, calibrator: "Calibrator | KnotTable", source: str = "p", name: str = "p_cal") -> DataFrame:
+    """df with source calibrated, by an expression or by an as-of join with the knots."""
+    if isinstance(calibrator, Calibrator):
+        return df.withColumn(name, calibrator.apply(F.col(source)))
+    target = name if name != source else "_calibrated"
+    out = interpolated(df, calibrator.table, source, target)
+    return out if name != source else out.withColumn(source, F.col(target)).drop(target)
+
+
+def fit(scored: DataFrame, method: str) -> Calibrator | KnotTable:
     if method not in METHODS:
         raise ValueError(f"unknown calibration method {method!r}")
     return fit_sigmoid(scored) if method == "sigmoid" else fit_isotonic(scored)
 
 
-def pick(scored: DataFrame) -> Calibrator:
+def pick(scored: DataFrame) -> Calibrator | KnotTable:
     """The fit with the smaller in-sample calibration error; a tie goes to the sigmoid."""
     fits = [fit(scored, m) for m in METHODS]
-    errors = [metrics.ece(scored.withColumn("p", c.apply(F.col("p")))).first()["ece"] for c in fits]
+    errors = [metrics.ece(calibrated(scored.select("y", "p"), c, "p", "p")).first()["ece"] for c in fits]
     return fits[int(errors[1] < errors[0])]
 
 
 def cross_fit(oof: DataFrame, method: str) -> DataFrame:
     """Adds p_cal: each fold is scored by a fit on the other folds. oof: row_id, y, p, fold."""
     folds = [r["fold"] for r in oof.select("fold").distinct().orderBy("fold").collect()]  # a handful
+    fits = {k: fit(oof.where(F.col("fold") != k), method) for k in folds}
+    if any(isinstance(c, KnotTable) for c in fits.values()):
+        return reduce(DataFrame.unionByName, [calibrated(oof.where(F.col("fold") == k), c) for k, c in fits.items()])
     out = F.lit(None).cast("double")
-    for k in folds:
-        out = F.when(F.col("fold") == k, fit(oof.where(F.col("fold") != k), method).apply(F.col("p"))).otherwise(out)
+    for k, c in fits.items():
+        out = F.when(F.col("fold") == k, c.apply(F.col("p"))).otherwise(out)
     return oof.withColumn("p_cal", out)
 
 

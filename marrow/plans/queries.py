@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marrow.functions import scalar
-from marrow.operators import boosting, calibrate, checks, cleaning, conformal, integrity, metrics, resample
+from marrow.operators import boosting, calibrate, checks, cleaning, conformal, forests, integrity, metrics, resample
+from marrow.operators.storage import step_folder
 from marrow.plans import views
 from marrow.plans.views import CO, DC, EF, SD, SE, SO, chance_sql, read
 from marrow.sources import tables
@@ -197,22 +198,23 @@ def fold_safe_one_hot(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.reindexed(encoded, ["price", *[f"prio_{p}" for p in PRIOS[:4]]], ["row_id"]))
 
 
-SCORES = "g AS (SELECT f AS fold, c AS combo, ((f * 7 + c * 5) % 6)::DOUBLE / 10 AS score FROM range(5) a(f), range(12) b(c))"
+# Scores of settings: the mean price of parts, by supplier group as fold and line number as setting, a line order's last digit as inner fold.
+SCORES = "g AS (SELECT (l_suppkey % 5)::INTEGER AS fold, (l_partkey % 12)::INTEGER AS combo, avg(floor(l_extendedprice / 500)) AS score FROM lineitem GROUP BY 1, 2, l_orderkey % 3), m AS (SELECT fold, combo, round(avg(score), 9) AS score FROM g GROUP BY 1, 2)"
 
 
-def _scores(spark: SparkSession) -> DataFrame:
-    at = spark.range(60).select((F.col("id") / 12).cast("int").alias("fold"), (F.col("id") % 12).cast("int").alias("combo"))
-    return at.withColumn("score", ((F.col("fold") * 7 + F.col("combo") * 5) % 6).cast("double") / 10)
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select(F.pmod("l_suppkey", F.lit(5)).cast("int").alias("fold"), F.pmod("l_partkey", F.lit(12)).cast("int").alias("combo"), F.pmod("l_orderkey", F.lit(3)).alias("inner"), F.floor(F.col("l_extendedprice") / 500).alias("v"))
+    return rows.groupBy("fold", "combo", "inner").agg(F.avg("v").alias("score"))
 
 
-@query(f"WITH {SCORES} SELECT fold::INTEGER AS fold, min(combo)::INTEGER AS combo, max(score) AS score FROM g WHERE score = (SELECT max(score) FROM g h WHERE h.fold = g.fold) GROUP BY fold")
+@query(f"WITH {SCORES} SELECT fold, arg_max(combo, score) AS combo, round(max(score), 6) AS score FROM m GROUP BY fold")
 def grid_argmax(spark: SparkSession, d: str) -> DataFrame:
-    return resample.best_combination(_scores(spark))
+    return rounded(resample.best_combination(_scores(spark, d)))
 
 
-@query(f"WITH {SCORES}, b AS (SELECT fold, arg_max(combo, score * 1000 - combo) AS combo FROM g GROUP BY fold), n AS (SELECT combo, count(*) AS n, min(fold) AS f FROM b GROUP BY 1) SELECT combo::INTEGER AS combo, n::BIGINT AS n FROM n ORDER BY n DESC, f LIMIT 1")
+@query(f"WITH {SCORES}, b AS (SELECT fold, arg_max(combo, score) % 3 AS combo FROM m GROUP BY fold), n AS (SELECT combo, count(*) AS n, min(fold) AS f FROM b GROUP BY 1) SELECT combo::INTEGER AS combo, n::BIGINT AS n FROM n ORDER BY n DESC, f LIMIT 1")
 def modal_params(spark: SparkSession, d: str) -> DataFrame:
-    return resample.modal_combination(resample.best_combination(_scores(spark)))
+    return resample.modal_combination(resample.best_combination(_scores(spark, d)).withColumn("combo", F.pmod("combo", F.lit(3))))
 
 
 @query(f"WITH {SO} SELECT row_id, y FROM so ORDER BY {chance_sql('row_id', 0)}, row_id LIMIT 2000")
@@ -424,7 +426,17 @@ def newton_intercept(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(calibrate.fit_intercept(views.scored_orders(spark, d)), 6),)], "intercept double")
 
 
-@query()
+def _logistic_sql(steps: int) -> str:
+    """Newton's steps for intercept a and slope b of y on z, unrolled."""
+    parts = [f"WITH {SD}, z AS (SELECT y, {LOGIT} AS z FROM sd), c0 AS (SELECT 0e0 AS a, 0e0 AS b)"]
+    for i in range(steps):
+        q = f"(1 / (1 + exp(-(a + b * z))))"
+        parts.append(f"s{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(y - {q}) AS g0, sum((y - {q}) * z) AS g1, sum({q} * (1 - {q})) AS h0, sum({q} * (1 - {q}) * z) AS h1, sum({q} * (1 - {q}) * z * z) AS h2 FROM z, c{i})")
+        parts.append(f"c{i + 1} AS (SELECT a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM s{i})")
+    return ", ".join(parts) + f" SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM c{steps}"
+
+
+@query(_logistic_sql(10))
 def calibration_in_the_large(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame([calibrate.calibration_in_the_large(views.scored_docs(spark, d))], "intercept double, slope double"))
 
@@ -434,10 +446,29 @@ def transfer_like_for_like(spark: SparkSession, d: str) -> DataFrame:
     return rounded(calibrate.transfer_study(views.scored_orders(spark, d), "site", "1-URGENT"))
 
 
-@query()
+ISOTONIC = """WITH {SD}, c AS (SELECT p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY p) AS i FROM sd GROUP BY p),
+    s AS (SELECT *, sum(pos) OVER (ORDER BY i) AS sp, sum(n) OVER (ORDER BY i) AS sn FROM c),
+    m AS (SELECT a.i AS a, b.i AS b, (b.sp - a.sp + a.pos) / (b.sn - a.sn + a.n) AS mean FROM s a JOIN s b ON a.i <= b.i),
+    f AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m),
+    v AS (SELECT b AS i, round(max(least), 12) AS y FROM f GROUP BY b),
+    k AS (SELECT y, min(p) AS x0, max(p) AS x1 FROM v JOIN s USING (i) GROUP BY y)"""
+
+
+@query(ISOTONIC.format(SD=SD) + " SELECT DISTINCT round(x, 6) AS x, round(y, 6) AS y FROM (SELECT x0 AS x, y FROM k UNION SELECT x1, y FROM k)")
 def isotonic_fit(spark: SparkSession, d: str) -> DataFrame:
-    c = calibrate.fit_isotonic(views.scored_docs(spark, d))
-    return rounded(spark.createDataFrame(list(zip(c.x, c.y)), "x double, y double"))
+    """The max-min formula over all pairs says the same in SQL."""
+    return rounded(calibrate.knots(calibrate.isotonic_blocks(views.scored_docs(spark, d))))
+
+
+@query(ISOTONIC.format(SD=SD) + """, n AS (SELECT x, y FROM (SELECT x0 AS x, y FROM k UNION SELECT x1, y FROM k)), q AS (SELECT row_id, least(1e0, p + 0.01e0) AS p FROM sd),
+    z AS (SELECT row_id, p, (SELECT max(x) FROM n WHERE x <= p) AS xl, (SELECT min(x) FROM n WHERE x > p) AS xh FROM q)
+    SELECT row_id, round(CASE WHEN xl IS NULL THEN h.y WHEN xh IS NULL OR xl = p THEN l.y ELSE l.y + (h.y - l.y) / (h.x - l.x) * (p - l.x) END, 6) AS p_cal FROM z LEFT JOIN n l ON l.x = xl LEFT JOIN n h ON h.x = xh""")
+def isotonic_knot_table(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by an as-of join with a table of knots."""
+    docs = views.scored_docs(spark, d)
+    table = calibrate.knots(calibrate.isotonic_blocks(docs))
+    asked = docs.select("row_id", F.least(F.lit(1.0), F.col("p") + 0.01).alias("p"))
+    return rounded(calibrate.interpolated(asked, table).select("row_id", "p_cal"))
 
 
 @query()
@@ -482,22 +513,27 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return integrity.compare(expected, docs.where("doc_id % 11 <> 0").select("path", F.sha2(changed, 256).alias("sha256")))
 
 
-FINGER = "r AS (SELECT label AS model, vec_id AS canary, embedding[1]::DOUBLE AS p FROM embeddings), c AS (SELECT canary, p FROM r WHERE model = (SELECT min(model) FROM r))"
+# Every label is a model, and its vectors by rank its canaries; those of model 7 are the candidate's too, those of model 4 but for a small shift.
+FINGER = "r AS (SELECT label AS model, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS canary, embedding[1]::DOUBLE AS p FROM embeddings), c AS (SELECT canary, p FROM r WHERE model = 7), s AS (SELECT CASE WHEN r.model = 4 THEN 4 ELSE r.model END AS model, r.canary, CASE WHEN r.model = 4 THEN c.p + 0.001e0 ELSE r.p END AS p FROM r LEFT JOIN c ON c.canary = r.canary)"
 
 
-@query(f"WITH {FINGER} SELECT m.model AS model, max(coalesce(abs(r.p - c.p), 'inf'::DOUBLE)) AS distance, m.model = (SELECT min(model) FROM r) AS matches FROM (SELECT DISTINCT model FROM r) m JOIN (SELECT canary FROM r) k ON true LEFT JOIN c ON c.canary = k.canary LEFT JOIN r ON r.model = m.model AND r.canary = k.canary WHERE c.canary IS NOT NULL OR r.canary IS NOT NULL GROUP BY m.model")
+@query(f"WITH {FINGER}, k AS (SELECT DISTINCT model FROM s), d AS (SELECT k.model AS model, max(coalesce(abs(s.p - c.p), 'inf'::DOUBLE)) AS distance FROM k JOIN (SELECT canary FROM c UNION SELECT canary FROM s) n ON true LEFT JOIN s ON s.model = k.model AND s.canary = n.canary LEFT JOIN c ON c.canary = n.canary WHERE s.canary IS NOT NULL OR c.canary IS NOT NULL GROUP BY 1) SELECT model, round(distance, 6) AS distance, distance <= 1e-12 AND (SELECT count(*) FROM d WHERE distance <= 1e-12) = 1 AS matches FROM d")
 def fingerprint_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "embeddings").select(F.col("label").alias("model"), F.col("vec_id").alias("canary"), F.get("embedding", F.lit(0)).cast("double").alias("p"))
-    first = rows.agg(F.min("model").alias("m"))
-    return integrity.fingerprint(rows.join(F.broadcast(first), F.col("model") == F.col("m")).select("canary", "p"), rows)
+    rank = F.row_number().over(Window.partitionBy("model").orderBy("vec_id"))
+    rows = read(spark, d, "embeddings").select(F.col("label").alias("model"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("p")).withColumn("canary", rank)
+    candidate = rows.where("model = 7").select("canary", "p")
+    shifted = rows.join(candidate.withColumnRenamed("p", "q"), "canary", "left")
+    return rounded(integrity.fingerprint(candidate, shifted.select("model", "canary", F.when(F.col("model") == 4, F.col("q") + 0.001).otherwise(F.col("p")).alias("p"))))
 
 
-LINES = "(VALUES (0, '# Title'), (1, '## Heart'), (2, '| column | label | unit |'), (3, '|---|---|---|'), (4, '| `age` | Age | years |'), (5, '| `chol` | Cholesterol | mg/dl |'), (6, '## Liver'), (7, '| `alt` | ALT | U/l |')) t(line, text)"
+MARKDOWN = "'# ' || lang || ' texts' || chr(10) || '## ' || source || chr(10) || '| column | label | unit |' || chr(10) || '|:--|---|--:|' || chr(10) || '| `id_' || doc_id || '` | ' || lang || ' of ' || n_chars || ' | characters |' || chr(13) || chr(10) || 'prose' || chr(10) || '|`c' || doc_id % 7 || '`|' || source || '||'"
 
 
-@query("SELECT * FROM (VALUES ('Heart', 'age', 'Age', 'years'), ('Heart', 'chol', 'Cholesterol', 'mg/dl'), ('Liver', 'alt', 'ALT', 'U/l')) t(section, \"column\", label, unit)")
+@query("SELECT doc_id, source AS section, 'id_' || doc_id AS \"column\", lang || ' of ' || n_chars AS label, 'characters' AS unit FROM documents UNION ALL SELECT doc_id, source, 'c' || doc_id % 7, source, '' FROM documents")
 def dictionary_parse(spark: SparkSession, d: str) -> DataFrame:
-    return tables.dictionary_rows(spark.sql(f"SELECT line, text FROM VALUES {LINES[len('(VALUES '):-len(') t(line, text)')]} AS t(line, text)"))
+    pages = read(spark, d, "documents").select("doc_id", F.expr(MARKDOWN.replace("chr(", "char(")).alias("value"))
+    lines = pages.select("doc_id", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return tables.dictionary_rows(lines, ["doc_id"])
 
 
 @query("SELECT DISTINCT o_orderpriority AS name, 'prio' AS source, split_part('prio_' || o_orderpriority, '_', 2) AS value FROM orders")
@@ -506,9 +542,11 @@ def dummy_split(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select(F.col("o_orderpriority").alias("name"), scalar.split_last(full, 1).alias("source"), scalar.split_last(full, 2).alias("value")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('mean_radius1', 'Mean radius 1'), ('AGE', 'Age'), ('red_blood_cells', 'Red blood cells')) t(name, label)")
+@query("""WITH n AS (SELECT p_partkey, lower(replace(p_name, ' ', '_')) || '_' || replace(p_type, ' ', '_') || p_size AS name FROM part)
+    SELECT p_partkey, upper(name[1]) || lower(replace(name[2:len(name) - len(digits)], '_', ' ')) || ' ' || digits AS label FROM (SELECT *, regexp_extract(name, '[0-9]+$') AS digits FROM n)""")
 def label_humanise(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("mean_radius1",), ("AGE",), ("red_blood_cells",)], "name string").withColumn("label", scalar.humanised(F.col("name")))
+    name = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), F.replace("p_type", F.lit(" "), F.lit("_")), F.col("p_size"))
+    return read(spark, d, "part").select("p_partkey", scalar.humanised(name).alias("label"))
 
 
 # Trees --------------------------------------------------------------------------------------------
@@ -537,10 +575,42 @@ def forest_score_batches(spark: SparkSession, d: str) -> DataFrame:
     return rounded(boosting.score(_blanked(spark, d), FOREST, "p").select("row_id", "p"))
 
 
-@query("SELECT 0e0 AS gap")
+@query(TREES.replace("SELECT row_id, round(", "SELECT row_id, 0e0 AS gap, round(").replace("AS p FROM e", "AS p FROM e WHERE row_id % 50 = 0"))
 def canary_maxdiff(spark: SparkSession, d: str) -> DataFrame:
-    both = boosting.score(boosting.score_native(_blanked(spark, d), FOREST, "a"), FOREST, "b")
-    return both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("gap")).select(F.when(F.col("gap") < 1e-12, 0.0).otherwise(F.col("gap")).alias("gap"))
+    """Canaries' scores by one way, their gap to the other way, and both against SQL."""
+    canaries = _blanked(spark, d).where("row_id % 50 = 0")
+    both = boosting.score(boosting.score_native(canaries, FOREST, "a"), FOREST, "b")
+    return both.select("row_id", F.round(F.abs(F.col("a") - F.col("b")), 12).alias("gap"), F.round("b", 6).alias("p"))
+
+
+# A stump of one round on three columns of few values, from sums by value; the other features and both sides' values follow from the same sums.
+STUMP = """WITH l AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, unnest([0, 1, 2]) AS feature, unnest([l_quantity, l_discount, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax END]::FLOAT[]) AS x FROM lineitem),
+    b AS (SELECT avg(y) AS p, count(*) AS n FROM l WHERE feature = 0),
+    c AS (SELECT feature, x, sum(p - y) AS g, sum(p * (1 - p)) AS h FROM l, b GROUP BY 1, 2),
+    t AS (SELECT sum(p - y) AS tg, sum(p * (1 - p)) AS th FROM l, b WHERE feature = 0),
+    m AS (SELECT feature, coalesce(sum(g) FILTER (WHERE x IS NULL), 0) AS mg, coalesce(sum(h) FILTER (WHERE x IS NULL), 0) AS mh FROM c GROUP BY 1),
+    s AS (SELECT feature, sum(g) OVER w AS lg, sum(h) OVER w AS lh, ((x::DOUBLE + lead(x::DOUBLE) OVER w) / 2)::FLOAT::DOUBLE AS cut FROM c WHERE x IS NOT NULL WINDOW w AS (PARTITION BY feature ORDER BY x)),
+    o AS (SELECT feature, cut, missing_left, lg + CASE WHEN missing_left THEN mg ELSE 0 END AS lg, lh + CASE WHEN missing_left THEN mh ELSE 0 END AS lh, tg, th FROM s JOIN m USING (feature), t, (VALUES (true), (false)) v(missing_left) WHERE cut IS NOT NULL),
+    r AS (SELECT *, lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) AS gain FROM o WHERE lh >= 1 AND th - lh >= 1)
+    SELECT feature::INTEGER AS feature, round(cut, 6) AS cut, round(-0.5e0 * lg / (lh + 1), 6) AS left_value, round(-0.5e0 * (tg - lg) / (th - lh + 1), 6) AS right_value FROM r ORDER BY gain DESC, missing_left DESC LIMIT 1"""
+
+
+@query(STUMP)
+def stump_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of depth 1 grown on Spark."""
+    rows = read(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity", "l_discount", F.when(F.col("l_linenumber") == 7, None).otherwise(F.col("l_tax")).alias("l_tax"))
+    (forest,), _ = forests.fit(rows, ["l_quantity", "l_discount", "l_tax"], [forests.Fit(1, 1, 0.5)], step_folder(spark, "stump"), [])
+    root, left, right = forest.trees[0]
+    return rounded(spark.createDataFrame([(root[0], root[1], left[5], right[5])], "feature int, cut double, left_value double, right_value double"))
+
+
+CUTS = "WITH v AS (SELECT DISTINCT feature, x FROM (SELECT unnest([0, 1, 2, 3]) AS feature, unnest([l_quantity, l_discount, l_tax, l_linenumber]::FLOAT[]) AS x FROM lineitem)), c AS (SELECT feature, ((x::DOUBLE + lead(x::DOUBLE) OVER (PARTITION BY feature ORDER BY x)) / 2)::FLOAT::DOUBLE AS cut FROM v) SELECT feature::INTEGER AS feature, round(cut, 6) AS cut FROM c WHERE cut IS NOT NULL"
+
+
+@query(CUTS)
+def cuts_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    found = forests.cut_table(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+    return rounded(found.select("feature", F.explode("cuts").alias("cut")).withColumn("cut", F.col("cut").cast("double")))
 
 
 @query()

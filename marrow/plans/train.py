@@ -23,7 +23,7 @@ SEARCH_ROWS = 20_000
 class Fitted:
     oof: DataFrame
     forest: boosting.Forest
-    calibrator: calibrate.Calibrator
+    calibrator: calibrate.Calibrator | calibrate.KnotTable
     settings: tuple[int, int, float]
 
 
@@ -97,11 +97,13 @@ def report(fitted: Fitted, alpha: float = 0.1, n_boot: int = 2000) -> dict:
     scored = fitted.oof.select("y", F.col("p_cal").alias("p"))
     q = conformal.q_hat(scored, alpha).first()["q_hat"]
     bounds = {r["metric"]: [r["point"], r["lo"], r["hi"]] for r in metrics.bootstrap(scored, n_boot=n_boot).collect()}
+    c = fitted.calibrator
+    calibration = c.to_json() if isinstance(c, calibrate.Calibrator) else {"type": c.method, "knots": c.table.count()}
     shares = {r["verdict"]: r["fraction"] for r in conformal.verdict_fractions(conformal.verdicts(scored, q)).collect()}
-    return {**metrics.evaluation(scored).first().asDict(), "intervals": bounds, "q_hat": q, "verdicts": shares, "calibration": fitted.calibrator.to_json()}
+    return {**metrics.evaluation(scored).first().asDict(), "intervals": bounds, "q_hat": q, "verdicts": shares, "calibration": calibration}
 
 
 def predict(df: DataFrame, fitted: Fitted, q_hat: float) -> DataFrame:
     """df with p_raw, p_cal and verdict."""
-    scored = boosting.score(df, fitted.forest, "p_raw").withColumn("p_cal", fitted.calibrator.apply(F.col("p_raw")))
+    scored = calibrate.calibrated(boosting.score(df, fitted.forest, "p_raw"), fitted.calibrator, "p_raw")
     return conformal.verdicts(scored.withColumn("p", F.col("p_cal")), q_hat).drop("p")

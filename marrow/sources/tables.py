@@ -57,13 +57,13 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return dictionary_rows(lines)
 
 
-def dictionary_rows(lines: DataFrame) -> DataFrame:
-    """The same from line, text rows of one document; a document is small, so its lines are one window."""
-    section = F.last(F.when(F.col("text").rlike("^##+ "), F.regexp_extract("text", r"^##+\s+(.*?)\s*$", 1)), ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+def dictionary_rows(lines: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """The same from line, text rows of one document, or of one for each value of keys; a document is small, so its lines are one window."""
+    section = F.last(F.when(F.col("text").rlike("^##+ "), F.regexp_extract("text", r"^##+\s+(.*?)\s*$", 1)), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     cells = F.split(F.regexp_replace("text", r"^\s*\||\|\s*$", ""), r"\|")
     cell = lambda i: F.trim(F.get("cells", F.lit(i)))
     rows = lines.withColumn("section", section).where(F.col("text").rlike(r"^\s*\|")).withColumn("cells", cells)
-    named = rows.select("section", F.regexp_replace(cell(0), "`", "").alias("column"), cell(1).alias("label"), cell(2).alias("unit"))
+    named = rows.select(*keys, "section", F.regexp_replace(cell(0), "`", "").alias("column"), cell(1).alias("label"), cell(2).alias("unit"))
     return named.where(~F.col("column").rlike(r"^:?-+:?$") & (F.lower("column") != "column"))
 
 
