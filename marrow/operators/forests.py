@@ -205,10 +205,12 @@ def grow(table: DataFrame, cuts: list[np.ndarray], fits: list[Fit], folder: str,
                     slot[open_] = np.arange(len(open_))
                     at = slot[_leaves(tree, codes[rows], widths)]
                     rows, at = rows[at >= 0], at[at >= 0]
-                    cell = (at[:, None] * (k * wide + 1) + np.append(codes[rows] + np.arange(k) * wide, np.full((len(rows), 1), k * wide), axis=1)).ravel()
+                    own, n = codes[rows], len(open_)
                     for s, v in zip(sums[i], _gradients(y[rows], margins[rows, i])):
-                        # Doubles hold a batch's sums exactly.
-                        s += np.bincount(cell, np.repeat(v, k + 1).astype(float), s.size).astype(np.int64).reshape(s.shape)
+                        v = v.astype(float)  # doubles hold a batch's sums exactly
+                        s[:, -1] += np.bincount(at, v, n).astype(np.int64)
+                        for j in range(k):
+                            s[:, j * wide : (j + 1) * wide] += np.bincount(at * wide + own[:, j], v, n * wide).astype(np.int64).reshape(n, wide)
             for i, s in sums.items():
                 node, cell = np.nonzero(s[1])
                 feature, place = np.divmod(cell, wide)
