@@ -1,17 +1,19 @@
-"""Command line: clean, train, evaluate, external, export, verify and predict, each a thin call of the library."""
+"""Command line: fetch, clean, train, evaluate, external, export, verify and predict, each a thin call of the library."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import time
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from marrow.operators import boosting, calibrate, cleaning, conformal, integrity, metrics
-from marrow.plans import bundle, registry
+from marrow.plans import bundle, registry, reports
 from marrow.plans.train import report, train
 from marrow.sources import sinks
 
@@ -38,18 +40,35 @@ def clean(args) -> int:
     return 0
 
 
+def fetch(args) -> int:
+    """Prints every file's status; a file without its pinned hash, or one that is missing, is status 1."""
+    pins = json.loads(args.pins.read_text()) if args.pins else {}
+    for slug in args.condition or registry.DATASETS:
+        try:
+            status = registry.fetch(slug, args.root / "raw", args.source.format(slug=slug), pins.get(slug), args.force)
+        except (OSError, ValueError) as e:
+            print(f"{slug}: {e}", file=sys.stderr)
+            return 1
+        for name, state in status.items():
+            print(f"{state:9} {slug}/{name}")
+    return 0
+
+
 def train_command(args) -> int:
     spark = session()
     for slug in args.condition or registry.DATASETS:
-        df, features = registry.encoded(_clean_table(spark, args.root, slug))
+        began, started = time.time(), datetime.now(timezone.utc).isoformat()
+        clean_df = _clean_table(spark, args.root, slug)
+        df, features = registry.encoded(clean_df)
         fitted = train(df.withColumnRenamed("target", "y"), features, seed=args.seed)
         fitted.oof.write.mode("overwrite").parquet(str(args.root / "oof" / slug))
-        out = report(fitted, ALPHA)
+        out = reports.dataset_report(slug, clean_df, fitted, ALPHA, args.n_boot)
         ranges = [{"name": r["feature"], "kind": r["kind"], "low": r["low"], "high": r["high"]} for r in cleaning.feature_ranges(df, features).collect()]
         model = bundle.assemble(slug, fitted.forest, fitted.calibrator, out["q_hat"], ALPHA, ranges, args.root)
         (args.root / "models" / slug).mkdir(parents=True, exist_ok=True)
         bundle.save(model, args.root / "models" / slug / "model.json")
         sinks.json_report(out, args.root / "models" / slug / "metrics.json")
+        reports.record_run(args.root / "models", {"datasets": {slug: {"started": started, "seconds": time.time() - began, "seed": args.seed, "n_boot": args.n_boot, "alpha": ALPHA}}})
     return 0
 
 
@@ -70,7 +89,8 @@ def external(args) -> int:
     fitted = train(df.where(F.col("site") == HOME_SITE), features, seed=args.seed)
     raw = boosting.score(df.where(F.col("site") != HOME_SITE), fitted.forest, "p_raw")
     scored = calibrate.calibrated(raw, fitted.calibrator, "p_raw", "p").select("row_id", "site", "y", "p")
-    _show({"rows": [r.asDict() for r in calibrate.transfer_study(scored, "site", HOME_SITE, n_boot=args.n_boot).collect()]})
+    home = {"site": HOME_SITE, **report(fitted, ALPHA, args.n_boot), "settings": list(fitted.settings), "features": features}
+    _show({"home": home, "rows": [r.asDict() for r in calibrate.transfer_study(scored, "site", HOME_SITE, n_boot=args.n_boot).collect()]})
     return 0
 
 
@@ -94,7 +114,7 @@ def verify(args) -> int:
             outside.append(path)
             print(f"{'INVALID_PATH':9} {path}")
     expected = spark.createDataFrame([(p, h) for p, h in stored.items() if p not in outside], "path string, sha256 string")
-    rows = integrity.compare(expected, integrity.hashes(spark, str(args.root / "models")).withColumn("path", F.concat(F.lit("models/"), "path"))).where("status <> 'UNLISTED'").collect()
+    rows = integrity.compare(expected, integrity.artifacts(spark, args.root)).where("status <> 'UNLISTED'").collect()
     for r in rows:
         print(f"{r['status']:9} {r['path']}")
     return int(bool(outside) or any(r["status"] != "OK" for r in rows))
@@ -102,7 +122,7 @@ def verify(args) -> int:
 
 def manifest(args) -> int:
     spark = session()
-    hashed = integrity.hashes(spark, str(args.root / "models")).withColumn("path", F.concat(F.lit("models/"), "path"))
+    hashed = integrity.artifacts(spark, args.root)
     sinks.json_report(integrity.manifest(hashed, bundle.commit_info(args.root)), args.root / "manifest.json")
     return 0
 
@@ -144,7 +164,7 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("--condition", action="append", choices=list(registry.DATASETS))
         p.add_argument("--seed", type=int, default=42)
-        if f is evaluate:
+        if f in (train_command, evaluate):
             p.add_argument("--n-boot", type=int, default=2000)
         p.set_defaults(run=f)
     for name, f in (("external", external), ("manifest", manifest), ("verify", verify)):
@@ -153,6 +173,12 @@ def parser() -> argparse.ArgumentParser:
         if f is external:
             p.add_argument("--n-boot", type=int, default=2000)
         p.set_defaults(run=f)
+    p = sub.add_parser("fetch")
+    p.add_argument("--condition", action="append", choices=list(registry.DATASETS))
+    p.add_argument("--source", required=True, help="folder, URL or zip archive; {slug} stands for the dataset")
+    p.add_argument("--pins", type=Path, help="JSON: dataset -> file -> SHA-256")
+    p.add_argument("--force", action="store_true")
+    p.set_defaults(run=fetch)
     p = sub.add_parser("predict")
     p.add_argument("--condition", required=True, choices=list(registry.DATASETS))
     p.add_argument("--set", action="append", default=[], metavar="FEATURE=VALUE")

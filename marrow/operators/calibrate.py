@@ -285,6 +285,37 @@ def fit_intercepts(scored: DataFrame, key: str) -> dict:
     return fitted
 
 
+def fit_lines(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, calibration_intercept, calibration_slope: the logistic fit of y on the log-odds of p, for every combination of keys at once.
+
+    One grouped aggregate a Newton step over distinct scores. NULL where a combination has one score or one class only.
+    """
+    spark = scored.sparkSession
+    d = scored.where(F.col("y").isNotNull() & F.col("p").isNotNull()).groupBy(*keys, scalar.logit(F.col("p")).alias("z")).agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).alias("n")).cache()
+    types = ", ".join(f"`{k}` {scored.schema[k].dataType.simpleString()}" for k in keys) + ", calibration_intercept double, calibration_slope double"
+    try:
+        heads = d.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), (F.min("z") < F.max("z")).alias("wide")).collect()  # a row a combination
+        lines = {tuple(r[k] for k in keys): np.zeros(2) if r["wide"] and 0 < r["pos"] < r["n"] else None for r in heads}
+        for _ in range(MOST_STEPS):
+            at = spark.createDataFrame([(*g, float(w[0]), float(w[1])) for g, w in lines.items() if w is not None], types)
+            q = scalar.sigmoid(F.col("calibration_intercept") + F.col("calibration_slope") * F.col("z"))
+            same = reduce(lambda c, k: c & d[k].eqNullSafe(at[k]), keys, F.lit(True))
+            v, g = F.col("n") * q * (1 - q), F.col("pos") - F.col("n") * q
+            sums = d.join(F.broadcast(at), same).select(*[d[k] for k in keys], g.alias("g"), v.alias("v"), "z").groupBy(*keys).agg(F.sum("g"), F.sum(F.col("g") * F.col("z")), F.sum("v"), F.sum(F.col("v") * F.col("z")), F.sum(F.col("v") * F.col("z") * F.col("z")))
+            moved = False
+            for r in sums.collect():
+                group, (g0, g1, h0, h1, h2) = tuple(r[: len(keys)]), r[len(keys) :]
+                if abs(h0 * h2 - h1 * h1) >= 1e-18:
+                    step = np.linalg.solve(np.array([[h0, h1], [h1, h2]]), np.array([g0, g1]))
+                    lines[group] = lines[group] + np.clip(step, -10, 10)
+                    moved |= bool(np.abs(step).max() >= TOLERANCE)
+            if not moved:
+                break
+    finally:
+        d.unpersist()
+    return spark.createDataFrame([(*g, *(map(float, w) if w is not None else (None, None))) for g, w in lines.items()], types)
+
+
 def _lookup(key: Column, values: dict) -> Column:
     out = F.lit(0.0)
     for k, v in values.items():
@@ -293,7 +324,7 @@ def _lookup(key: Column, values: dict) -> Column:
 
 
 def transfer_study(scored: DataFrame, site: str, home: str, share: float = 0.3, seed: int = 42, n_boot: int = 0) -> DataFrame:
-    """site, block, n, auc, brier, ece, intercept: for each other site all rows as they are, its evaluation rows as
+    """site, block, n, auc, brier, ece, intercept, calibration_intercept, calibration_slope: for each other site all rows as they are, its evaluation rows as
     they are, and the same rows after an intercept fitted on its calibration rows. scored: row_id, y, p, site.
 
     With n_boot also pr_auc, and for every metric its bounds over so many resamples, as auc_lo, auc_hi and so on. All
@@ -308,6 +339,7 @@ def transfer_study(scored: DataFrame, site: str, home: str, share: float = 0.3,
         blocks = F.array(F.struct(F.lit("naive_all_rows").alias("block"), F.col("p").alias("p")), F.when(held, F.struct(F.lit("naive").alias("block"), F.col("p").alias("p"))), F.when(held, F.struct(F.lit("recalibrated").alias("block"), moved.alias("p"))))
         rows = split.select("site", "y", F.explode(blocks).alias("b")).where("b IS NOT NULL").select("site", "b.block", "y", "b.p")
         out = metrics.evaluation_by(rows, ["site", "block"]).withColumn("intercept", _lookup(F.col("site"), fitted))
+        out = out.join(F.broadcast(fit_lines(rows, ["site", "block"])), ["site", "block"])
         if n_boot:
             bounds = metrics.bootstrap(rows, ["site", "block"], n_boot, seed)
             shown = {"roc_auc": "auc", "pr_auc": "pr_auc", "brier": "brier", "ece": "ece"}

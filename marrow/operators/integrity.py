@@ -19,6 +19,19 @@ def hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select(below.alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
+#: What a manifest names, below the root.
+ARTIFACTS = ("models/*/model.json", "models/*/metrics.json", "models/*/external.json", "cleaned/*.csv.gz")
+
+
+def artifacts(spark: SparkSession, root: Path, patterns: tuple[str, ...] = ARTIFACTS) -> DataFrame:
+    """path (below root), sha256 of the named artifacts that exist; other files below root aren't part of it."""
+    found = sorted({p for pattern in patterns for p in Path(root).glob(pattern) if p.is_file()})
+    if not found:
+        return spark.createDataFrame([], "path string, sha256 string")
+    files = spark.read.format("binaryFile").load([str(p.resolve()) for p in found])
+    return files.select(F.regexp_replace("path", "^.*?" + _quoted(str(Path(root).resolve()).rstrip("/")) + "/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 def _quoted(s: str) -> str:
     return "\\Q" + s + "\\E"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import math
 import subprocess
@@ -14,9 +15,12 @@ from marrow.operators.calibrate import Calibrator
 from marrow.operators.integrity import canonical, json_safe
 
 SCHEMA_VERSION = 1
+# The number of canaries, and how many blanks the last ones have.
 CANARIES, BLANKS = 8, {6: 3, 7: 4}
 #: Stored for other implementations; this one is held to SELF_CHECK.
 TOLERANCE, SELF_CHECK = 1e-9, 1e-12
+#: Of a bundle in gzip.
+MOST_BYTES = 300 * 1024
 NODE = ("f", "t", "l", "r", "m", "v")
 
 
@@ -83,9 +87,13 @@ def self_check(model: dict) -> float:
     return max(abs(predict(model, row)["p_cal"] - p) for row, p in zip(held["inputs"], held["p_cal"]))
 
 
-def save(model: dict, path: Path) -> None:
+def save(model: dict, path: Path, most_bytes: int = MOST_BYTES) -> None:
+    """A bundle that gzip can't bring below most_bytes is an error: it is meant to be sent to where rows are."""
+    data = canonical(model)
+    if (size := len(gzip.compress(data, mtime=0))) > most_bytes:
+        raise ValueError(f"the bundle has {size} bytes in gzip, more than {most_bytes}")
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_bytes(canonical(model))
+    path.write_bytes(data)
 
 
 def load(path: Path) -> dict:

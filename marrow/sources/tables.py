@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import shutil
+import urllib.parse
+import urllib.request
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import reduce
@@ -72,24 +75,59 @@ def sha256(path: Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def fetch(target: Path, files: dict[str, str | None], download: Callable[[Path], None], force: bool = False) -> dict[str, str]:
-    """Fills target by download unless all files are there, then checks them. files: name -> SHA-256 or None.
+class PinError(ValueError):
+    """A file doesn't have its pinned hash."""
 
-    Status by name: OK or UNPINNED; a missing file or a wrong hash is an error.
-    """
-    if force or not all((target / f).exists() for f in files):
-        target.mkdir(parents=True, exist_ok=True)
-        download(target)
+
+def _verified(folder: Path, files: dict[str, str | None]) -> dict[str, str]:
     status = {}
     for name, pin in files.items():
-        if not (target / name).exists():
+        if not (folder / name).exists():
             raise FileNotFoundError(f"{name} is missing after the download")
-        if pin and sha256(target / name) != pin:
-            raise ValueError(f"{name} doesn't have its pinned hash")
+        if pin and sha256(folder / name) != pin:
+            raise PinError(f"{name} doesn't have its pinned hash")
         status[name] = "OK" if pin else "UNPINNED"
     return status
 
 
+def fetch(target: Path, files: dict[str, str | None], download: Callable[[Path], None], force: bool = False) -> dict[str, str]:
+    """Makes target hold all files, checked. files: name -> SHA-256 or None.
+
+    A complete target is checked and never downloaded over, so a changed file is an error, not a new download. Else the download
+    fills a folder beside target, whose files are checked and renamed into place, those last named last; one that
+    is interrupted or fails its check leaves target as it was. Status by name: OK or UNPINNED.
+    """
+    if not force and all((target / f).exists() for f in files):
+        return _verified(target, files)
+    side = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+    side.mkdir(parents=True)
+    try:
+        download(side)
+        status = _verified(side, files)
+        target.mkdir(parents=True, exist_ok=True)
+        for name in files:
+            (side / name).replace(target / name)
+        return status
+    finally:
+        shutil.rmtree(side, ignore_errors=True)
+
+
+def copied_from(source: str, files: list[str]) -> Callable[[Path], None]:
+    """A download of files from below a URL or folder; a zip archive is unpacked for those it should hold."""
+
+    def download(target: Path) -> None:
+        base = source if "://" in source else Path(source).resolve().as_uri()
+        if base.endswith(".zip"):
+            with urllib.request.urlopen(base) as src, (target / "archive.zip").open("wb") as dst:
+                shutil.copyfileobj(src, dst)
+            return extract(target / "archive.zip", target, files)
+        for name in files:
+            with urllib.request.urlopen(f"{base.rstrip('/')}/{urllib.parse.quote(name)}") as src, (target / name).open("wb") as dst:
+                shutil.copyfileobj(src, dst)
+
+    return download
+
+
 def extract(archive: Path, target: Path, wanted: list[str]) -> None:
     """The archive's members with these base names, wherever they lie in it; a missing one is an error."""
     with zipfile.ZipFile(archive) as z:
