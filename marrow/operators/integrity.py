@@ -2,38 +2,62 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOLERANCE = 1e-12
 
 
-def hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path (below root), sha256 of every file that matches."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    below = F.regexp_replace("path", "^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    return files.select(below.alias("path"), F.sha2("content", 256).alias("sha256"))
-
-
 #: What a manifest names, below the root.
 ARTIFACTS = ("models/*/model.json", "models/*/metrics.json", "models/*/external.json", "cleaned/*.csv.gz")
 
 
+#: Bytes that a task reads at a time, and those of a chunk that has a hash of its own.
+READ_BYTES, CHUNK_BYTES = 1 << 20, 64 << 20
+
+
+def _found(spark: SparkSession, root: Path, patterns: tuple[str, ...]) -> DataFrame:
+    """path (below root), file, bytes, a task a file; root is a folder that all executors share."""
+    root = Path(root).resolve()
+    files = sorted({p for pattern in patterns for p in root.glob(pattern) if p.is_file()})
+    rows = [(p.relative_to(root).as_posix(), str(p), p.stat().st_size) for p in files]
+    return spark.createDataFrame(rows, "path string, file string, bytes long").repartition(max(1, len(rows)), "path")
+
+
+def _digest(file: str, start: int, length: int) -> str:
+    out = hashlib.sha256()
+    with open(file, "rb") as f:
+        f.seek(start)
+        while length > 0 and (part := f.read(min(READ_BYTES, length))):
+            out.update(part)
+            length -= len(part)
+    return out.hexdigest()
+
+
+@F.pandas_udf(StringType())
+def _digests(file: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
+    return pd.Series([_digest(*r) for r in zip(file, start, length)], dtype=object)
+
+
 def artifacts(spark: SparkSession, root: Path, patterns: tuple[str, ...] = ARTIFACTS) -> DataFrame:
-    """path (below root), sha256 of the named artifacts that exist; other files below root aren't part of it."""
-    found = sorted({p for pattern in patterns for p in Path(root).glob(pattern) if p.is_file()})
-    if not found:
-        return spark.createDataFrame([], "path string, sha256 string")
-    files = spark.read.format("binaryFile").load([str(p.resolve()) for p in found])
-    return files.select(F.regexp_replace("path", "^.*?" + _quoted(str(Path(root).resolve()).rstrip("/")) + "/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    """path (below root), sha256 of the named artifacts that exist; other files below root aren't part of it. Files are read piece by piece."""
+    return _found(spark, root, patterns).select("path", _digests("file", F.lit(0).cast("long"), "bytes").alias("sha256"))
 
 
-def _quoted(s: str) -> str:
-    return "\\Q" + s + "\\E"
+def chunk_roots(spark: SparkSession, root: Path, patterns: tuple[str, ...] = ARTIFACTS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """path, bytes, root: SHA-256 of the hex SHA-256s of a file's chunks in order, which tasks find side by side, whatever its size."""
+    starts = F.explode_outer(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(chunk_bytes).cast("long")))
+    chunks = _found(spark, root, patterns).select("path", "file", "bytes", starts.alias("start")).repartition("path", "start")
+    hashed = chunks.select("path", "bytes", "start", _digests("file", "start", F.least(F.lit(chunk_bytes).cast("long"), F.col("bytes") - F.col("start"))).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "h"))), lambda c: c["h"]), "")
+    return hashed.groupBy("path", "bytes").agg(F.sha2(joined, 256).alias("root"))
 
 
 def safe_path(root: Path, path: str) -> Path:

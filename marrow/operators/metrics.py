@@ -188,6 +188,24 @@ def _drawn(rng: np.random.Generator, total: int, counts: np.ndarray) -> np.ndarr
     return rng.multinomial(total, counts / counts.sum()) if total else np.zeros(len(counts), np.int64)
 
 
+def _dealt(before: np.ndarray, bucket: int, n_boot: int, seed: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that each replicate deals to bucket and to the buckets above it. before: rows before each bucket, and all rows.
+
+    A replicate's rows are split binomially between a range's halves, by the range's own seed, down to single buckets. So all tasks
+    agree on every range, and a task draws its bucket's path only.
+    """
+    own, above = np.full(n_boot, before[-1]), np.zeros(n_boot, np.int64)
+    low, high = 0, len(before) - 1
+    while high - low > 1:
+        mid, whole = (low + high) // 2, before[high] - before[low]
+        left = np.random.default_rng([*seed, low, high]).binomial(own, (before[mid] - before[low]) / whole if whole else 0.0)
+        if bucket < mid:
+            above, own, high = above + own - left, left, mid
+        else:
+            own, low = own - left, mid
+    return own, above
+
+
 def _edges(found: DataFrame, cells_each: int) -> np.ndarray:
     """Scores between which about cells_each cells lie, from the cells whose scores' hashes are smallest; none for few cells."""
     buckets = -(-found.count() // cells_each)
@@ -202,8 +220,8 @@ def bootstrap(scored: DataFrame, keys: list[str] = (), n_boot: int = 2000, seed:
     """keys, metric, point, lo, hi: the METRICS and the 2.5 and 97.5 percentiles over resamples of rows within each class.
 
     Drawing counts of cells is the same as drawing rows with replacement, so replicates cost cells, not rows. A
-    replicate first draws how many rows of each class fall to each bucket of scores, which every task repeats
-    from the seed, then a task draws its own bucket's cells; knowing what lies above them it adds its shares of all
+    replicate first draws how many rows of each class fall to each bucket of scores, by halves of halves, of which a task repeats
+    its own bucket's from the seed, then a task draws its own bucket's cells; knowing what lies above them it adds its shares of all
     metrics, which Spark sums. A task holds one bucket's cells, however many there are; the driver a few numbers a
     bucket. Key values are meant to be few. With one class the areas are NULL, without keys and rows all are.
     """
@@ -223,24 +241,24 @@ def bootstrap(scored: DataFrame, keys: list[str] = (), n_boot: int = 2000, seed:
         counts = np.zeros((len(groups), 2, buckets), np.int64)
         for r in sums:
             counts[number[tuple(r[k] for k in keys)], :, r["_bucket"]] = r["pos"], r["neg"]
-        held = spark.sparkContext.broadcast(counts)
+        held = spark.sparkContext.broadcast(np.concatenate([np.zeros((len(groups), 2, 1), np.int64), counts.cumsum(axis=2)], axis=2))
         blocks = max(1, -(-spark.sparkContext.defaultParallelism // (buckets * max(1, len(groups)))))
 
         def replicated(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
             group, bucket, block = map(int, key)
             cell = cell.sort_values("p")
             p, own = cell["p"].to_numpy(), [cell[c].to_numpy() for c in ("pos", "neg")]
-            of_buckets = held.value[group]
-            totals = tuple(of_buckets.sum(axis=1))
+            before = held.value[group]
+            totals = tuple(int(c[-1]) for c in before)
+            asked = [_dealt(c, bucket, n_boot, (seed, group, label)) for label, c in enumerate(before)]
             out = []
             for i in range(block - 1, n_boot, blocks):  # -1: the rows as they are
-                dealt, drawn = of_buckets, own
                 if i >= 0:
-                    rng = np.random.default_rng([seed, group, i])
-                    dealt = [_drawn(rng, n, c) for n, c in zip(totals, of_buckets)]
                     rng = np.random.default_rng([seed, group, i, 1 + bucket])
-                    drawn = [_drawn(rng, d[bucket], c) for d, c in zip(dealt, own)]
-                out.append([group, i, *_shares(p, *drawn, tuple(d[bucket + 1 :].sum() for d in dealt), totals)])
+                    drawn, above = [_drawn(rng, int(d[i]), c) for (d, _), c in zip(asked, own)], tuple(int(a[i]) for _, a in asked)
+                else:
+                    drawn, above = own, tuple(int(c[-1] - c[bucket + 1]) for c in before)
+                out.append([group, i, *_shares(p, *drawn, above, totals)])
             return pd.DataFrame(out, columns=["_group", "_i", *_SUMS])
 
         wanted = spark.createDataFrame([(i, *g) for i, g in enumerate(groups)], "_group int" + "".join(f", `_k{j}` {found.schema[k].dataType.simpleString()}" for j, k in enumerate(keys)))

@@ -96,6 +96,19 @@ def test_manifests_name_artifacts_only(spark, tmp_path):
     assert integrity.artifacts(spark, tmp_path / "none").count() == 0
 
 
+def test_large_files_are_read_piece_by_piece(spark, tmp_path):
+    """A file beyond what a binary column holds, and hashes of chunks."""
+    with (tmp_path / "large.bin").open("wb") as f:
+        f.truncate((1 << 31) + 10)
+    assert integrity.artifacts(spark, tmp_path, ("*.bin",)).first().sha256 == hashlib.file_digest((tmp_path / "large.bin").open("rb"), "sha256").hexdigest()
+    data = bytes(range(256)) * 10
+    (tmp_path / "a.txt").write_bytes(data)
+    (tmp_path / "empty.txt").write_bytes(b"")
+    found = {r.path: r.root for r in integrity.chunk_roots(spark, tmp_path, ("*.txt",), 1000).collect()}
+    root = lambda parts: hashlib.sha256("".join(hashlib.sha256(p).hexdigest() for p in parts).encode()).hexdigest()
+    assert found == {"a.txt": root([data[:1000], data[1000:2000], data[2000:]]), "empty.txt": root([b""])}
+
+
 def test_large_bundles_are_refused(tmp_path):
     with pytest.raises(ValueError, match="bytes in gzip"):
         bundle.save({"x": [float(v) for v in np.random.default_rng(0).random(50_000)]}, tmp_path / "m.json")
