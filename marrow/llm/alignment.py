@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from marrow.llm.shared import join_hot, text_or_empty, work_dir, written
 
 #: Bytes of text in a block of texts; longer texts are blocks of their own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: Transitions that a Python worker keeps; a full memo starts again.
 CACHE_STEPS = 1_000_000
 #: So few texts go on one by one.
