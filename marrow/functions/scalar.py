@@ -20,10 +20,6 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
-def is_missing(x: Column) -> Column:
-    return x.isNull() | F.isnan(x)
-
-
 def logit(p: Column, eps: float = LOGIT_EPS) -> Column:
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))
     return F.log(q / (F.lit(1.0) - q))

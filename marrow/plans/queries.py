@@ -413,6 +413,19 @@ def logit_shift(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.scored_orders(spark, d).select("row_id", scalar.logit(F.col("p")).alias("z"), calibrate.shift(F.col("p"), -0.75).alias("shifted")))
 
 
+@query(f"WITH {SO} SELECT row_id, round(ln(p / (1 - p)), 6) AS margin FROM so WHERE p > 0")
+def base_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Log-odds of base scores; one outside (0, 1) would be an error."""
+    return rounded(views.scored_orders(spark, d).where("p > 0").select("row_id", scalar.base_margin(F.col("p")).alias("margin")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 13 THEN NULL ELSE p_retailprice END AS v FROM part")
+def bracketed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Prices as text: in brackets, plain, or a word."""
+    text = F.when(F.col("p_size") == 13, "n/a").when(F.col("p_size") % 2 == 0, F.concat(F.lit("["), F.col("p_retailprice").cast("string"), F.lit("]"))).otherwise(F.col("p_retailprice").cast("string"))
+    return read(spark, d, "part").select("p_partkey", scalar.bracketed_number(text).alias("v"))
+
+
 def _newton_sql(steps: int) -> str:
     parts = [f"WITH {SO}, z AS (SELECT y, {LOGIT} AS z FROM so), c0 AS (SELECT 0e0 AS c)"]
     for i in range(steps):

@@ -31,11 +31,6 @@ def tagged(spark: SparkSession, paths: dict[str, str], schema: str, tag: str = "
     return reduce(DataFrame.unionByName, [csv(spark, p, schema, **options).withColumn(tag, F.lit(t)) for t, p in paths.items()])
 
 
-def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A number of its own for each row; the numbers have gaps and depend on the partitions."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def with_line_numbers(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """Rows of a scan of files numbered from 0 in file order, however the files are split.
 

@@ -1,4 +1,7 @@
-"""Known answers on small inline tables, and mutations that a guard must notice."""
+"""Known answers on small inline tables, and mutations that a guard must notice.
+
+The inline rows and their answers are fixed values.
+"""
 
 import gzip
 import math
@@ -214,3 +217,17 @@ def test_sources_and_manifest(spark, tmp_path):
         with pytest.raises(ValueError):
             integrity.safe_path(tmp_path, bad)
     assert integrity.canonical({"b": float("nan"), "a": [1.5, float("inf")]}) == b'{"a":[1.5,null],"b":null}'
+
+
+def test_json_document(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"n": 3,\n "q": {"alpha": 0.1}, "xs": [1.5, null]}')
+    r = tables.json_document(spark, str(tmp_path / "d.json"), "n long, q struct<alpha: double>, xs array<double>, absent string").first()
+    assert (r.n, r.q.alpha, r.xs, r.absent) == (3, 0.1, [1.5, None], None)
+
+
+def test_base_margin_and_bracketed_number_refuse_bad_input(spark):
+    for value in (0.0, 1.0, -0.5):
+        with pytest.raises(Exception, match="base score outside"):
+            spark.createDataFrame([(value,)], "p double").select(scalar.base_margin(F.col("p"))).collect()
+    with pytest.raises(Exception, match="more than one number"):
+        spark.createDataFrame([("[1,2]",)], "s string").select(scalar.bracketed_number(F.col("s"))).collect()
