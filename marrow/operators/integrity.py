@@ -51,6 +51,11 @@ def artifacts(spark: SparkSession, root: Path, patterns: tuple[str, ...] = ARTIF
     return _found(spark, root, patterns).select("path", _digests("file", F.lit(0).cast("long"), "bytes").alias("sha256"))
 
 
+def hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path (below root), sha256 of every file at any depth whose name matches."""
+    return artifacts(spark, Path(root), (f"**/{pattern}",))
+
+
 def chunk_roots(spark: SparkSession, root: Path, patterns: tuple[str, ...] = ARTIFACTS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """path, bytes, root: SHA-256 of the hex SHA-256s of a file's chunks in order, which tasks find side by side, whatever its size."""
     starts = F.explode_outer(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(chunk_bytes).cast("long")))
