@@ -484,7 +484,18 @@ def isotonic_knot_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(calibrate.interpolated(asked, table).select("row_id", "p_cal"))
 
 
-@query()
+def _cross_fit_sql(steps: int) -> str:
+    """Newton's steps of y on p for every held-out fold, unrolled."""
+    folds = f"f AS (SELECT row_id, y, p, ((row_number() OVER (ORDER BY y, {CH}, row_id) - 1) % 5)::INTEGER AS fold FROM sd)"
+    parts = [f"WITH {SD}, {folds}, z AS (SELECT k.fold AS k, f.y, f.p AS z FROM f, (SELECT DISTINCT fold FROM f) k WHERE f.fold <> k.fold), c0 AS (SELECT DISTINCT fold AS k, 0e0 AS a, 0e0 AS b FROM f)"]
+    for i in range(steps):
+        q = "(1 / (1 + exp(-(a + b * z))))"
+        parts.append(f"s{i} AS (SELECT k, any_value(a) AS a, any_value(b) AS b, sum(y - {q}) AS g0, sum((y - {q}) * z) AS g1, sum({q} * (1 - {q})) AS h0, sum({q} * (1 - {q}) * z) AS h1, sum({q} * (1 - {q}) * z * z) AS h2 FROM z JOIN c{i} USING (k) GROUP BY k)")
+        parts.append(f"c{i + 1} AS (SELECT k, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM s{i})")
+    return ", ".join(parts) + f" SELECT row_id, fold, round(1 / (1 + exp(-(a + b * p))), 6) AS p_cal FROM f JOIN c{steps} ON c{steps}.k = f.fold"
+
+
+@query(_cross_fit_sql(10))
 def sigmoid_cross_fit(spark: SparkSession, d: str) -> DataFrame:
     oof = resample.stratified_folds(views.scored_docs(spark, d), 5)
     return rounded(calibrate.cross_fit(oof, "sigmoid").select("row_id", "fold", "p_cal"))
