@@ -1,7 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents arrive in batches, those with the largest ids first. A batch is reduced to one row for each
-distinct long line: its 128-bit hash, the number of documents that hold it and the largest such id. The
+Texts are read twice. The first pass writes a row for each long line: the document, the line's position, its
+128-bit hash, and whether it is the hash's first line in this document. The second pass puts together what
+stays.
+
+Documents arrive in batches of about equal size, cut at quantiles of the ids, those with the largest ids first. A
+batch is reduced to one row for each distinct hash: the number of documents that hold it and the largest such id. The
 batch is merge-joined with the runs so far: hashes that no run holds get the batch's largest id as their
 keeper, the others only add to the count. The result is written as a new run of level 0. When a level holds
 ``fanout`` runs they are merged into one of the next level, so a batch meets only a few runs. After the last
@@ -9,11 +13,13 @@ batch the runs say which lines repeat and which document keeps them.
 
 A run is a table bucketed by hash and sorted within its buckets. All runs have the same buckets, so neither
 joining a batch with the runs nor merging runs shuffles what was written before: only the new batch moves.
-Tables are dropped as soon as they are merged or read for the last time.
+Tables are dropped as soon as they are merged or read for the last time, or when a job fails.
 
 Counting combines on the map side, so a line in a third of all documents reaches the shuffle once a
-task. Texts are shuffled at most once, by id, to meet the hashes of the lines that they lose; where those are few
-Spark broadcasts them and texts don't move.
+task. Lines that make up more than 1 / HOT_SHARE of all rows are at most HOT_SHARE, and are broadcast to the rows when
+these learn what they lose; the others are joined by hash. Texts are shuffled at most once, by id, to meet the positions
+of the lines that they lose; where those are few Spark broadcasts them and texts don't move. Work in a document grows
+with its lines times their logarithm, however many it loses.
 
 Defined cases: a null or empty text is one empty line; a line that occurs twice in a document counts
 once; every row is a document of its own, and rows that share the largest id all keep the line; rows
@@ -25,6 +31,7 @@ their names.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +42,14 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: At least so many batches, and more where a batch would have more than BATCH_DOCS documents.
 BATCHES = 4
-BATCH_DOCS = 50_000_000
+BATCH_DOCS = 500_000_000
 #: Two, so that runs are merged without a shuffle.
 FANOUT = 2
 #: At least so many buckets, and one for every BUCKET_DOCS documents.
 BUCKETS = 8
 BUCKET_DOCS = 100_000
+#: A hash in more than one of so many rows of the lines is broadcast.
+HOT_SHARE = 1_000
 BLANKS = " \t\n\x0b\x0c\r"
 RUN_SCHEMA = "hash binary, docs long, keeper long"
 
@@ -54,10 +63,15 @@ def key_hash(key: Column) -> Column:
     return F.substring(F.unhex(F.sha2(key, 256)), 1, 16)
 
 
-def long_line_hashes(text: Column, min_chars: int) -> Column:
-    """An array of the distinct hashes of a text's lines that are long enough."""
-    keys = F.transform(F.split(text, "\n"), line_key)
-    return F.transform(F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_chars)), key_hash)
+def long_lines(docs: DataFrame, text: Column, carried: list[Column], min_chars: int) -> DataFrame:
+    """carried, at, hash, first: a row for each line that is long enough; first marks one line of each hash in a document."""
+    keys = F.transform(F.split(text, "\n"), lambda line, at: F.struct(line_key(line).alias("key"), at.alias("at")))
+    hashed = F.transform(F.filter(keys, lambda x: F.char_length(x["key"]) >= min_chars), lambda x: F.struct(key_hash(x["key"]).alias("hash"), x["at"].alias("at")))
+    found = docs.select(*carried, F.array_sort(hashed).alias("_sorted"))
+    # A column of its own, so that looking at the line before costs no second sort.
+    before = lambda i: F.get("_sorted", i - 1)["hash"]
+    marked = F.transform("_sorted", lambda x, i: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), ~x["hash"].eqNullSafe(before(i)).alias("first")))
+    return found.select(*[c for c in found.columns if c != "_sorted"], F.inline(marked).alias("at", "hash", "first"))
 
 
 class LineRuns:
@@ -116,9 +130,13 @@ class LineRuns:
             self._dropped(old)
             level += 1
 
+    def counted(self, min_docs: int) -> DataFrame:
+        """hash, docs, keeper of the lines that at least min_docs documents hold."""
+        return self._merged(self._names()).where(F.col("docs") >= min_docs)
+
     def repeated(self, min_docs: int) -> DataFrame:
-        """hash, keeper of the lines that at least min_docs documents hold."""
-        return self._merged(self._names()).where(F.col("docs") >= min_docs).select("hash", "keeper")
+        """hash, keeper of the same lines."""
+        return self.counted(min_docs).select("hash", "keeper")
 
     def close(self) -> None:
         for level in self.levels:
@@ -132,43 +150,44 @@ def dedup_lines(
     """docs with three more columns, called names: lines before dropping, lines dropped, the text without its dropped lines."""
     spark = docs.sparkSession
     folder = work_dir(spark, "lines")
-    ids = F.col(id_col).cast("long")
-    low, high, count = docs.agg(F.min(ids), F.max(ids), F.count(F.lit(1))).first()
+    ids, text = F.col(id_col).cast("long"), text_or_empty(text_col)
+    print_ = F.xxhash64(text)  # tells rows that share an id apart
+    count = docs.count()
     batches = batches or max(BATCHES, -(-count // BATCH_DOCS))
+    cuts = docs.agg(F.percentile_approx(ids, [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+    edges = sorted(set(cuts or []))
+    batch = reduce(lambda n, e: n + F.when(ids > e, 1).otherwise(0), edges, F.lit(0))
+
+    path = f"{folder}/lines"
+    found = long_lines(docs, text, [batch.alias("batch"), ids.alias("doc_id"), print_.alias("print")], min_chars)
+    found.write.partitionBy("batch").parquet(path)
+    rows = spark.read.schema(found.schema).parquet(path)
+
     runs = LineRuns(spark, folder, max(BUCKETS, -(-count // BUCKET_DOCS)))
-    edges = [] if low is None else sorted({low + (high - low + 1) * i // batches for i in range(1, batches)} - {low})
-    text = text_or_empty(text_col)
-
-    def hashed(part: DataFrame) -> DataFrame:
-        return part.select(ids.alias("doc_id"), F.explode(long_line_hashes(text, min_chars)).alias("hash"))
-
-    ends = [None, *edges, None]
-    for start, end in reversed(list(zip(ends, ends[1:]))):
-        part = docs
-        if start is not None:
-            part = part.where(F.col(id_col) >= start)
-        if end is not None:
-            part = part.where((F.col(id_col) < end) | F.col(id_col).isNull() if start is None else F.col(id_col) < end)
-        runs.add(hashed(part))
-
-    # Written, so that the join below shuffles both sides plainly and a line of many documents can be split.
-    repeated = written(runs.repeated(min_docs), f"{folder}/repeated")
-    runs.close()
-    losers = hashed(docs).join(repeated, "hash").where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drop, drop_id, lines_name = unused(docs, "_drop"), unused(docs, "_drop_id"), unused(docs, "_lines")
-    dropped = losers.groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_set("hash").alias(drop))  # at most a document's own lines
-    joined = docs.join(dropped, ids.eqNullSafe(F.col(drop_id)), "left")
-    lines = F.split(text, "\n")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col(drop), key_hash(key))
-
-    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, stays))
+    try:
+        for number in reversed(range(len(edges) + 1)):
+            runs.add(rows.where((F.col("batch") == number) & F.col("first")).select("doc_id", "hash"))
+        repeated = written(runs.counted(min_docs), f"{folder}/repeated")
+    finally:
+        runs.close()
+
+    often = F.col("docs") * HOT_SHARE > rows.count()  # at most HOT_SHARE hashes
+    hot = F.broadcast(repeated.where(often).select("hash", "keeper"))
+    cold = repeated.where(~often).select("hash", "keeper")
+    line = rows.select("doc_id", "print", "at", "hash")
+    met = line.join(hot, "hash").unionByName(line.join(hot.select("hash"), "hash", "left_anti").join(cold, "hash"))
+    losers = met.where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+
+    drop, drop_id, drop_print, lines = (unused(docs, name) for name in ("_drop", "_drop_id", "_drop_print", "_lines"))
+    dropped = losers.groupBy(F.col("doc_id").alias(drop_id), F.col("print").alias(drop_print)).agg(F.collect_set("at").alias(drop))  # at most a document's own lines
+    joined = docs.join(dropped, ids.eqNullSafe(F.col(drop_id)) & (print_ == F.col(drop_print)), "left")
+    split = joined.select(*[docs[c] for c in docs.columns], drop, F.split(text, "\n").alias(lines))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    kept = F.array_join(F.transform(stay, lambda at: F.get(F.col(lines), at)), "\n")
     n_lines, n_dropped, kept_name = names
-    return joined.withColumn(lines_name, kept).select(
-        *[docs[c] for c in docs.columns],
+    return split.select(
+        *docs.columns,
         F.size(lines).cast("long").alias(n_lines),
-        (F.size(lines) - F.size(lines_name)).cast("long").alias(n_dropped),
-        F.array_join(lines_name, "\n").alias(kept_name),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(n_dropped),
+        F.when(F.col(drop).isNull(), text).otherwise(kept).alias(kept_name),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -160,3 +161,21 @@ def test_group_of_most_rows_gathers(spark):
 
     (before, _), (after, whole) = kept(0), kept(None)
     assert after > 1.1 * before and whole >= 0.9
+
+
+def test_line_dedup_of_documents_with_very_many_repeated_lines_is_linear(spark):
+    body = "\n".join(f"a line that is long enough to be looked at, number {i}" for i in range(100_000))
+    df = spark.createDataFrame([(i, body) for i in range(6)], "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: (r._n_lines, r._n_dropped, r._kept) for r in lines.dedup_lines(df).collect()}
+    assert time.monotonic() - start < 120  # a lookup of every line in every lost line takes half an hour
+    assert got == {**{i: (100_000, 100_000, "") for i in range(5)}, 5: (100_000, 0, body)}
+
+
+def test_line_dedup_batches_follow_rows_not_the_range_of_ids(spark, monkeypatch):
+    sizes, add = [], lines.LineRuns.add
+    monkeypatch.setattr(lines.LineRuns, "add", lambda self, rows: (sizes.append(rows.count()), add(self, rows)))
+    docs = [(i, f"a line of document {i} that nothing else holds at all\n" + "x" * 50) for i in range(400)] + [(2**62, "x" * 50), (None, "y\n" + "X" * 50), (None, "x" * 50 + " ")]
+    out = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), batches=4)
+    assert Counter((r.doc_id, r._n_lines, r._n_dropped, r._kept) for r in out.collect()) == brute_lines(docs, 5)
+    assert len(sizes) == 4 and max(sizes) < 1.5 * min(sizes)
