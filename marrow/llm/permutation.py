@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrow.llm.shared import work_dir, written
-from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, asked, best_of_blocks, blocks, pieces, top_of_row, usable
+from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, Found, asked, best_of_blocks, blocks, pieces, top_of_row, usable
 
 PIVOTS = 256
 LISTED = 32
@@ -58,7 +58,7 @@ class Posts:
         return np.bincount(np.concatenate(at), weights=np.concatenate(gain), minlength=rows)
 
 
-def search_block(queries: Block, candidates: Block, pivots: int, listed: int, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(queries: Block, candidates: Block, pivots: int, listed: int, k: int, share: float) -> Found:
     rows = len(candidates.ids)
     posts, lists = Posts(candidates.extra, pivots), np.frombuffer(queries.extra, "<i4").reshape(-1, listed)
     taken, found = max(4 * k, int(np.ceil(share * rows))), []
@@ -79,8 +79,7 @@ def nearest(vectors: DataFrame, every: int, k: int, pivots: int = PIVOTS, listed
     folder = work_dir(spark, "permutation")
     rows = written(usable(vectors, nonzero=True), f"{folder}/vectors")
     wanted = written(asked(rows, every), f"{folder}/asked")
-    count, queries = rows.count(), wanted.count()
-    if not queries:
+    if wanted.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # at most ``pivots`` rows
     chosen: dict[int, np.ndarray] = {}
@@ -98,6 +97,12 @@ def nearest(vectors: DataFrame, every: int, k: int, pivots: int = PIVOTS, listed
         found, width = lists(matrix)
         return matrix, inverted_file(found, width)
 
-    held = written(blocks(rows, count, block, indexed), f"{folder}/blocks")
-    met = written(blocks(wanted, queries, query_block, lambda m: (m, lists(m)[0].tobytes())), f"{folder}/queries")
-    return best_of_blocks(held, met, lambda q, c: search_block(q, c, max(pivots, listed), listed, k, share if q.matrix.shape[1] in told_apart else 1.0), k, "double", (pieces(count, block), pieces(queries, query_block)))
+    counts = pieces(rows, block), pieces(wanted, query_block)
+    held = written(blocks(rows, counts[0], indexed), f"{folder}/blocks")
+    met = written(blocks(wanted, counts[1], lambda m: (m, lists(m)[0].tobytes())), f"{folder}/queries")
+
+    def search(queries: Block, candidates: Block, known: np.ndarray) -> Found:
+        part = share if queries.matrix.shape[1] in told_apart else 1.0
+        return search_block(queries, candidates, max(pivots, listed), listed, k, part)
+
+    return best_of_blocks(held, met, search, k, "double", counts)

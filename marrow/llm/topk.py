@@ -4,7 +4,7 @@ A vector is cut into 1, 4, 16 and 32 segments. With a segment's mean m and devia
 squared differences from the mean), Cauchy-Schwarz bounds a segment's part of an inner product by
 length * m * m' + s * s'. Summed over the segments this is an upper bound on the inner product, so a lower
 bound on the distance that it stands for, and it grows tighter from level to level. A block's candidates
-pass the levels from coarse to fine; those whose bound stays below the k-th best exact score known so far
+pass the levels from coarse to fine; those whose bound stays below the k-th best exact score known so far, of this block or of those before it in the task,
 are dropped, and the survivors' scores are computed exactly. Ties at the k-th score always survive.
 
 Components are floor(scale * x); sums are exact: in doubles while they stay below 2^53, else in Python's
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from marrow.llm.shared import work_dir, written
-from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, asked, best_of_blocks, blocks, pieces, top_of_row, usable
+from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, Found, asked, best_of_blocks, blocks, pieces, top_of_row, usable
 
 LEVELS = (1, 4, 16, 32)
 #: Queries whose bounds are held at once.
@@ -57,17 +57,17 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x @ q).astype(np.int64)
 
 
-def search_block(queries: Block, candidates: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best candidates with another id."""
+def search_block(queries: Block, candidates: Block, k: int, known: np.ndarray) -> Found:
+    """Each query's k best candidates with another id; those below the score known of a query may be left out."""
     q_levels, c_levels = _features(queries), _features(candidates)
     norm = np.sqrt((candidates.matrix**2).sum(axis=1)).max(initial=0)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[Found] = []
     for at in range(0, len(queries.ids), CHUNK):
         part = slice(at, at + CHUNK)
         ids, matrix = queries.ids[part], queries.matrix[part]
         slack = 1e-9 * (1 + np.sqrt((matrix**2).sum(axis=1)) * norm)
         alive = ids[:, None] != candidates.ids[None, :]
-        least = np.full(len(ids), -np.inf)
+        least = known[part].copy()
         for q_features, c_features in zip(q_levels, c_levels):
             columns = np.flatnonzero(alive.any(axis=0))
             bound = np.full(alive.shape, -np.inf)
@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, every: int, k: int, scale: float = 256.0, block: i
     rows = written(usable(vectors), f"{folder}/vectors")
     wanted = written(asked(rows, every), f"{folder}/asked")
     index = lambda m: statistics(m, scale)
-    count, queries = rows.count(), wanted.count()
-    held = written(blocks(rows, count, block, index), f"{folder}/blocks")
-    met = written(blocks(wanted, queries, query_block, index), f"{folder}/queries")
-    return best_of_blocks(held, met, lambda q, c: search_block(q, c, k), k, "long", (pieces(count, block), pieces(queries, query_block)))
+    counts = pieces(rows, block), pieces(wanted, query_block)
+    held = written(blocks(rows, counts[0], index), f"{folder}/blocks")
+    met = written(blocks(wanted, counts[1], index), f"{folder}/queries")
+    return best_of_blocks(held, met, lambda q, c, known: search_block(q, c, k, known), k, "long", counts)

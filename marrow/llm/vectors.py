@@ -1,11 +1,14 @@
 """Blocks of vectors, and the joining of query blocks with candidate blocks.
 
-A table of vectors becomes rows that each hold a block: up to ``block`` ids and a matrix, as bytes. Every
-query block meets every candidate block of the same dimension in one task, which keeps the k best of the
-block for each query; a window then keeps the k best of all blocks. So a task's memory is two blocks,
-and the shuffle carries packed blocks instead of pairs of vectors: each candidate block once for every
-``QUERY_BLOCK`` queries, each query once for every candidate block. Pairs of blocks have keys of their own, so
-tables of one dimension spread over as many tasks as there are pairs.
+A table of vectors becomes rows that each hold a block: up to ``block`` ids and a matrix, as bytes, of about
+BLOCK_BYTES at most. Blocks of candidates and of queries are dealt to groups, and every pair of groups is one
+piece of work with a key of its own. There are about PARTS pieces however many blocks there are. A task holds the
+query blocks of its group, at most QUERY_GROUP, and lets the candidate blocks stream past them; for each query it keeps
+the k best so far, and the search may drop what cannot reach the k-th of them. A window then keeps the k best of all groups.
+
+So the shuffle carries packed blocks instead of pairs of vectors. A candidate block is sent once for every
+group of query blocks, a query block once for every group of candidates; the groups' numbers are chosen so that both
+sides send about as much, and the query groups' number grows beyond that only to bound a task's memory.
 
 Defined cases, for both searches: vectors that are null, empty or hold null or non-finite components take
 no part, neither do rows with a null vec_id; rows alike in vec_id and vector count once; different
@@ -26,6 +29,12 @@ from pyspark.sql import functions as F
 
 BLOCK = 8_192
 QUERY_BLOCK = 8_192
+#: Of a block's matrix, whatever the dimension; 8,192 vectors of 64 doubles.
+BLOCK_BYTES = 1 << 22
+#: Pairs of groups, at most about so many.
+PARTS = 4_096
+#: Query blocks that a task holds.
+QUERY_GROUP = 16
 BLOCK_FIELDS = "dim int, block long, ids binary, matrix binary, extra binary"
 
 
@@ -38,8 +47,9 @@ class Block:
     extra: bytes
 
 
-#: (queries, candidates) -> query ids, candidate ids, scores of each query's best in this block.
-BlockSearch = Callable[[Block, Block], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: (queries, candidates, least) -> query ids, candidate ids, scores of each query's best in this block. Scores below a query's least don't count.
+BlockSearch = Callable[[Block, Block, np.ndarray], Found]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nonzero: bool = False) -> DataFrame:
@@ -58,17 +68,28 @@ def asked(rows: DataFrame, every: int) -> DataFrame:
     return rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def pieces(rows: int, block: int) -> int:
-    return max(1, -(-rows // block))
+def pieces(vectors: DataFrame, block: int) -> int:
+    """The number of blocks that hold ``block`` vectors or BLOCK_BYTES at most, on average."""
+    rows, components = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
+    return max(1, -(-rows // block), -(-8 * components // BLOCK_BYTES))
+
+
+def groups(held: int, q_held: int, parts: int = PARTS) -> tuple[int, int]:
+    """How many groups candidate blocks and query blocks are dealt to."""
+    if held * q_held <= parts:
+        return held, q_held
+    balanced = round((parts * q_held / held) ** 0.5)
+    q_groups = min(q_held, max(1, balanced, -(-q_held // QUERY_GROUP)))
+    return max(1, min(held, parts // q_groups)), q_groups
 
 
-def blocks(vectors: DataFrame, rows: int, block: int, index: Callable[[np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
-    """vectors packed into blocks. rows: how many there are; a block holds about ``block`` of them, sorted by id.
+def blocks(vectors: DataFrame, number_of_blocks: int, index: Callable[[np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
+    """vectors packed into so many blocks for each dimension, sorted by id.
 
     index: makes of a block's matrix the matrix to keep and the block's extra bytes.
     """
     # Dealt by id and vector, so that rows that share an id spread as well.
-    number = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(pieces(rows, block)))
+    number = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(number_of_blocks))
     keyed = vectors.select(F.size("vector").alias("dim"), number.alias("block"), "vec_id", "vector")
 
     def packed(table: pa.Table) -> pa.Table:
@@ -87,27 +108,61 @@ def blocks(vectors: DataFrame, rows: int, block: int, index: Callable[[np.ndarra
     return keyed.groupBy("dim", "block").applyInArrow(packed, BLOCK_FIELDS)
 
 
+def merged(found: list[Found], k: int) -> Found:
+    """Each query's k best, by score and then by smaller id; ordered by query."""
+    query, ids, scores = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[rank < k], ids[rank < k], scores[rank < k]
+
+
+def kth_best(best: Found, queries: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query, minus infinity where fewer are known. queries ascend."""
+    starts, ends = np.searchsorted(best[0], queries), np.searchsorted(best[0], queries, "right")
+    least = np.full(len(queries), -np.inf)
+    full = ends - starts >= k
+    least[full] = best[2][starts[full] + k - 1]
+    return least
+
+
 def best_of_blocks(candidates: DataFrame, queries: DataFrame, search: BlockSearch, k: int, score_type: str, counts: tuple[int, int]) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best, by score and then by smaller id. counts: numbers that blocks of candidates and of queries have."""
-    held, q_held = counts
-    keys = ["dim", "block", "q_block"]
+    c_groups, q_groups = groups(*counts)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    c = candidates.withColumn("q_block", every(q_held)).repartition(held * q_held, *keys)
-    q = queries.select("dim", every(held).alias("block"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("extra").alias("q_extra")).repartition(held * q_held, *keys)
-    met = c.join(q.hint("shuffle_merge"), keys)
-    kind = pa.int64() if score_type == "long" else pa.float64()
+    own = lambda n: F.pmod("block", F.lit(n).cast("long"))
+    held = ["dim", "ids", "matrix", "extra"]
+    q = queries.select(*held, every(c_groups).alias("c_group"), own(q_groups).alias("q_group"), F.lit(0).alias("side"))
+    c = candidates.select(*held, own(c_groups).alias("c_group"), every(q_groups).alias("q_group"), F.lit(1).alias("side"))
+    keys = ["dim", "c_group", "q_group"]
+    met = q.unionByName(c).repartition(c_groups * q_groups, *keys).sortWithinPartitions(*keys, "side")  # queries first
+    kind, number = (pa.int64(), np.int64) if score_type == "long" else (pa.float64(), np.float64)
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, number))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                dim = batch.column("dim")[row].as_py()
+        at, asked_blocks, best = None, [], []
 
-                def part(prefix: str) -> Block:
-                    ids, matrix, extra = (batch.column(prefix + c)[row].as_py() for c in ("ids", "matrix", "extra"))
-                    return Block(np.frombuffer(ids, "<i8"), np.frombuffer(matrix, "<f8").reshape(-1, dim), extra)
+        def rows() -> Iterator[pa.RecordBatch]:
+            for query, ids, scores in best:
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, kind)], names=["query_id", "vec_id", "score"])
 
-                found = search(part("q_"), part(""))
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], kind)], names=["query_id", "vec_id", "score"])
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, side, *key = (batch.column(c)[row].as_py() for c in ("dim", "side", "c_group", "q_group"))
+                if (dim, *key) != at:
+                    yield from rows()
+                    at, asked_blocks, best = (dim, *key), [], []
+                if side and not asked_blocks:
+                    continue  # no query has this dimension
+                ids, matrix, extra = (batch.column(c)[row].as_py() for c in ("ids", "matrix", "extra"))
+                block = Block(np.frombuffer(ids, "<i8"), np.frombuffer(matrix, "<f8").reshape(-1, dim), extra)
+                if not side:
+                    asked_blocks.append(block)
+                    best.append(nothing)
+                    continue
+                for i, wanted in enumerate(asked_blocks):
+                    best[i] = merged([best[i], search(wanted, block, kth_best(best[i], wanted.ids, k))], k)
+        yield from rows()
 
     found = met.mapInArrow(searched, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from marrow.llm import permutation, simhash, topk
+from marrow.llm import vectors as vectors_module
 from marrow.llm.queries import op3_topk, op5_simhash, op10_permutation
 
 SF = "/root/testdata/sf0.001"
@@ -173,3 +174,29 @@ def test_different_vectors_under_one_id_are_candidates(spark):
         found = rows_of(topk.top_k(df, 10, 9, scale=4.0, block=block))
         assert found == [(0, 1, 3, 32), (0, 2, 3, 8), (0, 3, 10, 4), (0, 4, 10, 4), (10, 1, 3, 8), (10, 2, 0, 4), (10, 3, 3, 2)]
         assert [r[2:] for r in rows_of(permutation.nearest(df, 10, 9, block=block)) if r[0] == 0] == [(3, 2.0), (3, 0.5), (10, 0.25), (10, 0.25)]
+
+
+def test_block_pairs_are_grouped_into_a_fixed_number_of_pieces():
+    for held, q_held in ((1, 1), (3, 2), (12_208, 611), (122_071, 6_104), (50_000, 1), (40, 5_000)):
+        c_groups, q_groups = vectors_module.groups(held, q_held)
+        assert 1 <= c_groups <= held and 1 <= q_groups <= q_held
+        assert c_groups * q_groups <= max(vectors_module.PARTS, -(-q_held // vectors_module.QUERY_GROUP))
+        assert -(-q_held // q_groups) <= vectors_module.QUERY_GROUP
+
+
+def test_searches_over_grouped_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors_module, "groups", lambda held, q_held: (min(3, held), min(2, q_held)))
+    rng = np.random.default_rng(11)
+    rows = {i: rng.integers(-2, 3, 6).astype(float).tolist() for i in range(300)} | {1000 + i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(90)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    assert rows_of(topk.top_k(df, 10, 5, block=20, query_block=4)) == sorted(brute(rows, 10, 5, whole))
+    found = rows_of(permutation.nearest(df.where("vec_id < 300"), 10, 5, pivots=8, listed=4, share=1.0, block=20, query_block=4))
+    assert found == sorted(brute({i: x for i, x in rows.items() if i < 300}, 10, 5, lambda a, b: float(np.dot(a, b))))
+
+
+def test_blocks_of_wide_vectors_are_bounded_in_bytes(spark):
+    df = spark.range(600).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(4_096)), lambda i: (i * 7 + F.col("id")).cast("double") % 5).alias("vector"))
+    number = vectors_module.pieces(df, 8_192)
+    held = vectors_module.blocks(df, number, lambda m: (m, b"")).selectExpr("length(matrix) AS n").collect()
+    assert number == 5 and sum(r.n for r in held) == 600 * 4_096 * 8
+    assert max(r.n for r in held) < 2 * vectors_module.BLOCK_BYTES
