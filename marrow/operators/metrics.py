@@ -2,7 +2,8 @@
 
 ``cells`` collapses rows to (p, pos, neg), which combines on the map side; every metric below is a sum
 over cells. Where cells must be met in order of p, running sums are taken in two steps: within buckets of
-p and over the few buckets. So no window holds more than one bucket's cells, or one row a bucket.
+p and over the buckets. So no window holds more than one bucket's cells, or one row a bucket. Buckets are as narrow
+as scores are near 0 or 1: each octave of p, and of 1 - p, has BUCKETS of them, so rare events' scores spread too.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 10
+#: For each octave of p below a half, and of 1 - p; octaves below 2 ** -OCTAVES share one set.
 BUCKETS = 1024
+OCTAVES = 64
 #: Decision thresholds, 0.01 to 0.99.
 THRESHOLDS = tuple(0.01 + i * ((0.99 - 0.01) / 98) for i in range(99))
 
@@ -26,9 +29,21 @@ def cells(scored: DataFrame, keys: list[str] = ()) -> DataFrame:
     return used.groupBy(*keys, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg"))
 
 
+def score_bucket(p: Column) -> Column:
+    """A bucket that never falls as p grows from 0 to 1; beyond them p counts as 0 or 1."""
+    p = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+
+    def octaves(x: Column) -> Column:
+        # Where the logarithm is rounded up to a whole number, the step below is minus one: the octave before ends there.
+        octave = F.floor(F.log2(F.greatest(x, F.lit(2.0**-OCTAVES))))
+        return (octave + OCTAVES) * BUCKETS + F.floor((x / F.pow(F.lit(2.0), octave) - 1) * BUCKETS)
+
+    return F.when(p <= 0.5, octaves(p)).otherwise(2 * OCTAVES * BUCKETS - octaves(1 - p))
+
+
 def _below(cells: DataFrame, keys: list[str], bucket: Column | None = None) -> DataFrame:
     """Adds pos_below and neg_below, the sums over cells of smaller p with equal keys."""
-    bucket = F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * BUCKETS) if bucket is None else bucket
+    bucket = score_bucket(F.col("p")) if bucket is None else bucket
     df = cells.withColumn("_b", bucket)
     sums = df.groupBy(*keys, "_b").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     # Without keys the window below holds one row a bucket.
