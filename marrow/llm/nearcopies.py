@@ -17,7 +17,9 @@ that pass meet sketches of at least twice as many segments as shingles, and only
 A list's texts are first compared with one of them, chosen anew in each of ``STARS`` rounds, and what is found
 alike is one component from then on. Pairs of a list that lie in different components after that are all
 held against the bound, so components are exact; a large group of near copies costs no square of its size
-unless its members are unlike the ones chosen.
+unless its members are unlike the ones chosen. Such pairs meet by bands of length, because similar texts are at most
+a quarter longer than one another. A list is dealt to parts by its size: the chosen text is sent to every part, and
+pairs meet part by part, so no task holds a long list. Joins by fingerprint and by a pair's ends are dealt likewise.
 
 Defined cases: words and lower case are those of simhash.py; texts that are equal in these are one node (so
 are all texts without words); a text of fewer than five words is one shingle; of each group the row with
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from marrow.llm import simhash
 from marrow.llm.components import components
-from marrow.llm.shared import remove, unused, work_dir, written
+from marrow.llm.shared import join_hot, remove, unused, work_dir, written
 from marrow.llm.simhash import _LOWER, _WORD, SEED
 
 SHINGLE = 5
@@ -48,6 +50,10 @@ STARS = 1
 #: Longs of a post's sketch, 64 segments each; texts of more shingles than WIDE also have a sketch as wide as they are long.
 SKETCH = 4
 WIDE = 128
+#: About as many posts of one list as meet in a task; longer lists are dealt to parts.
+LIST_PART = 1024
+#: Ratio of lengths that one band spans; a little over WHOLE / ALIKE, so similar texts are in one band or in neighbouring ones.
+BAND = 1.26
 #: One row in SAMPLED is asked for common shingles, and so many are known at most.
 SAMPLED, MOST_COMMON = 16, 50_000
 
@@ -159,7 +165,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int,
 
     known = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"_n_{end}"), F.col("wide").alias(f"_w_{end}"))
     near = apart("_w_u", "_w_v") * (WHOLE + ALIKE) <= (F.col("_n_u") + F.col("_n_v")) * (WHOLE - ALIKE)
-    pairs = written(pairs.join(known("u"), "u").join(known("v"), "v").where(near).select("u", "v"), f"{path}/pairs")
+    met = join_hot(join_hot(pairs.select("u", "v"), known("u"), "u", ["v"]), known("v"), "v", ["u"])
+    pairs = written(met.where(near).select("u", "v"), f"{path}/pairs")
 
     @F.arrow_udf("boolean")
     def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -176,7 +183,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int,
     ends = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
     needed = written(rows.select("_row", "_text").join(ends, "_row", "left_semi"), f"{path}/texts")
     texts = lambda end: needed.select(F.col("_row").alias(end), F.col("_text").alias(f"_{end}"))
-    return pairs.join(texts("v"), "v").join(texts("u"), "u").where(alike("_u", "_v")).select("u", "v")
+    # By u last, so that pairs with one first text lie side by side.
+    return join_hot(join_hot(pairs, texts("v"), "v", ["u"]), texts("u"), "u", ["v"]).where(alike("_u", "_v")).select("u", "v")
 
 
 def _fingerprint_pairs(nodes: DataFrame, folder: str) -> DataFrame:
@@ -185,12 +193,46 @@ def _fingerprint_pairs(nodes: DataFrame, folder: str) -> DataFrame:
     prints = written(nodes.select("node", "fp", *held), f"{folder}/fingerprints")
     first = written(prints.groupBy("fp").agg(F.min(F.struct("node", *held)).alias("c")).select("fp", "c.*"), f"{folder}/named")
     linked = simhash.links(first.select("fp"), f"{folder}/simhash")
-    same = prints.alias("a").join(first.alias("b"), "fp").where(F.col("a.node") > F.col("b.node"))
+    ours = first.select("fp", *[F.col(c).alias(f"_b_{c}") for c in ["node", *held]])
+    same = join_hot(prints, ours, "fp", ["node"]).where(F.col("node") > F.col("_b_node"))
+    same = same.select(F.struct("node", *held).alias("a"), F.struct(*[F.col(f"_b_{c}").alias(c) for c in ["node", *held]]).alias("b"))
     apart = linked.join(first.alias("a"), F.col("u") == F.col("a.fp")).join(first.alias("b"), F.col("v") == F.col("b.fp"))
     ends = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")]
     return same.where(_near("a", "b")).select(*ends).unionByName(apart.where(_near("a", "b")).select(*ends)).distinct()
 
 
+def _parts() -> Column:
+    """How many parts a list of _many posts is dealt to."""
+    return F.ceil(F.col("_many") / LIST_PART).cast("int")
+
+
+def _star_pairs(rooted: DataFrame, mixed: DataFrame) -> DataFrame:
+    """a, b: each post of a list in mixed (key, _many, c) beside the list's chosen text c."""
+    sent = mixed.select("key", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part"), F.col("c").alias("b"))
+    return rooted.select("key", "part", F.struct(*[c for c in rooted.columns if c not in ("key", "part")]).alias("a")).join(sent, ["key", "part"])
+
+
+def _cells(left: DataFrame, first: bool) -> DataFrame:
+    """key, cell, and the post as a (first) or b. A cell is two parts of one band, or a part of a band and one of the band above."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
+    part, last = F.col("part"), _parts() - 1
+    cell = lambda low, across, i, j: F.struct(low.alias("band"), F.lit(across).alias("across"), i.alias("i"), j.alias("j"))
+    if first:
+        same = F.transform(F.sequence(part, last), lambda j: cell(F.col("_band"), False, part, j))
+        other = F.transform(F.sequence(F.lit(0), last), lambda j: cell(F.col("_band"), True, part, j))
+    else:
+        same = F.transform(F.sequence(F.lit(0), part), lambda i: cell(F.col("_band"), False, i, part))
+        other = F.transform(F.sequence(F.lit(0), last), lambda i: cell(F.col("_band") - 1, True, i, part))
+    post = F.struct(*[c for c in left.columns if c not in ("key", "part", "_many")]).alias("a" if first else "b")
+    return left.withColumn("_band", band).select("key", F.explode(F.concat(same, other)).alias("cell"), post)
+
+
+def _list_pairs(left: DataFrame) -> DataFrame:
+    """a, b: all pairs of posts of one list whose lengths lie within a quarter, each of a list's pairs once."""
+    pairs = _cells(left, True).join(_cells(left, False), ["key", "cell"])
+    return pairs.where(F.col("cell.across") | (F.col("cell.i") < F.col("cell.j")) | (F.col("a.node") < F.col("b.node"))).select("a", "b")
+
+
 def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE) -> DataFrame:
     """node, root: components of similar texts. nodes: node, fp, n, prefix, s0 ...; rows: _row (a node's number), _text."""
     tried = written(_fingerprint_pairs(nodes, folder), f"{folder}/pairs-simhash")
@@ -199,19 +241,20 @@ def links(nodes: DataFrame, rows: DataFrame, folder: str, shingle: int = SHINGLE
     roots = components(found, f"{folder}/round-simhash")
     bits = [f"s{i}" for i in range(SKETCH)]
     lists = nodes.select("node", "n", *bits, F.explode("prefix").alias("key"))
-    keys = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("key")
-    posts = written(lists.join(keys, "key"), f"{folder}/posts")
+    keys = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
+    # A list's part is seeded apart from the choice of its star.
+    posts = written(lists.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), _parts()).cast("int")), f"{folder}/posts")
     ends = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")]
     for i in range(STARS + 1):
         rooted = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Lists whose texts are one component are done.
         center = F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "root", *bits)).alias("c")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), center).where("_low < _high")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("_many").alias("_many"), center).where("_low < _high")
         if i < STARS:
-            pairs = rooted.alias("a").join(mixed.select("key", "c.*").alias("b"), F.col("a.key") == F.col("b.key"))
+            pairs = _star_pairs(rooted.drop("_many"), mixed)
         else:
             left = written(rooted.join(mixed.select("key"), "key"), f"{folder}/left")
-            pairs = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")))
+            pairs = _list_pairs(left)
         pairs = pairs.where((F.col("a.root") != F.col("b.root")) & _near("a", "b")).select(*ends).distinct()
         pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), f"{folder}/pairs-{i}")
         tried = tried.unionByName(pairs)

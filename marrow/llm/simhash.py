@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marrow.llm.components import components
-from marrow.llm.shared import remove, unused, work_dir, written
+from marrow.llm.shared import join_hot, remove, unused, work_dir, written
 
 SEED = 42
 SHINGLE = 3
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(names, "root").select("fp", "component_id", "root"), f"{folder}/named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    return join_hot(prints, named, "fp", ["doc_id"]).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

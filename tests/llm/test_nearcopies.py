@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from marrow.llm import nearcopies
 
 
@@ -67,6 +69,37 @@ def test_common_shingles_change_nothing(spark, monkeypatch):
     assert sorted(r.doc_id for r in after) == sorted(brute(rows))
 
 
+def test_lists_dealt_to_parts_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "LIST_PART", 4)
+    rows = planted()
+    after = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in after) == sorted(brute(rows))
+
+
+def test_pairs_of_a_hot_list_are_whole_and_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "LIST_PART", 16)
+    rng = random.Random(3)
+    many = 400  # one list holds half of all posts
+    lengths = {node: rng.choice([4, 5, 6, 100, 110, 125, 126, 157]) for node in range(many)}
+    rows = [(0, node, lengths[node], many) for node in lengths]
+    rows += [(1 + node // 4, many + node, 50, 4) for node in range(many)]
+    posts = spark.createDataFrame(rows, "key long, node long, n int, _many long")
+    posts = posts.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), nearcopies._parts()).cast("int"))
+    found = [tuple(sorted(r)) for r in nearcopies._list_pairs(posts).select("a.node", "b.node").collect()]
+    assert len(found) == len(set(found))
+    close = {(a, b) for a in lengths for b in lengths if a < b and 4 * max(lengths[a], lengths[b]) <= 5 * min(lengths[a], lengths[b])}
+    assert close <= set(found) and len([p for p in found if p[0] < many]) < many * (many - 1) // 2
+    others = {(a, b) for k in range(many // 4) for a in range(many + 4 * k, many + 4 * k + 4) for b in range(a + 1, many + 4 * k + 4)}
+    assert {p for p in found if p[0] >= many} == others
+    for first in (True, False):
+        assert nearcopies._cells(posts, first).groupBy("key", "cell").count().agg(F.max("count")).first()[0] <= 32
+    mixed = posts.groupBy("key").agg(F.max("_many").alias("_many"), F.min(F.struct("node")).alias("c"))
+    stars = nearcopies._star_pairs(posts.drop("_many"), mixed)
+    assert stars.select("a.node").distinct().count() == stars.count() == 2 * many
+    assert {(r[0], r[1]) for r in stars.select("a.node", "b.node").collect() if r[0] < many} == {(node, 0) for node in range(many)}
+    assert stars.groupBy("key", "part").count().agg(F.max("count")).first()[0] <= 64
+
+
 def test_ids_that_repeat_or_lack(spark):
     rows = [(1, "a b c d"), (1, "a  B c d"), (1, "other words"), (None, "x y"), (None, "x y"), (2, "A b c d"), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
