@@ -10,6 +10,7 @@ missing one goes to m; a leaf has f = -1 and adds v. Trees are summed in order,
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from marrow.functions import scalar
 #: Rows of a table that fits may hold in a task; larger ones are grown on Spark (see forests).
 MOST_ROWS = 1_000_000
 MAX_BINS = 256
+#: Gradients are counted in units of 2**-POINT; sums of 2**33 rows fit 64 bits, those of MOST_ROWS fit a double's 53.
+POINT = 30
 LAMBDA, MIN_CHILD = 1.0, 1.0
 
 
@@ -60,50 +63,79 @@ def best_split(left_g, left_h, lost_g, lost_h, total_g: float, total_h: float, l
     return (int(j), int(c), not right) if gain[j, right, c] > 1e-12 else None
 
 
+def _codes(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Each feature's bins in a row of their own; a missing value has the feature's number of bins."""
+    out = np.zeros((len(cuts), len(x)), np.uint16)
+    for j, c in enumerate(cuts):
+        out[j] = np.where(np.isnan(x[:, j]), len(c) + 1, np.searchsorted(c, x[:, j], side="right"))
+    return out.astype(np.uint8) if out.max(initial=0) < 256 else out
+
+
+def gradients(y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the logistic loss in units of 2**-POINT, whole numbers."""
+    p = 1 / (1 + np.exp(-margin))
+    return np.rint((p - y) * 2**POINT), np.rint(p * (1 - p) * 2**POINT)
+
+
+def _histogram(codes: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, wide: int) -> np.ndarray:
+    """Sums of g and h by feature and bin over the rows."""
+    out = np.zeros((2, len(codes), wide))
+    g, h = g[rows], h[rows]
+    for j, own in enumerate(codes):
+        place = own[rows].astype(np.intp)
+        out[0, j], out[1, j] = np.bincount(place, g, wide), np.bincount(place, h, wide)
+    return out
+
+
 def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float, features: tuple[str, ...] = ()) -> Forest:
-    """Second-order boosting of the logistic loss over histograms. Missing values are NaN; both directions are tried."""
+    """Second-order boosting of the logistic loss over histograms. Missing values are NaN; both directions are tried.
+
+    Of two children only the smaller one is counted, and the other is what it leaves of its parent: doubles hold sums of whole
+    numbers exactly (2**23 rows), so this changes no sum.
+    """
     x = np.asarray(x, np.float32)
     n, k = x.shape
     cuts = _bins(x)
-    code = np.stack([np.searchsorted(cuts[j], x[:, j], side="right") for j in range(k)], axis=1) if k else np.zeros((n, 0), int)
-    lost = np.isnan(x)
+    codes = _codes(x, cuts)
     base = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     margin = np.full(n, np.log(base / (1 - base)))
     widths = np.array([len(c) + 1 for c in cuts], int)
-    wide = int(widths.max(initial=1))
-    # One number for each feature and bin, and one for all missing values.
-    cell = np.where(lost, k * wide, code + wide * np.arange(k))
-    any_lost = bool(lost.any())
-    last = widths - 1
+    wide = int(widths.max(initial=1)) + 1
+    any_lost = bool(np.isnan(x).any())
+    last, gone, every, unit = widths - 1, (np.arange(k), widths), np.arange(n), 2.0**-POINT
     out = []
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = gradients(y, margin)
         nodes: list[list] = [[-1, 0.0, -1, -1, -1, 0.0]]
-        front, where = [(0, np.arange(n), 0)], []
+        front = [(0, every, 0, g.sum(), h.sum(), _histogram(codes, every, g, h, wide) if depth and k else None)]
         while front:
-            at, rows, level = front.pop()
-            total_g, total_h = g[rows].sum(), h[rows].sum()
+            at, rows, level, total_g, total_h, sums = front.pop()
             best = None
-            if level < depth and k:
-                cells = cell[rows].ravel()
-                left_g, left_h = (np.cumsum(np.bincount(cells, np.repeat(v[rows], k), k * wide + 1)[:-1].reshape(k, wide), axis=1) for v in (g, h))
-                found = best_split(left_g, left_h, total_g - left_g[:, -1], total_h - left_h[:, -1], total_g, total_h, last, lost[rows].any(axis=0), any_lost)
-                if found:
-                    j, c, missing_left = found
-                    best = (j, float(cuts[j][c]) if c < len(cuts[j]) else float(np.finfo(np.float32).max), missing_left)
+            if sums is not None:
+                lost = sums[:, *gone]
+                left = np.cumsum(sums, axis=2)[:, :, :-1]
+                if any_lost:  # from a feature's last bin on, its sums are those of all values that are there
+                    left = np.where(np.arange(wide - 1) < widths[:, None], left, left[:, np.arange(k), last][:, :, None])
+                best = best_split(left[0] * unit, left[1] * unit, lost[0] * unit, lost[1] * unit, total_g * unit, total_h * unit, last, lost[1] > 0, any_lost)
             if best is None:
-                nodes[at][5] = float(np.float32(-rate * total_g / (total_h + LAMBDA)))
-                where.append((at, rows))
+                nodes[at][5] = float(np.float32(-rate * (total_g * unit) / (total_h * unit + LAMBDA)))
+                margin[rows] += nodes[at][5]
                 continue
-            j, cut, missing_left = best
-            left = np.where(lost[rows, j], missing_left, x[rows, j] < np.float32(cut))
+            j, c, missing_left = best
+            cut = float(cuts[j][c]) if c < len(cuts[j]) else float(np.finfo(np.float32).max)
+            own = codes[j][rows]
+            goes = np.where(own == widths[j], missing_left, own <= c)
+            parts = rows[goes], rows[~goes]
+            left_g, left_h = (s[j, c] + (gone_[j] if missing_left else 0) for s, gone_ in zip(left, lost))
+            counted: list[np.ndarray | None] = [None, None]
+            if level + 1 < depth:
+                small = int(len(parts[1]) < len(parts[0]))
+                counted[small] = _histogram(codes, parts[small], g, h, wide)
+                counted[1 - small] = sums - counted[small]
             l, r = len(nodes), len(nodes) + 1
             nodes[at] = [j, cut, l, r, l if missing_left else r, 0.0]
             nodes += [[-1, 0.0, -1, -1, -1, 0.0], [-1, 0.0, -1, -1, -1, 0.0]]
-            front += [(l, rows[left], level + 1), (r, rows[~left], level + 1)]
-        for at, rows in where:
-            margin[rows] += nodes[at][5]
+            front += [(l, parts[0], level + 1, left_g, left_h, counted[0]), (r, parts[1], level + 1, total_g - left_g, total_h - left_h, counted[1])]
         out.append(tuple(map(tuple, nodes)))
     return Forest(tuple(features) or tuple(f"x{j}" for j in range(k)), base, tuple(out))
 
@@ -177,20 +209,24 @@ def table_of(df: DataFrame, features: list[str], label: str = "y", key: str = "r
     rows = df.select(key, label, *extra, *[F.col(c).cast("float") for c in features])
     if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS} rows; grow them with forests.fit")
-    return rows.toPandas().sort_values(key)
+    return rows.toArrow().to_pandas(self_destruct=True).sort_values(key)
 
 
-def fit_many(spark: SparkSession, table: pd.DataFrame, features: list[str], specs: pd.DataFrame, label: str = "y") -> DataFrame:
-    """A row for each spec with its held-out scores. specs: spec, depth, trees, rate, train (rows' positions), test."""
-    held = spark.sparkContext.broadcast((table[features].to_numpy(np.float32), table[label].to_numpy(float)))
+def fit_many(spark: SparkSession, table: pd.DataFrame, features: list[str], specs: pd.DataFrame, parts: list[tuple[np.ndarray, np.ndarray]], label: str = "y") -> DataFrame:
+    """A row for each spec and held-out row: position, y, p; a spec that holds out none has a row with its pickled forest.
+
+    specs: spec, depth, trees, rate, part; parts: positions of training and held-out rows. A task is one fit, the longest first.
+    """
+    order = specs.iloc[np.argsort(-specs["depth"].to_numpy() * specs["trees"].to_numpy(), kind="stable")]
+    held = spark.sparkContext.broadcast((table[features].to_numpy(np.float32), table[label].to_numpy(float), order, parts))
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = held.value
+        x, y, order, parts = held.value
         for batch in batches:
-            for s in batch.itertuples():
-                train, test = np.asarray(s.train, int), np.asarray(s.test, int)
-                forest = fit_forest(x[train], y[train], s.depth, s.trees, s.rate)
-                yield pd.DataFrame({"spec": s.spec, "position": test, "y": y[test].astype(int), "p": 1 / (1 + np.exp(-margins(forest, x[test])))})
+            for s in order.iloc[batch["id"].to_numpy()].itertuples():
+                train, test = parts[s.part]
+                forest = fit_forest(x[train], y[train], s.depth, s.trees, s.rate, tuple(features))
+                out = pd.DataFrame({"spec": s.spec, "position": test, "y": y[test].astype(int), "p": 1 / (1 + np.exp(-margins(forest, x[test]))), "forest": None})
+                yield out if len(test) else pd.DataFrame([(s.spec, None, None, None, pickle.dumps(forest))], columns=out.columns)
 
-    frame = spark.createDataFrame(specs, "spec int, depth int, trees int, rate double, train array<int>, test array<int>")
-    return frame.repartition(min(len(specs), 200), "spec").mapInPandas(fitted, "spec int, position int, y int, p double")
+    return spark.range(0, len(order), 1, max(1, len(order))).mapInPandas(fitted, "spec int, position int, y int, p double, forest binary")

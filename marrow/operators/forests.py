@@ -21,11 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marrow.operators.boosting import LAMBDA, MAX_BINS, MIN_CHILD, Forest, best_split
+from marrow.operators.boosting import LAMBDA, MAX_BINS, POINT, Forest, best_split, gradients
 from marrow.operators.storage import stored
 
-#: Gradients are counted in units of 2**-POINT; sums of 2**33 rows fit 64 bits.
-POINT = 30
 #: Trees that tasks walk before the margins are written again.
 KEPT = 16
 #: Relative rank error of quantile sketches is 1 / ACCURACY.
@@ -162,11 +160,6 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return flat[first : first + size * len(column)].view(kind).reshape(len(column), width)
 
 
-def _gradients(y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = 1 / (1 + np.exp(-margin))
-    return np.rint((p - y) * 2**POINT).astype(np.int64), np.rint(p * (1 - p) * 2**POINT).astype(np.int64)
-
-
 def grow(table: DataFrame, cuts: list[np.ndarray], fits: list[Fit], folder: str, label: str = "y", features: tuple[str, ...] = ()) -> tuple[list[Forest], DataFrame]:
     """The fits' forests, and the table with margins (array<double>, one a fit). table: binned(), with label and what conditions name."""
     spark, k = table.sparkSession, len(cuts)
@@ -206,8 +199,7 @@ def grow(table: DataFrame, cuts: list[np.ndarray], fits: list[Fit], folder: str,
                     at = slot[_leaves(tree, codes[rows], widths)]
                     rows, at = rows[at >= 0], at[at >= 0]
                     own, n = codes[rows], len(open_)
-                    for s, v in zip(sums[i], _gradients(y[rows], margins[rows, i])):
-                        v = v.astype(float)  # doubles hold a batch's sums exactly
+                    for s, v in zip(sums[i], gradients(y[rows], margins[rows, i])):  # doubles hold a batch's sums exactly
                         s[:, -1] += np.bincount(at, v, n).astype(np.int64)
                         for j in range(k):
                             s[:, j * wide : (j + 1) * wide] += np.bincount(at * wide + own[:, j], v, n * wide).astype(np.int64).reshape(n, wide)

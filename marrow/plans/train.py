@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions import scalar
 from marrow.operators import boosting, calibrate, checks, conformal, forests, metrics, resample
-from marrow.operators.storage import step_folder
+from marrow.operators.storage import step_folder, stored
 
 OUTER, INNER = 5, 3
+SPEC = ["spec", "depth", "trees", "rate", "part"]
 #: Rows that the search for settings uses in an outer fold.
 SEARCH_ROWS = 20_000
 
@@ -27,9 +30,9 @@ class Fitted:
     settings: tuple[int, int, float]
 
 
-def _search_specs(inside: dict[int, np.ndarray], y: np.ndarray, grid, seed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+def _search_specs(inside: dict[int, np.ndarray], y: np.ndarray, grid, seed: int) -> tuple[pd.DataFrame, pd.DataFrame, list[tuple[np.ndarray, np.ndarray]]]:
     """A fit for each outer fold, setting and inner fold; inner folds deal the classes in turn. inside: an outer fold's training rows."""
-    rows, keys = [], []
+    rows, keys, parts = [], [], []
     for k, inside in sorted(inside.items()):
         rng = np.random.default_rng([seed, int(k)])
         if len(inside) > SEARCH_ROWS:
@@ -40,15 +43,17 @@ def _search_specs(inside: dict[int, np.ndarray], y: np.ndarray, grid, seed: int)
         inner[order] = np.arange(len(inside)) % INNER
         for c, (depth, trees, rate) in enumerate(grid):
             for j in range(INNER):
-                rows.append((len(rows), depth, trees, rate, inside[inner != j].tolist(), inside[inner == j].tolist()))
+                rows.append((len(rows), depth, trees, rate, len(parts) + j))
                 keys.append((len(keys), int(k), c))
-    return pd.DataFrame(rows, columns=["spec", "depth", "trees", "rate", "train", "test"]), pd.DataFrame(keys, columns=["spec", "fold", "combo"])
+        parts += [(inside[inner != j], inside[inner == j]) for j in range(INNER)]
+    return pd.DataFrame(rows, columns=SPEC), pd.DataFrame(keys, columns=["spec", "fold", "combo"]), parts
 
 
 def _chosen(table: pd.DataFrame, inside: dict[int, np.ndarray], spark: SparkSession, features: list[str], label: str, grid, seed: int) -> tuple[dict[int, tuple], tuple]:
     """Each outer fold's setting, and the one chosen most."""
-    specs, keys = _search_specs(inside, table[label].to_numpy(), grid, seed)
-    scored = boosting.fit_many(spark, table, features, specs, label)
+    specs, keys, parts = _search_specs(inside, table[label].to_numpy(), grid, seed)
+    # Written once: the metric reads the scores twice, and every fit would run again.
+    scored = stored(boosting.fit_many(spark, table, features, specs, parts, label).where("position IS NOT NULL"), step_folder(spark, "search"))
     scores = metrics.auc(scored.select("spec", "y", "p"), ["spec"]).join(F.broadcast(spark.createDataFrame(keys)), "spec")
     chosen = resample.best_combination(scores.select("fold", "combo", F.col("auc").alias("score"))).cache()
     best = {r["fold"]: grid[r["combo"]] for r in chosen.collect()}  # a row a fold
@@ -58,15 +63,19 @@ def _chosen(table: pd.DataFrame, inside: dict[int, np.ndarray], spark: SparkSess
 
 
 def _small(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int) -> tuple[DataFrame, boosting.Forest, tuple]:
-    """Held-out scores, the final forest and its setting; every fit has the table in its task."""
+    """Held-out scores, the final forest and its setting; every fit, the final one too, is a task that has the table."""
     spark = folded.sparkSession
     table = boosting.table_of(folded, features, label, key, ["fold"])
     fold = table["fold"].to_numpy()
     best, modal = _chosen(table, {k: np.flatnonzero(fold != k) for k in set(fold.tolist())}, spark, features, label, grid, seed)
-    outer = pd.DataFrame([(int(k), *best[k], np.flatnonzero(fold != k).tolist(), np.flatnonzero(fold == k).tolist()) for k in sorted(best)], columns=["spec", "depth", "trees", "rate", "train", "test"])
-    ids = spark.createDataFrame(pd.DataFrame({"position": np.arange(len(table)), key: table[key].to_numpy()}))
-    held = boosting.fit_many(spark, table, features, outer, label).join(ids, "position").select(F.col(key).alias("row_id"), "y", "p", F.col("spec").cast("int").alias("fold"))
-    return held, boosting.fit_forest(table[features].to_numpy(np.float32), table[label].to_numpy(), *modal, features=tuple(features)), modal
+    folds = sorted(best)
+    specs = pd.DataFrame([(int(k), *best[k], i) for i, k in enumerate(folds)] + [(-1, *modal, len(folds))], columns=SPEC)
+    parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in folds] + [(np.arange(len(table)), np.arange(0))]
+    fits = stored(boosting.fit_many(spark, table, features, specs, parts, label), step_folder(spark, "fits"))
+    final = pickle.loads(fits.where("forest IS NOT NULL").first()["forest"])
+    ids = spark.createDataFrame(pa.table({"position": pa.array(np.arange(len(table)), pa.int32()), key: pa.Array.from_pandas(table[key])}))
+    held = fits.where("forest IS NULL").join(ids, "position").select(F.col(key).alias("row_id"), "y", "p", F.col("spec").cast("int").alias("fold"))
+    return held, final, modal
 
 
 def _large(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int) -> tuple[DataFrame, boosting.Forest, tuple]:
