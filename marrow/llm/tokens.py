@@ -2,10 +2,11 @@
 
 The tokenizer composes, lower-cases, drops white space and merges inside pre-tokens only, so a text's
 ids are those of its blank-separated words one after another, and a word's those of its pre-tokens. Arrow
-splits a slice of texts into words and numbers the distinct ones; a word that a worker has not seen
-before is cut into pre-tokens, and only new pre-tokens reach the tokenizers library. Words with characters
-whose composition or case might differ from the library's, and the strings of added tokens, go to the
-library whole. The caches are bounded and hold results only, so their sizes never change what comes out.
+splits a slice of texts into words, numbers the distinct ones, and cuts letters from the mark after them;
+other words are cut one by one. Only pre-tokens that a worker has not seen before reach the tokenizers
+library. Words with characters whose composition or case might differ from the library's, and the strings
+of added tokens, go to the library whole. The cache is bounded and holds results only, so its size never
+changes what comes out.
 """
 
 from __future__ import annotations
@@ -20,21 +21,27 @@ import regex
 from tokenizers import Tokenizer
 
 END_ID = 2
-#: Words, pre-tokens and ids that a Python worker keeps; the caches start again when one is full.
-CACHE_WORDS, CACHE_PIECES, CACHE_IDS = 75_000, 300_000, 3_000_000
-#: Longer words are encoded but not found again.
+#: Pre-tokens and ids that a Python worker keeps; the cache starts again when one is full.
+CACHE_PIECES, CACHE_IDS = 300_000, 3_000_000
+#: Longer ones are encoded but not found again.
 CACHE_WORD_CHARS = 64
 #: Fixed value: the tokenizer's pattern of pre-tokens.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Printable ASCII, and characters that composing leaves alone and that have one lower-case form: Latin-1
 #: letters, the French ligature, dashes, quotation marks and the euro sign.
 PLAIN = regex.compile(r"[\x21-\x7E\u00C0-\u00FF\u0152\u0153\u2010-\u2027\u20AC]*")
+#: Letters of PLAIN, and at most one mark after them.
+LETTERS = "^(?P<body>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u0152\u0153]+)(?P<tail>[.,!?;:]?)$"
 LENGTH_BITS = 27
 LENGTH_MASK = (1 << LENGTH_BITS) - 1
 #: Bytes of text that are split into words at a time.
 SLICE_BYTES = 2_000_000
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 @lru_cache(maxsize=2)
 def _coder(spec: str) -> "WordCoder":
     return WordCoder(spec)
@@ -53,8 +60,7 @@ class WordCoder:
         self.clear()
 
     def clear(self) -> None:
-        # Both: text -> start and length in ids.
-        self.words: dict[str, int] = {}
+        # Unit -> start and length in ids.
         self.pieces: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -67,15 +73,15 @@ class WordCoder:
         self.used += len(ids)
         return start
 
-    def _encoded_pieces(self, pieces: list[str]) -> None:
+    def _encoded_pieces(self, pieces: list[str]) -> dict[str, int]:
+        out = {}
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-            lengths = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)).tolist()
-            start = self._keep(np.array(e.ids, np.uint32))
-            for piece, n in zip(part, lengths):
-                self.pieces[piece] = start << LENGTH_BITS | n
-                start += n
+            lengths = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            starts = self._keep(np.array(e.ids, np.uint32)) + np.cumsum(lengths) - lengths
+            out.update(zip(part, (starts << LENGTH_BITS | lengths).tolist()))
+        return out
 
     def _gathered(self, places: np.ndarray) -> np.ndarray:
         starts, lengths = places >> LENGTH_BITS, places & LENGTH_MASK
@@ -83,57 +89,51 @@ class WordCoder:
         at += np.arange(len(at))
         return self.ids[at]
 
-    def _joined(self, cut: list[list[str]]) -> list[int]:
-        """Places of words of several pre-tokens, whose ids are stored in a row."""
-        places = np.array([self.pieces[p] for ps in cut for p in ps], np.int64)
-        lengths = np.concatenate([[0], np.cumsum(places & LENGTH_MASK)])
-        ends = np.cumsum([len(ps) for ps in cut])
-        start = self._keep(self._gathered(places))
-        upto = lengths[ends]
-        begin = np.concatenate([[0], upto[:-1]]).astype(np.int64)
-        return ((start + begin) << LENGTH_BITS | (upto - begin)).tolist()
-
     def _cut(self, word: str) -> list[str] | None:
         """The word's pre-tokens; None if the library has to cut it."""
-        if word.isascii():
-            if word.isalpha():
-                return [word.lower()]
-            if word[:-1].isalpha() and word[-1] in ".,!?;:":
-                return [word[:-1].lower(), word[-1]]
         if PLAIN.fullmatch(word) and not ("<|" in word and any(a in word for a in self.added)):
             return PRE_TOKENS.findall(word.lower())
         return None
 
-    def _learn(self, words: list[str]) -> list[int]:
-        cut = list(map(self._cut, words))
-        self._encoded_pieces(list(dict.fromkeys(p for ps in cut if ps for p in ps if p not in self.pieces)))
-        rest = [w for w, ps in zip(words, cut) if ps is None]
-        whole = iter(self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [])
-        several = [ps for ps in cut if ps is not None and len(ps) != 1]
-        joined = iter(self._joined(several) if several else [])
-        out = []
-        for w, ps in zip(words, cut):
-            if ps is None:
-                ids = next(whole).ids
-                place = self._keep(np.array(ids, np.uint32)) << LENGTH_BITS | len(ids)
-            else:
-                place = self.pieces[ps[0]] if len(ps) == 1 else next(joined)
-            if w not in self.pieces and len(w) <= CACHE_WORD_CHARS:
-                self.words[w] = place
-            out.append(place)
-        return out
-
-    def _places(self, words: list[str]) -> np.ndarray:
+    def _units(self, words: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What the words consist of: units, the words' units in a row as indexes, and how many each word has.
+
+        A unit is a pre-token, or a word that the library has to cut, marked by a blank before it. Letters with at most one
+        mark after them, which most words are, are cut in Arrow.
+        """
+        found = pc.extract_regex(words, LETTERS)
+        simple = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        body, tail = (pc.struct_field(found, name).filter(pa.array(simple)) for name in ("body", "tail"))
+        body, marked = pc.utf8_lower(body).dictionary_encode(), pc.not_equal(tail, "").to_numpy(zero_copy_only=False)
+        tail = tail.filter(pa.array(marked)).dictionary_encode()
+        rest = _strings(words.filter(pa.array(~simple)))
+        cut = [ps if ps is not None else [" " + w] for w, ps in zip(rest, map(self._cut, rest))]
+        others = {u: i for i, u in enumerate(dict.fromkeys(u for ps in cut for u in ps))}
+        units = _strings(body.dictionary) + _strings(tail.dictionary) + list(others)
+        counts = np.ones(len(words), np.int64)
+        places = np.flatnonzero(simple)
+        counts[places[marked]] = 2
+        counts[~simple] = [len(ps) for ps in cut]
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int64)
+        first = len(body.dictionary) + len(tail.dictionary)
+        flat[np.repeat(~simple, counts)] = np.array([others[u] for ps in cut for u in ps], np.int64) + first
+        flat[starts[places]] = body.indices.to_numpy()
+        flat[starts[places[marked]] + 1] = tail.indices.to_numpy() + len(body.dictionary)
+        return units, flat, counts
+
+    def _places(self, units: list[str]) -> np.ndarray:
         if len(self.pieces) > CACHE_PIECES or self.used > CACHE_IDS:
             self.clear()
-        elif len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        places = list(map(self.pieces.get, words))
-        for i in [i for i, p in enumerate(places) if p is None]:
-            places[i] = self.words.get(words[i])
-        new = [i for i, p in enumerate(places) if p is None]
-        for i, place in zip(new, self._learn([words[i] for i in new])):
-            places[i] = place
+        places = list(map(self.pieces.get, units))
+        new = list(dict.fromkeys(u for u, p in zip(units, places) if p is None))
+        if new:
+            whole = [u for u in new if u[0] == " "]
+            learned = self._encoded_pieces([u for u in new if u[0] != " "] if whole else new)
+            for u, e in zip(whole, self.tokenizer.encode_batch([u[1:] for u in whole], add_special_tokens=False) if whole else []):
+                learned[u] = self._keep(np.array(e.ids, np.uint32)) << LENGTH_BITS | len(e.ids)
+            places = [learned[u] if p is None else p for u, p in zip(units, places)]
+            self.pieces.update(learned if max(map(len, new)) <= CACHE_WORD_CHARS else {u: p for u, p in learned.items() if len(u) <= CACHE_WORD_CHARS})
         return np.array(places, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +142,10 @@ class WordCoder:
         word_ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
         # The distinct words' ids as one list array, of which Arrow then takes every word's.
-        places = self._places(coded.dictionary.to_pylist())
-        offsets = pa.array(np.concatenate([[0], np.cumsum(places & LENGTH_MASK)]), pa.int64())
-        taken = pa.LargeListArray.from_arrays(offsets, pa.array(self._gathered(places))).take(coded.indices)
+        units, flat, counts = self._units(coded.dictionary)
+        places = self._places(units)[flat]
+        upto = np.concatenate([[0], np.cumsum(places & LENGTH_MASK)])[np.concatenate([[0], np.cumsum(counts)])]
+        taken = pa.LargeListArray.from_arrays(pa.array(upto.astype(np.int64)), pa.array(self._gathered(places))).take(coded.indices)
         first = taken.offsets[0].as_py()
         ids = taken.values.to_numpy()[first : taken.offsets[-1].as_py()]
         return ids, (taken.offsets.to_numpy() - first)[np.concatenate([[0], word_ends])][1:]
