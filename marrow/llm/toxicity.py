@@ -29,6 +29,7 @@ along.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -282,8 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample_rows: int
     chosen = marked.where("_y = 1").orderBy(*order).limit(sample_rows).unionByName(marked.where("_y = 0").orderBy(*order).limit(sample_rows))
     # At most 2 x sample_rows rows, so the labels' side is broadcast.
     sample = docs.where(F.char_length(text_col) <= SAMPLE_TEXT_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = sample.orderBy(F.xxhash64("_id", F.lit(2)), "_id", "_text").limit(2 * sample_rows).select("_y", "_text").collect()
-    return fit_sample([r["_text"] for r in rows], np.array([r["_y"] for r in rows], float))
+    rows = sample.orderBy(F.xxhash64("_id", F.lit(2)), "_id", "_text").limit(2 * sample_rows).select("_y", "_text")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches, pa.schema([("_y", pa.int32()), ("_text", pa.string())]))
+        model = fit_sample(held["_text"].to_pylist(), held["_y"].to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The bounded sample is fitted by one task, so neither its texts nor the training pass through the driver.
+    found = rows.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit_sample([], np.zeros(0))
 
 
 @lru_cache(maxsize=2)
