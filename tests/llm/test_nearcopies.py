@@ -1,11 +1,13 @@
 """The pipeline's near-dedup stage against brute-force similarity of five-word shingles."""
 
+import glob
 import random
+import time
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from marrow.llm import nearcopies
+from marrow.llm import nearcopies, shared
 
 
 def shingles(text):
@@ -119,3 +121,42 @@ def test_sketches_never_exceed_the_difference():
         assert np.bitwise_count(nearcopies.sketch(a).view("u8") ^ nearcopies.sketch(b).view("u8")).sum() <= apart
         assert nearcopies.wide_apart(nearcopies.wide_sketch(a), nearcopies.wide_sketch(b)) <= apart
     assert nearcopies.wide_apart(nearcopies.wide_sketch(a), nearcopies.wide_sketch(b)) > apart / 3
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    before = _shuffle_files(spark)
+    kept = nearcopies.keep_one(spark.createDataFrame(planted(), "doc_id long, text string"))
+    deadline = time.time() + 10  # they are removed in the background
+    while _shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get(shared.CLEANUP) == "false"
+    assert kept.count()
+
+
+def _shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for top in dirs for f in glob.glob(f"{top}/**/shuffle_*", recursive=True)}
+
+
+def test_only_keys_and_nodes_meet_to_make_lists(spark, tmp_path, monkeypatch):
+    plans = {}
+
+    def held(df, path):
+        plans[path.rpartition("/")[2]] = df._jdf.queryExecution().optimizedPlan().toString()
+        return shared.written(df, path)
+
+    monkeypatch.setattr(nearcopies, "written", held)
+    rows = [(1, 9, [5, 6, 7], *range(4)), (2, 9, [5, 8], *range(4)), (3, 9, [6, 5], *range(4)), (4, 9, [], *range(4))]
+    nodes = spark.createDataFrame(rows, "node long, n int, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
+    posts = nearcopies._posts(nodes, str(tmp_path)).collect()
+    assert sorted((r.key, r.node, r._many, r.part, r.n, r.s3) for r in posts) == [(5, 1, 3, 0, 9, 3), (5, 2, 3, 0, 9, 3), (5, 3, 3, 0, 9, 3), (6, 1, 2, 0, 9, 3), (6, 3, 2, 0, 9, 3)]
+    exploded = [line for line in plans["posts"].splitlines() + plans["keys"].splitlines() if "Generate explode" in line]
+    assert len(exploded) == 2
+    below = [plan.split("Generate explode")[1].splitlines()[1] for plan in (plans["posts"], plans["keys"])]
+    assert all("prefix" in line and "s0" not in line for line in below), below
+
+
+def test_lists_of_two_are_done_after_the_star(spark):
+    mixed = spark.createDataFrame([(1, 2), (2, 3), (3, 900)], "key long, _many long")
+    assert sorted(r.key for r in nearcopies._unsettled(mixed).collect()) == [2, 3]
