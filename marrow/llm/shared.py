@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 FALLBACK_DIR = "/tmp/checkpoints/marrow"
 #: Parts that the rows of one key are dealt to.
 SALTS = 64
+#: monotonically_increasing_id() has a row's place within its partition in so many bits, the partition above them.
+PLACE_BITS = 33
+#: Bits of bitmap_construct_agg().
+BITMAP = 32_768
 #: The session's setting by which an action's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,6 +57,33 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
+def numbered(df: DataFrame, row: str, part: str) -> DataFrame:
+    """df with row, a number of its own for each row, and part, its partition."""
+    return df.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, PLACE_BITS))
+
+
+def in_parts(df: DataFrame, path: str, part: str) -> DataFrame:
+    """df written below path in buckets of part, and read again: picked() finds its rows where they lie. Nothing is shuffled, as a task has few parts."""
+    spark, name = df.sparkSession, f"rows_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), part).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return out
+
+
+def picked(rows: DataFrame, ids: DataFrame, row: str, part: str) -> DataFrame:
+    """The rows of in_parts() whose number is in ids (one column). Ids are shuffled as bits, rows aren't moved. row, part: see numbered()."""
+    of, sets = unused(rows, "_of"), unused(rows, "_bits")
+    place = F.col(row).bitwiseAND((1 << PLACE_BITS) - 1)
+    at = ids.toDF(row).select(F.shiftright(row, PLACE_BITS).alias(of), F.floor(place / BITMAP).alias("slice"), (place % BITMAP).alias("bit"))
+    slices = at.groupBy(of, "slice").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # A part's bits are as many as the rows that one task wrote.
+    bits = slices.groupBy(of).agg(F.map_from_entries(F.collect_list(F.struct("slice", "bits"))).alias(sets))
+    byte = F.substring(F.element_at(sets, F.floor(place / BITMAP)), (F.floor(place % BITMAP / 8) + 1).cast("int"), F.lit(1))
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (place % 8).cast("int")) == 1
+    return rows.join(bits.hint("shuffle_hash"), (F.col(part) == F.col(of)) & held, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

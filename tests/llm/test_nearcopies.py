@@ -160,3 +160,35 @@ def test_only_keys_and_nodes_meet_to_make_lists(spark, tmp_path, monkeypatch):
 def test_lists_of_two_are_done_after_the_star(spark):
     mixed = spark.createDataFrame([(1, 2), (2, 3), (3, 900)], "key long, _many long")
     assert sorted(r.key for r in nearcopies._unsettled(mixed).collect()) == [2, 3]
+
+
+def test_texts_are_picked_where_they_lie(spark, monkeypatch):
+    plans = {}
+
+    def held(df, path):
+        plans.setdefault(path.rpartition("/")[2], []).append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.written(df, path)
+
+    monkeypatch.setattr(nearcopies, "written", held)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where ids are too many to broadcast
+    try:
+        kept = nearcopies.keep_one(spark.createDataFrame([(1, "a b c d"), (2, "A b c d"), (3, "x y")], "doc_id long, text string"))
+        last = kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan in (last, *plans["texts"], *plans["known"]):
+        above = plan[: plan.index("FileScan")]  # rows come first, the picked numbers after them
+        assert "Exchange" not in above and "LeftSemi" in above, plan
+
+
+def test_rows_are_picked_by_number(spark, tmp_path):
+    df = spark.range(0, 70_000, 1, 3).selectExpr("id", "cast(id as string) as _of", "id * 2 as _bits")
+    rows = shared.in_parts(shared.numbered(spark.range(0, 120_000, 1, 2).join(df.limit(0), "id", "left"), "_row", "_part").coalesce(1), f"{tmp_path}/rows", "_part")
+    wanted = lambda k: k % 3 == 1 or k < 20 or 32_760 < k < 32_780
+    ids = shared.written(rows.where("id % 3 = 1 or id < 20 or id between 32761 and 32779").select("_row"), f"{tmp_path}/ids")
+    found = shared.picked(rows, ids.unionByName(ids), "_row", "_part")
+    assert found.columns == rows.columns
+    assert sorted(r.id for r in found.select("id").collect()) == [k for k in range(120_000) if wanted(k)]
+    assert shared.picked(rows, ids.limit(0), "_row", "_part").count() == 0
