@@ -39,6 +39,8 @@ from marrow.llm.shared import join_hot, text_or_empty, work_dir, written
 BLOCK_BYTES = 3_000_000
 #: Transitions that a Python worker keeps; a full memo starts again.
 CACHE_STEPS = 1_000_000
+#: About so many bytes of chunks go through the byte-level tokenizer in a row.
+ROW_BYTES = 8192
 #: So few texts go on one by one.
 FEW = 16
 #: A pair is a * 2**SHIFT + b.
@@ -208,31 +210,62 @@ class Aligner:
                 byte = _BYTE_PIECE.fullmatch(self.b.id_to_piece(i)) if self.b.is_byte(i) else None
                 b[i] = bytes([int(byte[1], 16)]) if byte else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.transducer = Transducer(a, b)
-        self.a_bytes = pa.array(a, pa.large_binary())
+        self.a_bytes, self.a_sizes = pa.array(a, pa.large_binary()), np.fromiter(map(len, a), np.int64, len(a))
         # Items: A's tokens, then B's, each followed by a comma or, last of its group's side, by the sign that ends the side.
         self.b_items = 2 * len(a)
         self.shown = pa.array([f"{i}{sign}" for n, end in ((len(a), "|"), (len(b), ";")) for i in range(n) for sign in (",", end)], pa.large_string())
 
+    def _a_ids(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all texts, and how many each has. sizes: the texts' bytes.
+
+        After a text that doesn't end in white space A starts anew at the next one's blank, so such texts are encoded in a row
+        and told apart by their tokens' bytes; the others, and rows whose tokens don't end with the texts, one by one.
+        """
+        alone = np.fromiter((t[-1].isspace() for t in texts), bool, len(texts))
+        order = np.argsort(alone, kind="stable")
+        alone, sizes = alone[order], sizes[order]
+        row = np.where(alone, -1 - np.arange(len(texts)), np.cumsum(sizes) // ROW_BYTES)
+        cuts = np.append(np.flatnonzero(np.diff(row, prepend=len(texts) + row[:1])), len(texts)).tolist()
+        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, upto in zip(cuts, cuts[1:]):
+            part = [texts[i] for i in order[at:upto].tolist()]
+            own = np.array(self.a.encode("".join(part), add_special_tokens=False).ids, np.int64)
+            own_sizes, ends = self.a_sizes[own], np.cumsum(sizes[at:upto])
+            token_ends = np.cumsum(own_sizes)
+            last = np.searchsorted(token_ends, ends)
+            if len(part) == 1:
+                own_lengths = np.array([len(own)])
+            elif own_sizes.all() and token_ends[-1] == ends[-1] and np.array_equal(token_ends[last], ends):
+                own_lengths = np.diff(last, prepend=-1)
+            else:
+                lists = [self.a.encode(t, add_special_tokens=False).ids for t in part]
+                own, own_lengths = np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+            ids.append(own)
+            lengths.append(own_lengths)
+        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
+        if not alone.any():
+            return ids, lengths
+        back = np.argsort(order)
+        return ids[_gather(_starts(lengths)[back], lengths[back])], lengths[back]
+
     def aligned(self, texts: list[str]) -> Aligned:
         """texts begin with the blank that both sides start with."""
-        n, coded = len(texts), []
-        for at in range(0, n, 4096):
-            part = texts[at : at + 4096]
-            coded.append(([e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)], self.b.encode([t[1:] for t in part], num_threads=1)))
-        ids, ends = [], []
-        for side in (0, 1):
-            lists = [x for c in coded for x in c[side]]
-            lengths = np.fromiter(map(len, lists), np.int64, n)
-            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())))
-            ends.append(np.cumsum(lengths))
+        n, raw = len(texts), [t.encode() for t in texts]
+        raw_sizes = np.fromiter(map(len, raw), np.int64, n)
+        a_ids, a_lengths = self._a_ids(texts, raw_sizes)
+        lists = [x for at in range(0, n, 4096) for x in self.b.encode([t[1:] for t in texts[at : at + 4096]], num_threads=1)]
+        b_lengths = np.fromiter(map(len, lists), np.int64, n)
+        ids = [a_ids, np.fromiter(chain.from_iterable(lists), np.int64, int(b_lengths.sum()))]
+        ends = [np.cumsum(a_lengths), np.cumsum(b_lengths)]
+        del lists
         good, group, of, pairs = self.transducer.groups(tuple(ids), tuple(ends))
         # The sides agree where good; A's bytes have to be the text's.
-        spelled, raw = self.a_bytes.take(pa.array(ids[0])), [t.encode() for t in texts]
+        spelled = self.a_bytes.take(pa.array(ids[0]))
         lengths = np.diff(np.concatenate([[0], ends[0]]))
         sizes = np.bincount(np.repeat(np.arange(n), lengths), pc.binary_length(spelled).to_numpy(), n).astype(np.int64)
         joined = b"".join(raw)
         own = spelled.buffers()[2]
-        if not (np.array_equal(sizes, np.fromiter(map(len, raw), np.int64, n)) and (own.to_pybytes() if own else b"")[: len(joined)] == joined):
+        if not (np.array_equal(sizes, raw_sizes) and (own.to_pybytes() if own else b"")[: len(joined)] == joined):
             parts = pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([[0], ends[0]]), spelled), pa.scalar(b"", pa.large_binary())).to_pylist()
             good &= np.fromiter((x == y for x, y in zip(parts, raw)), bool, n)
         return self._laid_out(n, good, ids, ends, group, pairs[good[of]])

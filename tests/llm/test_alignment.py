@@ -141,3 +141,27 @@ def test_transducer_on_random_cuts(raws, data, few):
             groups[side].extend(sum(m < e for m in both) for _, e in spans[side][i])
     assert [sorted(pairs[text == i].tolist()) for i in range(len(raws))] == want
     assert [g.tolist() for g in group] == list(groups)
+
+
+def test_chunks_are_encoded_in_a_row(sides, monkeypatch):
+    aligner = alignment.Aligner(SPEC, MODEL)
+    texts = [f" word{i}" for i in range(3000)] + [" end\n", " ", " \t", " naïve", " x\x1c", " 'tis", " <|endoftext|>", "  two", " \U0001f600!", " don't"] * 2 + [" y" * 20_000, " z"]
+    alone = [sides[0].encode(t, add_special_tokens=False).ids for t in texts]
+    calls = []
+
+    class Counting:
+        def encode(self, text, **options):
+            calls.append(text)
+            return sides[0].encode(text, **options)
+
+    monkeypatch.setattr(aligner, "a", Counting())
+    sizes = np.array([len(t.encode()) for t in texts])
+    ids, lengths = aligner._a_ids(texts, sizes)
+    assert ids.tolist() == [i for x in alone for i in x] and lengths.tolist() == [len(x) for x in alone]
+    assert len(calls) < 40 and max(map(len, calls)) <= alignment.ROW_BYTES + 40_000
+    ids, lengths = aligner._a_ids([], np.zeros(0, np.int64))
+    assert not len(ids) and not len(lengths)
+    # Where tokens' bytes don't end with the texts, each text is encoded by itself.
+    monkeypatch.setattr(aligner, "a_sizes", aligner.a_sizes + 1)
+    ids, lengths = aligner._a_ids(texts, sizes)
+    assert ids.tolist() == [i for x in alone for i in x] and lengths.tolist() == [len(x) for x in alone]
