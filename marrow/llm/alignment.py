@@ -13,6 +13,9 @@ Links are counted by pair of ids over the corpus. A block keeps its distinct pai
 places of its pairs among them. Pairs are summed over blocks, each pair's row goes back to the blocks that hold it, never to
 single texts, and a block then adds up its texts. So a frequent pair costs a row a block, and nothing is broadcast.
 
+Memory: a block's texts are laid out some at a time, what its texts hold of its pairs is a compressed blob that only Python opens
+(packed()), and workers let go of the tokenizers when they sum texts.
+
 Defined cases: null and empty texts, and those whose joined bytes on either side differ from a blank and the text, have no tokens:
 counts are 0 and groups are ''. Rows that repeat a doc_id are texts of their own; a null doc_id stays; an empty table gives an empty
 result; other columns are ignored.
@@ -20,6 +23,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +45,8 @@ BLOCK_BYTES = 3_000_000
 CACHE_STEPS = 1_000_000
 #: About so many bytes of chunks go through the byte-level tokenizer in a row.
 ROW_BYTES = 8192
+#: About so many items (tokens) of a block's texts are laid out at a time; a longer text is laid out by itself.
+PIECE_ITEMS = 200_000
 #: So few texts go on one by one.
 FEW = 16
 #: A pair is a * 2**SHIFT + b.
@@ -182,6 +188,31 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths) - lengths
 
 
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _pieces(items: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about PIECE_ITEMS items; items: each text's."""
+    piece = np.cumsum(items) // PIECE_ITEMS
+    cuts = np.append(np.flatnonzero(np.diff(piece, prepend=-1)), len(items)).tolist()
+    return zip(cuts, cuts[1:])
+
+
+def packed(place: np.ndarray, count: np.ndarray) -> bytes:
+    """Places and counts of a block's texts: places as differences, both in planes of bytes, compressed."""
+    steps = np.diff(place.astype("<u4"), prepend=np.zeros(1, "<u4"))  # wraps around where a text ends
+    planes = np.concatenate([steps.view(np.uint8).reshape(-1, 4).T, count.astype("<u4").view(np.uint8).reshape(-1, 4).T])
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(blob: bytes | pa.Buffer, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """place and count, n of each, of packed()."""
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob, 8 * n), np.uint8).reshape(2, 4, n)
+    steps, count = (np.ascontiguousarray(x.T).reshape(-1).view("<u4") for x in planes)
+    return np.cumsum(steps, dtype="<u4").astype(np.int64), count.astype(np.int64)
+
+
 class Aligned:
     """Aligned texts: tokens of each side and groups of each, and in a row their items (token and separator) and pairs; none for texts whose bytes differ."""
 
@@ -248,16 +279,22 @@ class Aligner:
         back = np.argsort(order)
         return ids[_gather(_starts(lengths)[back], lengths[back])], lengths[back]
 
+    def _b_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids of all texts, and how many each has. Lists of some texts at a time become numbers."""
+        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 4096):
+            lists = self.b.encode([t[1:] for t in texts[at : at + 4096]], num_threads=1)
+            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
+
     def aligned(self, texts: list[str]) -> Aligned:
         """texts begin with the blank that both sides start with."""
         n, raw = len(texts), [t.encode() for t in texts]
         raw_sizes = np.fromiter(map(len, raw), np.int64, n)
         a_ids, a_lengths = self._a_ids(texts, raw_sizes)
-        lists = [x for at in range(0, n, 4096) for x in self.b.encode([t[1:] for t in texts[at : at + 4096]], num_threads=1)]
-        b_lengths = np.fromiter(map(len, lists), np.int64, n)
-        ids = [a_ids, np.fromiter(chain.from_iterable(lists), np.int64, int(b_lengths.sum()))]
-        ends = [np.cumsum(a_lengths), np.cumsum(b_lengths)]
-        del lists
+        b_ids, b_lengths = self._b_ids(texts)
+        ids, ends = [a_ids, b_ids], [np.cumsum(a_lengths), np.cumsum(b_lengths)]
         good, group, of, pairs = self.transducer.groups(tuple(ids), tuple(ends))
         # The sides agree where good; A's bytes have to be the text's.
         spelled = self.a_bytes.take(pa.array(ids[0]))
@@ -284,8 +321,8 @@ class Aligner:
         item += np.append(key[1:] != key[:-1], True)[: len(item)]
         return Aligned(good, (counts[0], counts[1], groups), item, pairs)
 
-    def block(self, texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
-        """n_a, n_b, n_groups, shown a text, and its pairs: text i has the rows ends[i - 1]:ends[i] of place and count; place is an index into pairs, whose counts in the block are total."""
+    def block(self, texts: pa.Array) -> dict[str, np.ndarray | list[str]]:
+        """n_a, n_b, n_groups, groups_sha256 a text, and its pairs: text i has the rows ends[i - 1]:ends[i] of place and count; place is an index into pairs, whose counts in the block are total."""
         # Words between blanks are chunks, unless one is empty or ends in white space: such texts are cut by the pattern.
         words = pc.split_pattern(pc.fill_null(texts, ""), " ")
         offsets = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
@@ -317,17 +354,26 @@ class Aligner:
         join = lambda f: np.concatenate([f(chunks), f(again)])
         n = len(parts)
         numbers = [np.bincount(at, join(lambda x, j=j: x.sizes[j])[rows], n).astype(np.int64) for j in range(3)]
-        n_items, n_pairs = join(lambda x: x.n_items), join(lambda x: x.n_pairs)
-        items = join(lambda x: x.items)[_gather(_starts(n_items)[rows], n_items[rows])]
-        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(numbers[0] + numbers[1])]), self.shown.take(pa.array(items)))
-        shown = pc.binary_join(lists, pa.scalar("", pa.large_string()))
-        # Links of a text; pairs by their places among the block's distinct ones.
-        pairs, place = np.unique(join(lambda x: x.pairs), return_inverse=True)
-        links = n_pairs[rows]
-        keys, count = np.unique(np.repeat(at, links) * max(len(pairs), 1) + place[_gather(_starts(n_pairs)[rows], links)], return_counts=True)
-        of_text, place = np.divmod(keys, max(len(pairs), 1))
-        total = np.bincount(place, count, len(pairs)).astype(np.int64)
-        return {"n_a": numbers[0], "n_b": numbers[1], "n_groups": numbers[2], "shown": shown, "place": place, "count": count, "ends": np.cumsum(np.bincount(of_text, minlength=n)), "pairs": pairs, "total": total}
+        n_items, n_pairs, items = join(lambda x: x.n_items), join(lambda x: x.n_pairs), join(lambda x: x.items)
+        pairs, places = np.unique(join(lambda x: x.pairs), return_inverse=True)
+        starts, wide = (_starts(n_items), _starts(n_pairs)), max(len(pairs), 1)
+        shas, per_text, place, count = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, upto in _pieces(numbers[0] + numbers[1]):
+            own = rows[slice(*np.searchsorted(at, [first, upto]))]
+            of_text = at[slice(*np.searchsorted(at, [first, upto]))] - first
+            lists = pa.LargeListArray.from_arrays(_ends((numbers[0] + numbers[1])[first:upto]), self.shown.take(pa.array(items[_gather(starts[0][own], n_items[own])])))
+            shown = pc.binary_join(lists, pa.scalar("", pa.large_string()))
+            # Without the sign that ends the last group.
+            shas += ["" if not n else hashlib.sha256(s.as_buffer().slice(0, len(s.as_buffer()) - 1)).hexdigest() for n, s in zip(numbers[2][first:upto].tolist(), shown)]
+            # Links of a text; pairs by their places among the block's distinct ones.
+            keys, times = np.unique(np.repeat(of_text, n_pairs[own]) * wide + places[_gather(starts[1][own], n_pairs[own])], return_counts=True)
+            per_text.append(np.bincount(keys // wide, minlength=upto - first))
+            place.append(keys % wide)
+            count.append(times)
+        place, count = np.concatenate(place), np.concatenate(count)
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, place, count)
+        return {"n_a": numbers[0], "n_b": numbers[1], "n_groups": numbers[2], "groups_sha256": shas, "place": place, "count": count, "ends": np.cumsum(np.concatenate(per_text)), "pairs": pairs, "total": total}
 
 
 @lru_cache(maxsize=1)
@@ -335,6 +381,14 @@ def _aligner(spec: str, model: bytes) -> Aligner:
     return Aligner(spec, model)
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that: a worker that waits or goes on to sums would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at = 0
@@ -348,7 +402,7 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 def align(docs: DataFrame, spec: str, model: bytes, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of texts with their groups and pairs, written to folder: block, doc_id, n_a, n_b, n_groups, groups_sha256, ends, place, count, pairs, total."""
+    """Blocks of texts with their groups and pairs, written to folder: block, doc_id, n_a, n_b, n_groups, groups_sha256, ends, held (see packed()), pairs, total."""
     held = docs.sparkSession.sparkContext.broadcast((spec, model))  # two vocabularies
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,15 +411,16 @@ def align(docs: DataFrame, spec: str, model: bytes, folder: str, id_col: str = "
             texts = batch.column("text").cast(pa.large_string())
             for part in _slices(texts):
                 b = _aligner(*held.value).block(texts[part])
-                sha = ["" if not n else hashlib.sha256(s.as_buffer().slice(0, len(s.as_buffer()) - 1)).hexdigest() for n, s in zip(b["n_groups"].tolist(), b["shown"])]
                 one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t))
                 number += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number - 1], pa.int64()), one(batch.column("doc_id")[part], pa.int64()), *(one(b[c], pa.int64()) for c in ("n_a", "n_b", "n_groups")), one(sha, pa.string()), *(one(b[c], pa.int64()) for c in ("ends", "place", "count", "pairs", "total"))],
-                    names=["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "ends", "place", "count", "pairs", "total"],
+                    [pa.array([number - 1], pa.int64()), one(batch.column("doc_id")[part], pa.int64()), *(one(b[c], pa.int64()) for c in ("n_a", "n_b", "n_groups")), one(b["groups_sha256"], pa.string()), one(b["ends"], pa.int64()), pa.array([packed(b["place"], b["count"])], pa.binary()), *(one(b[c], pa.int64()) for c in ("pairs", "total"))],
+                    names=["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "ends", "held", "pairs", "total"],
                 )
+                del b
+                _give_back()
 
-    fields = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, " + ", ".join(f"{c} array<long>" for c in ("ends", "place", "count", "pairs", "total"))
+    fields = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, ends array<long>, held binary, pairs array<long>, total array<long>"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return written(rows.mapInArrow(aligned, fields), folder)
 
@@ -393,17 +448,17 @@ def summed(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     whole = blocks.drop("pairs", "total").join(answers, "block", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _aligner.cache_clear()  # of a worker that encoded texts before
+        _give_back()
         for batch in batches:
             for i in range(batch.num_rows):
                 own = lambda name: batch.column(name).slice(i, 1).flatten()  # noqa: B023, E731
                 array = lambda name: own(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                place, count, n = array("place"), array("count"), len(own("doc_id"))
-                text = np.repeat(np.arange(n), np.diff(array("ends"), prepend=0))
+                ends = np.concatenate([[0], array("ends")]).astype(np.int64)
+                place, count = unpacked(batch.column("held")[i].as_buffer(), int(ends[-1]))
                 sums = []
-                for weight in (np.ones(len(place), np.int64), array("best").astype(np.int64)[place] if len(place) else place, array("links")[place] if len(place) else place):
-                    out = np.zeros(n, np.int64)
-                    np.add.at(out, text, count * weight)
-                    sums.append(pa.array(out))
+                for weight in (1, array("best").astype(np.int64)[place] if len(place) else 1, array("links")[place] if len(place) else 1):
+                    sums.append(pa.array(np.diff(_ends(count * weight)[ends])))
                 yield pa.RecordBatch.from_arrays([own("doc_id"), own("n_a"), own("n_b"), own("n_groups"), *sums, own("groups_sha256")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     return whole.mapInArrow(texts, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
