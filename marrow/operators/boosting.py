@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -97,11 +97,12 @@ def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float
     n, k = x.shape
     cuts = _bins(x)
     codes = _codes(x, cuts)
+    any_lost = bool(np.isnan(x).any())
+    del x  # the largest array; fit_many() holds no other reference to it
     base = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     margin = np.full(n, np.log(base / (1 - base)))
     widths = np.array([len(c) + 1 for c in cuts], int)
     wide = int(widths.max(initial=1)) + 1
-    any_lost = bool(np.isnan(x).any())
     last, gone, every, unit = widths - 1, (np.arange(k), widths), np.arange(n), 2.0**-POINT
     out = []
     for _ in range(trees):
@@ -142,10 +143,15 @@ def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, trees: int, rate: float
 
 def margins(forest: Forest, x: np.ndarray) -> np.ndarray:
     """All rows step down each tree together, one level at a time."""
+    return staged_margins(forest, x, [len(forest.trees)])[len(forest.trees)]
+
+
+def staged_margins(forest: Forest, x: np.ndarray, stops: list[int]) -> dict[int, np.ndarray]:
+    """The margins after each of so many trees."""
     x = np.asarray(x, np.float32)
     z = np.full(len(x), np.log(forest.base / (1 - forest.base)))
-    every = np.arange(len(x))
-    for tree in forest.trees:
+    every, out = np.arange(len(x)), {0: z.copy()} if 0 in stops else {}
+    for n, tree in enumerate(forest.trees, 1):
         f, l, r, m = (np.array([node[i] for node in tree]) for i in (0, 2, 3, 4))
         t, v = np.array([node[1] for node in tree], np.float32), np.array([node[5] for node in tree])
         at = np.zeros(len(x), int)
@@ -155,7 +161,9 @@ def margins(forest: Forest, x: np.ndarray) -> np.ndarray:
             step = np.where(np.isnan(value), m[at], np.where(value < t[at], l[at], r[at]))
             at = np.where(inner, step, at)
         z += v[at]
-    return z
+        if n in stops:
+            out[n] = z.copy()
+    return out
 
 
 def walk(forest: Forest, row: list[float | None]) -> float:
@@ -215,18 +223,23 @@ def table_of(df: DataFrame, features: list[str], label: str = "y", key: str = "r
 def fit_many(spark: SparkSession, table: pd.DataFrame, features: list[str], specs: pd.DataFrame, parts: list[tuple[np.ndarray, np.ndarray]], label: str = "y") -> DataFrame:
     """A row for each spec and held-out row: position, y, p; a spec that holds out none has a row with its pickled forest.
 
-    specs: spec, depth, trees, rate, part; parts: positions of training and held-out rows. A task is one fit, the longest first.
+    specs: spec, depth, trees, rate, part; parts: positions of training and held-out rows. Specs that differ in their number of trees alone
+    are one fit, as the fewer trees are its first ones. A task is one fit, the longest first.
     """
-    order = specs.iloc[np.argsort(-specs["depth"].to_numpy() * specs["trees"].to_numpy(), kind="stable")]
+    alike = [list(own.itertuples()) for _, own in specs.groupby(["part", "depth", "rate"], sort=False)]
+    order = sorted(alike, key=lambda own: -own[0].depth * max(s.trees for s in own))
+    order = [[(s.spec, s.trees) for s in own] + [(own[0].depth, own[0].rate, own[0].part)] for own in order]
     held = spark.sparkContext.broadcast((table[features].to_numpy(np.float32), table[label].to_numpy(float), order, parts))
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y, order, parts = held.value
         for batch in batches:
-            for s in order.iloc[batch["id"].to_numpy()].itertuples():
-                train, test = parts[s.part]
-                forest = fit_forest(x[train], y[train], s.depth, s.trees, s.rate, tuple(features))
-                out = pd.DataFrame({"spec": s.spec, "position": test, "y": y[test].astype(int), "p": 1 / (1 + np.exp(-margins(forest, x[test]))), "forest": None})
-                yield out if len(test) else pd.DataFrame([(s.spec, None, None, None, pickle.dumps(forest))], columns=out.columns)
+            for *own, (depth, rate, part) in (order[i] for i in batch["id"].tolist()):
+                train, test = parts[part]
+                forest = fit_forest(x[train], y[train], depth, max(n for _, n in own), rate, tuple(features))
+                z = staged_margins(forest, x[test], [n for _, n in own])
+                for spec, n in own:
+                    out = pd.DataFrame({"spec": spec, "position": test, "y": y[test].astype(int), "p": 1 / (1 + np.exp(-z[n])), "forest": None})
+                    yield out if len(test) else pd.DataFrame([(spec, None, None, None, pickle.dumps(replace(forest, trees=forest.trees[:n])))], columns=out.columns)
 
     return spark.range(0, len(order), 1, max(1, len(order))).mapInPandas(fitted, "spec int, position int, y int, p double, forest binary")

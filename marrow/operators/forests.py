@@ -160,8 +160,11 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return flat[first : first + size * len(column)].view(kind).reshape(len(column), width)
 
 
-def grow(table: DataFrame, cuts: list[np.ndarray], fits: list[Fit], folder: str, label: str = "y", features: tuple[str, ...] = ()) -> tuple[list[Forest], DataFrame]:
-    """The fits' forests, and the table with margins (array<double>, one a fit). table: binned(), with label and what conditions name."""
+def grow(table: DataFrame, cuts: list[np.ndarray], fits: list[Fit], folder: str, label: str = "y", features: tuple[str, ...] = (), staged: dict[int, DataFrame] | None = None) -> tuple[list[Forest], DataFrame]:
+    """The fits' forests, and the table with margins (array<double>, one a fit). table: binned(), with label and what conditions name.
+
+    staged: its keys get the same table after so many trees, or all of a fit that has fewer.
+    """
     spark, k = table.sparkSession, len(cuts)
     widths = np.array([len(c) + 1 for c in cuts])
     wide = int(widths.max(initial=1)) + 1
@@ -253,7 +256,7 @@ def grow(table: DataFrame, cuts: list[np.ndarray], fits: list[Fit], folder: str,
         for i, tree in growing.items():
             forests[i].append(tree)
         pending.append({i: tree.arrays(fits[i].rate) for i, tree in growing.items()})
-        if len(pending) == KEPT or t + 1 == max(f.trees for f in fits):
+        if len(pending) == KEPT or t + 1 == max(f.trees for f in fits) or t + 1 in (staged or ()):
             sent, fields = spark.sparkContext.broadcast(pending), [c for c in state.columns if c != "margins"]
 
             def moved(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -264,6 +267,8 @@ def grow(table: DataFrame, cuts: list[np.ndarray], fits: list[Fit], folder: str,
 
             state = stored(state.select(*fields, "margins").mapInArrow(moved, state.select(*fields, "margins").schema), f"{folder}/margins-{t}")
             pending = []
+            if t + 1 in (staged or ()):
+                staged[t + 1] = state.drop("_uses", "codes")
     named = tuple(features) or tuple(f"x{j}" for j in range(k))
     out = [Forest(named, bases[i], tuple(_nodes(tree, cuts, fits[i].rate) for tree in trees)) for i, trees in enumerate(forests)]
     return out, state.drop("_uses", "codes")
@@ -286,9 +291,9 @@ def _nodes(tree: _Tree, cuts: list[np.ndarray], rate: float) -> tuple[tuple, ...
     return tuple(map(tuple, out))
 
 
-def fit(df: DataFrame, features: list[str], fits: list[Fit], folder: str, keep: list[str], label: str = "y") -> tuple[list[Forest], DataFrame]:
-    """Cuts, codes and forests of a table; the second result has keep, label and margins. No step collects rows."""
+def fit(df: DataFrame, features: list[str], fits: list[Fit], folder: str, keep: list[str], label: str = "y", staged: dict[int, DataFrame] | None = None) -> tuple[list[Forest], DataFrame]:
+    """Cuts, codes and forests of a table; the second result has keep, label and margins. No step collects rows. staged: see grow()."""
     found = cut_table(df, features)
     cuts = [np.array(r["cuts"], np.float32) for r in found.orderBy("feature").collect()]  # a row a feature
     table = stored(binned(df, features, cuts, [*keep, label]), f"{folder}/binned")
-    return grow(table, cuts, fits, folder, label, tuple(features))
+    return grow(table, cuts, fits, folder, label, tuple(features), staged)

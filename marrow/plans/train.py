@@ -18,8 +18,8 @@ from marrow.operators.storage import step_folder, stored
 
 OUTER, INNER = 5, 3
 SPEC = ["spec", "depth", "trees", "rate", "part"]
-#: Rows that the search for settings uses in an outer fold.
-SEARCH_ROWS = 20_000
+#: None: the search for settings uses all rows of an outer fold, unless train() is asked for fewer.
+SEARCH_ROWS: int | None = None
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,6 @@ def _search_specs(inside: dict[int, np.ndarray], y: np.ndarray, grid, seed: int)
     rows, keys, parts = [], [], []
     for k, inside in sorted(inside.items()):
         rng = np.random.default_rng([seed, int(k)])
-        if len(inside) > SEARCH_ROWS:
-            part = [rng.permutation(inside[y[inside] == v])[: round(SEARCH_ROWS * (y[inside] == v).mean())] for v in (0, 1)]
-            inside = np.sort(np.concatenate(part))
         inner = np.empty(len(inside), int)
         order = np.lexsort((rng.random(len(inside)), y[inside]))
         inner[order] = np.arange(len(inside)) % INNER
@@ -45,7 +42,7 @@ def _search_specs(inside: dict[int, np.ndarray], y: np.ndarray, grid, seed: int)
             for j in range(INNER):
                 rows.append((len(rows), depth, trees, rate, len(parts) + j))
                 keys.append((len(keys), int(k), c))
-        parts += [(inside[inner != j], inside[inner == j]) for j in range(INNER)]
+        parts += [(inside[inner != j].astype(np.int32), inside[inner == j].astype(np.int32)) for j in range(INNER)]
     return pd.DataFrame(rows, columns=SPEC), pd.DataFrame(keys, columns=["spec", "fold", "combo"]), parts
 
 
@@ -54,6 +51,12 @@ def _chosen(table: pd.DataFrame, inside: dict[int, np.ndarray], spark: SparkSess
     specs, keys, parts = _search_specs(inside, table[label].to_numpy(), grid, seed)
     # Written once: the metric reads the scores twice, and every fit would run again.
     scored = stored(boosting.fit_many(spark, table, features, specs, parts, label).where("position IS NOT NULL"), step_folder(spark, "search"))
+    return _best(scored, keys, grid)
+
+
+def _best(scored: DataFrame, keys: pd.DataFrame, grid) -> tuple[dict[int, tuple], tuple]:
+    """Each outer fold's setting, and the one chosen most. scored: spec, y, p; keys: each spec's fold and setting."""
+    spark = scored.sparkSession
     scores = metrics.auc(scored.select("spec", "y", "p"), ["spec"]).join(F.broadcast(spark.createDataFrame(keys)), "spec")
     chosen = resample.best_combination(scores.select("fold", "combo", F.col("auc").alias("score"))).cache()
     best = {r["fold"]: grid[r["combo"]] for r in chosen.collect()}  # a row a fold
@@ -62,12 +65,52 @@ def _chosen(table: pd.DataFrame, inside: dict[int, np.ndarray], spark: SparkSess
     return best, modal
 
 
-def _small(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int) -> tuple[DataFrame, boosting.Forest, tuple]:
+def _sampled(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int, most: int) -> tuple[dict[int, tuple], tuple]:
+    """_chosen() from so many rows of each outer fold, where train() is asked for that."""
+    rows = folded.select(key, label, "fold", *features)
+    samples = [resample.stratified_subsample(rows.where(F.col("fold") != k), most, label, key, seed + k).withColumn("fold", F.lit(k)) for k in range(OUTER)]
+    table = boosting.table_of(reduce(DataFrame.unionByName, samples), features, label, key, ["fold"])
+    return _chosen(table, {k: np.flatnonzero(table["fold"].to_numpy() == k) for k in range(OUTER)}, folded.sparkSession, features, label, grid, seed)
+
+
+def _grown(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int) -> tuple[dict[int, tuple], tuple]:
+    """_chosen() for a table of any size and from all of its rows: every fit of the search is grown on Spark, all of them in step."""
+    spark, rows = folded.sparkSession, folded.select(key, label, "fold", *features).withColumnRenamed("fold", "_outer")
+    for k in range(OUTER):  # the rows of fold k are dealt as a class of their own, which no fit and no score of k uses
+        own = rows.withColumn("_own", F.when(F.col("_outer") != k, F.col(label)))
+        rows = resample.stratified_folds(own, INNER, "_own", key, seed + 1 + k).drop("_own").withColumnRenamed("fold", f"_inner{k}")
+    shapes = list(dict.fromkeys((depth, rate) for depth, _, rate in grid))
+    staged = dict.fromkeys(trees for _, trees, _ in grid)
+    # Fewer trees of a shape are the first ones of the most.
+    asked = [(k, depth, rate, j) for k in range(OUTER) for depth, rate in shapes for j in range(INNER)]
+    fits = [forests.Fit(depth, max(n for d, n, r in grid if (d, r) == (depth, rate)), rate, f"_outer <> {k} AND _inner{k} <> {j}") for k, depth, rate, j in asked]
+    kept = ["_outer", *(f"_inner{k}" for k in range(OUTER))]
+    folder = step_folder(spark, "search")
+    dealt = stored(rows.select(label, *kept, *[F.col(f"`{c}`").cast("float").alias(c) for c in features]), f"{folder}/dealt")  # the fits' cuts and codes read it again
+    forests.fit(dealt, features, fits, folder, kept, label, staged)
+    specs, scores = [], []
+    for trees, margins in staged.items():
+        held = []
+        for place, (k, depth, rate, j) in enumerate(asked):
+            if (depth, trees, rate) in grid:
+                specs.append((len(specs), k, grid.index((depth, trees, rate))))
+                mine = (F.col("_outer") != k) & (F.col(f"_inner{k}") == j)
+                held.append(F.when(mine, F.struct(F.lit(specs[-1][0]).alias("spec"), F.get("margins", F.lit(place)).alias("z"))))
+        cells = margins.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), F.explode(F.array_compact(F.array(*held))).alias("c"))
+        scores.append(cells.select("c.spec", "y", scalar.sigmoid(F.col("c.z")).alias("p")))
+    return _best(reduce(DataFrame.unionByName, scores), pd.DataFrame(specs, columns=["spec", "fold", "combo"]), grid)
+
+
+def _small(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int, most: int | None) -> tuple[DataFrame, boosting.Forest, tuple]:
     """Held-out scores, the final forest and its setting; every fit, the final one too, is a task that has the table."""
     spark = folded.sparkSession
     table = boosting.table_of(folded, features, label, key, ["fold"])
     fold = table["fold"].to_numpy()
-    best, modal = _chosen(table, {k: np.flatnonzero(fold != k) for k in set(fold.tolist())}, spark, features, label, grid, seed)
+    inside = {k: np.flatnonzero(fold != k) for k in set(fold.tolist())}
+    if most and any(len(own) > most for own in inside.values()):
+        best, modal = _sampled(folded, features, label, key, grid, seed, most)
+    else:
+        best, modal = _chosen(table, inside, spark, features, label, grid, seed)
     folds = sorted(best)
     specs = pd.DataFrame([(int(k), *best[k], i) for i, k in enumerate(folds)] + [(-1, *modal, len(folds))], columns=SPEC)
     parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in folds] + [(np.arange(len(table)), np.arange(0))]
@@ -78,23 +121,24 @@ def _small(folded: DataFrame, features: list[str], label: str, key: str, grid, s
     return held, final, modal
 
 
-def _large(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int) -> tuple[DataFrame, boosting.Forest, tuple]:
-    """The same for a table of any size: settings from SEARCH_ROWS rows a fold, then all folds' fits and the final one grown together on Spark."""
+def _large(folded: DataFrame, features: list[str], label: str, key: str, grid, seed: int, most: int | None) -> tuple[DataFrame, boosting.Forest, tuple]:
+    """The same for a table of any size: all fits of the search grown together on Spark, then all folds' fits and the final one."""
     rows = folded.select(key, label, "fold", *features)
-    samples = [resample.stratified_subsample(rows.where(F.col("fold") != k), SEARCH_ROWS, label, key, seed + k).withColumn("fold", F.lit(k)) for k in range(OUTER)]
-    table = boosting.table_of(reduce(DataFrame.unionByName, samples), features, label, key, ["fold"])
-    best, modal = _chosen(table, {k: np.flatnonzero(table["fold"].to_numpy() == k) for k in range(OUTER)}, folded.sparkSession, features, label, grid, seed)
+    best, modal = _sampled(folded, features, label, key, grid, seed, most) if most else _grown(folded, features, label, key, grid, seed)
     fits = [forests.Fit(*best[k], f"fold <> {k}") for k in range(OUTER)] + [forests.Fit(*modal)]
     grown, margins = forests.fit(rows, features, fits, step_folder(folded.sparkSession, "train"), [key, "fold"], label)
     p = scalar.sigmoid(F.get("margins", F.col("fold")))
     return margins.select(F.col(key).alias("row_id"), F.col(label).alias("y"), p.alias("p"), "fold"), grown[-1], modal
 
 
-def train(df: DataFrame, features: list[str], label: str = "y", key: str = "row_id", grid=resample.GRID, seed: int = 42) -> Fitted:
-    """Fits hold the table in their tasks while it has at most boosting.MOST_ROWS rows, and are grown on Spark beyond."""
+def train(df: DataFrame, features: list[str], label: str = "y", key: str = "row_id", grid=resample.GRID, seed: int = 42, search_rows: int | None = None) -> Fitted:
+    """Fits hold the table in their tasks while it has at most boosting.MOST_ROWS rows, and are grown on Spark beyond.
+
+    search_rows: settings are searched on so many rows of an outer fold, as the reference does for one of its datasets; else on all.
+    """
     folded = resample.stratified_folds(df, OUTER, label, key, seed)
     fitted = _small if df.limit(boosting.MOST_ROWS + 1).count() <= boosting.MOST_ROWS else _large
-    held, forest, modal = fitted(folded, features, label, key, grid, seed)
+    held, forest, modal = fitted(folded, features, label, key, grid, seed, search_rows or SEARCH_ROWS)
     held = held.cache()
     checks.assert_covered(folded.select(F.col(key).alias("row_id")), held)
     calibrator = calibrate.pick(held)
