op3_topk: a chunk's survivors are scored by one product of matrices

Symptom: op3_topk spent 567 CPU seconds a GB at 0.02 GB (Python 377, JVM 174, GC 12), most of it in the search tasks.
Evidence: a profile showed that each query gathered its survivors' rows on its own, about two fifths of a block, and looked for their largest number again; bounds were copied into full matrices, and best bounds were picked and scored for every query at all four levels, also where an earlier block had told a better score.
Fix: whether doubles hold all sums is asked once for a pair of blocks; then 128 queries' survivors are scored by one product, bounds stay in the product's own matrix, and best bounds are scored at two levels, only for queries without a known score; larger integers take the former way; same rows and scores.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 233 -> 196 s, shuffle 0.09 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.16 -> 0.16 GB, longest task 9 -> 5 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 8029 -> 1302 s, shuffle 2.24 -> 2.24 GB, spill 0.00 -> 0.00 GB, read 1.59 -> 1.59 GB, longest task 209 -> 26 s, most memory of a task 176 -> 176 MB; with hot keys, at 0.6 GB of input CPU 241 -> 194 s, shuffle 0.07 -> 0.07 GB, spill 0.00 -> 0.00 GB, read 0.13 -> 0.13 GB, longest task 10 -> 4 s, most memory of a task 68 -> 68 MB.

@@ -5,7 +5,8 @@ squared differences from the mean), Cauchy-Schwarz bounds a segment's part of an
 length * m * m' + s * s'. Summed over the segments this is an upper bound on the inner product, so a lower
 bound on the distance that it stands for, and it grows tighter from level to level. A block's candidates
 pass the levels from coarse to fine; those whose bound stays below the k-th best exact score known so far, of this block or of those before it in the task,
-are dropped, and the survivors' scores are computed exactly. Ties at the k-th score always survive.
+are dropped, and the survivors' scores are computed exactly. Ties at the k-th score always survive. While doubles hold
+all sums of a pair of blocks, the survivors of a chunk of queries are scored by one product of matrices.
 
 Components are floor(scale * x); sums are exact: in doubles while they stay below 2^53, else in Python's
 integers. A score beyond a long is an error. Other defined cases: see vectors.py.
@@ -20,6 +21,8 @@ from marrow.llm.shared import work_dir, written
 from marrow.llm.vectors import BLOCK, QUERY_BLOCK, Block, Found, asked, best_of_blocks, blocks, pieces, top_of_row, usable
 
 LEVELS = (1, 4, 16, 32)
+#: Levels whose best bounds are scored, for queries of which no score is known. Others gain less than that costs, while one product scores all survivors.
+SCORED_LEVELS = (1, 16)
 #: Queries whose bounds are held at once.
 CHUNK = 128
 
@@ -48,42 +51,60 @@ def _features(block: Block) -> list[np.ndarray]:
     return out
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of one query with rows of integers, as int64."""
-    if len(x) and np.abs(q).max() * np.abs(x).max() * len(q) >= 2**53:
+def _held(queries: np.ndarray, candidates: np.ndarray) -> bool:
+    """Whether doubles hold all sums of inner products of these integers exactly."""
+    largest = [max(m.max(initial=0), -m.min(initial=0)) for m in (queries, candidates)]
+    return largest[0] * largest[1] * queries.shape[1] < 2**53
+
+
+def _exact(q: np.ndarray, x: np.ndarray, held: bool) -> np.ndarray:
+    """Inner products of one query with rows of integers, as int64. held: see _held()."""
+    if not held and not _held(q[None], x):
         whole = [int(a) for a in q]
         sums = [sum(a * int(b) for a, b in zip(whole, row)) for row in x]
         return np.array(sums, dtype=np.int64)  # raises OverflowError beyond a long
     return (x @ q).astype(np.int64)
 
 
+def _products(q: np.ndarray, x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of q with the rows of x at places, which ascend."""
+    return q @ (x if len(places) == len(x) else x[places]).T
+
+
 def search_block(queries: Block, candidates: Block, k: int, known: np.ndarray) -> Found:
     """Each query's k best candidates with another id; those below the score known of a query may be left out."""
     q_levels, c_levels = _features(queries), _features(candidates)
     norm = np.sqrt((candidates.matrix**2).sum(axis=1)).max(initial=0)
+    held = _held(queries.matrix, candidates.matrix)
     found: list[Found] = []
     for at in range(0, len(queries.ids), CHUNK):
         part = slice(at, at + CHUNK)
         ids, matrix = queries.ids[part], queries.matrix[part]
         slack = 1e-9 * (1 + np.sqrt((matrix**2).sum(axis=1)) * norm)
         alive = ids[:, None] != candidates.ids[None, :]
-        least = known[part].copy()
-        for q_features, c_features in zip(q_levels, c_levels):
+        least, places = known[part].copy(), np.arange(len(candidates.ids))
+        # The blocks before this one tell more than a few of its own rows would.
+        unknown = np.flatnonzero(least == -np.inf).tolist()
+        for segments, q_features, c_features in zip(LEVELS, q_levels, c_levels):
             columns = np.flatnonzero(alive.any(axis=0))
-            bound = np.full(alive.shape, -np.inf)
-            bound[:, columns] = q_features[part] @ c_features[columns].T
-            bound[~alive] = -np.inf
-            for i in range(len(ids)):  # the best bounds are likely good scores
-                likely = np.argpartition(-bound[i], k)[: k + 1] if bound.shape[1] > k + 1 else np.arange(bound.shape[1])
+            if len(columns) < alive.shape[1]:  # the others are dropped by all queries of the chunk
+                alive, places = alive[:, columns], places[columns]
+            below = _products(-q_features[part], c_features, places)  # the bounds' negatives, so that the best come first
+            np.putmask(below, ~alive, np.inf)
+            for i in range(len(ids)) if not held else unknown if segments in SCORED_LEVELS else ():  # the best bounds are likely good scores
+                likely = np.argpartition(below[i], k)[: k + 1] if below.shape[1] > k + 1 else np.arange(below.shape[1])
                 likely = likely[alive[i, likely]]
                 if len(likely) >= k:
-                    least[i] = max(least[i], np.sort(_exact(matrix[i], candidates.matrix[likely]))[-k])
-            alive &= bound >= (least - slack)[:, None]
+                    least[i] = max(least[i], np.sort(_exact(matrix[i], candidates.matrix[places[likely]], held))[-k])
+            alive &= below <= (slack - least)[:, None]
+        if held:
+            together = _products(matrix, candidates.matrix, places)
+            alive &= together >= least[:, None]
         for i, query in enumerate(ids):
             rows = np.flatnonzero(alive[i])
-            scores = _exact(matrix[i], candidates.matrix[rows])
+            scores = together[i, rows].astype(np.int64) if held else _exact(matrix[i], candidates.matrix[places[rows]], held)
             best = top_of_row(scores, k)
-            found.append((np.full(len(best), query), candidates.ids[rows[best]], scores[best]))
+            found.append((np.full(len(best), query), candidates.ids[places[rows[best]]], scores[best]))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found))
