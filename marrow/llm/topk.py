@@ -97,6 +97,7 @@ def search_block(queries: Block, candidates: Block, k: int, known: np.ndarray) -
                 if len(likely) >= k:
                     least[i] = max(least[i], np.sort(_exact(matrix[i], candidates.matrix[places[likely]], held))[-k])
             alive &= below <= (slack - least)[:, None]
+            del below  # so that the next product takes its place
         if held:
             together = _products(matrix, candidates.matrix, places)
             alive &= together >= least[:, None]
